@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from lanternfish.llm.permutation_index import op1_permutation_index
 from lanternfish.llm.pieces import op6_sentencepiece
+from lanternfish.llm.planes import op5_token_planes
+from lanternfish.llm.secrets import op9_secrets
 from lanternfish.llm.simhash import op7_simhash
+from lanternfish.llm.threshold import OP2_SQL, op2_uniform_threshold
 
 QUERIES = {
+    "op1_permutation_index": op1_permutation_index,
+    "op2_uniform_threshold": op2_uniform_threshold,
+    "op5_token_planes": op5_token_planes,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_simhash": op7_simhash,
+    "op9_secrets": op9_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_uniform_threshold": OP2_SQL,
+}

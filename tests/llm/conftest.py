@@ -1,4 +1,8 @@
 import pytest
+from hypothesis import settings
+
+settings.register_profile("plain", deadline=None)
+settings.load_profile("plain")
 
 ODD_TEXTS = [
     None, "", " ", "a", "one two three", "one two three four five six", "One TWO three four five six", "x" * 5000,

@@ -20,6 +20,8 @@ import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
+from lanternfish.llm.frames import object_frame
+
 TABLE_LIMIT = 600_000
 MARKER = "▁"
 _CHUNK = re.compile(r" *[^ ]+| +")
@@ -114,7 +116,7 @@ def piece_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
             decoded = table.decode(ids) if ids else ""
             rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
                          hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        return object_frame(rows, ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col), digest(F.col(text_col)).alias("d")).select(id_col, "d.*")
 

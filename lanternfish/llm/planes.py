@@ -23,6 +23,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lanternfish.llm.frames import object_frame
 from lanternfish.plans.staging import fresh_path, stage
 
 MAGIC = b"LFPLANE1"
@@ -234,7 +235,7 @@ def write_token_planes(docs: DataFrame, folder: str, tokenizer_file: str, end_id
                     writer.add(doc, ids + end)
         if writer:
             n = writer.close()
-            yield pd.DataFrame({"shard": [shard], "path": [f"{folder}/shard-{shard:06d}.planes"], "n_docs": [len(writer.docs)], "n_tokens": [n]})
+            yield object_frame([(shard, f"{folder}/shard-{shard:06d}.planes", len(writer.docs), n)], ["shard", "path", "n_docs", "n_tokens"])
 
     shards = stage(ordered.mapInPandas(write, "shard int, path string, n_docs long, n_tokens long"), "plane-shards")
     listed = sorted(map(tuple, shards.collect()))  # one short row a shard
@@ -252,7 +253,7 @@ def read_token_planes(shards: DataFrame) -> DataFrame:
                 for doc, ids in read_shard(path):
                     rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
                     start += len(ids)
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield object_frame(rows, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return shards.repartition(parts).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -8,6 +8,7 @@ from lanternfish.llm.planes import op5_token_planes
 from lanternfish.llm.secrets import op9_secrets
 from lanternfish.llm.simhash import op7_simhash
 from lanternfish.llm.threshold import OP2_SQL, op2_uniform_threshold
+from lanternfish.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_permutation_index": op1_permutation_index,
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_token_planes": op5_token_planes,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
 }
 

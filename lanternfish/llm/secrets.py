@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from lanternfish.llm.frames import object_frame
 from lanternfish.llm.trigrams import BlockIndex, trigram_query, trigrams_of
 
 
@@ -133,7 +134,7 @@ def secret_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             own = [s for s in spans if s[1] < base]
             counts = [sum(s[1] == k for s in own) for k in range(base)]
             rows.append((*counts, hashlib.sha256(scanner.shown(own).encode()).hexdigest(), scanner.shown(spans)))
-        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+        return object_frame(rows, ["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     return docs.select(F.col(id_col), digest(F.col(text_col)).alias("d")).select(id_col, "d.*")
 

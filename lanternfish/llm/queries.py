@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lanternfish.llm.mixing import op10_context_mixing
 from lanternfish.llm.permutation_index import op1_permutation_index
 from lanternfish.llm.pieces import op6_sentencepiece
 from lanternfish.llm.planes import op5_token_planes
@@ -11,6 +12,7 @@ from lanternfish.llm.threshold import OP2_SQL, op2_uniform_threshold
 from lanternfish.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op10_context_mixing": op10_context_mixing,
     "op1_permutation_index": op1_permutation_index,
     "op2_uniform_threshold": op2_uniform_threshold,
     "op5_token_planes": op5_token_planes,

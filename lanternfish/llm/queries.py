@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from lanternfish.llm.mixing import op10_context_mixing
+from lanternfish.llm.packing import op4_length_buckets
 from lanternfish.llm.permutation_index import op1_permutation_index
 from lanternfish.llm.pieces import op6_sentencepiece
 from lanternfish.llm.planes import op5_token_planes
 from lanternfish.llm.secrets import op9_secrets
 from lanternfish.llm.simhash import op7_simhash
+from lanternfish.llm.suffix_dedup import op3_prefix_free
 from lanternfish.llm.threshold import OP2_SQL, op2_uniform_threshold
 from lanternfish.llm.toxicity import op8_toxicity
 
@@ -15,6 +17,8 @@ QUERIES = {
     "op10_context_mixing": op10_context_mixing,
     "op1_permutation_index": op1_permutation_index,
     "op2_uniform_threshold": op2_uniform_threshold,
+    "op3_prefix_free": op3_prefix_free,
+    "op4_length_buckets": op4_length_buckets,
     "op5_token_planes": op5_token_planes,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_simhash": op7_simhash,

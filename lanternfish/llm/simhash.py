@@ -148,6 +148,103 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(known, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+WIDE_WORDS, WIDE_TILE = 4, 32_768
+_STEPS = np.arange(WIDE_WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def wide_fingerprint(text: str | None, width: int, seed: int) -> bytes:
+    """256 bits: the fingerprint of the shingle hashes, and of three further mixes of them."""
+    hashes = shingle_hashes((text or "").encode("utf-8", "surrogatepass"), width, seed)
+    out = []
+    for step in _STEPS:
+        h = hashes if not step else (hashes + step) * np.uint64(0xBF58476D1CE4E5B9)
+        h = h if not step else (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        counts = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(h), _CHUNK_ROWS):
+            part = np.ascontiguousarray(h[at : at + _CHUNK_ROWS]).view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(np.packbits((2 * counts > len(h)).astype(np.uint8), bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def wide_forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray | None, gate: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the pairs of two tiles (rows of four words) within ``gate`` bits in the first word and ``radius`` in all."""
+    nodes = a if b is None else np.concatenate([a, b])
+    other, shift = (a, 0) if b is None else (b, len(a))
+    labels = np.arange(len(nodes))
+    first = np.ascontiguousarray(other[:, 0])
+    rows = max(1, _CHUNK_ROWS // max(1, len(other)))
+    for at in range(0, len(a), rows):
+        i, j = np.nonzero(np.bitwise_count(a[at : at + rows, :1] ^ first[None, :]) <= gate)
+        i += at
+        for p in range(0, len(i), _CHUNK_ROWS):
+            x, y = i[p : p + _CHUNK_ROWS], j[p : p + _CHUNK_ROWS]
+            near = np.bitwise_count(a[x] ^ other[y]).sum(axis=1, dtype=np.int64) <= radius
+            labels = _settle(labels, x[near], y[near] + shift)
+    linked = np.flatnonzero(labels != np.arange(len(nodes)))
+    return ids[linked], ids[labels[linked]]
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, seed: int = 42,
+                       gate: int = 14, radius: int = 42, tile: int = WIDE_TILE) -> DataFrame:
+    """(id, component_id) for shingles of ``width`` words and an estimated similarity of 0.8 or more.
+
+    With 256 bits, 39 differing bits stand for a Jaccard similarity of 0.8; the standard error is about 6 bits, so the
+    radius lies a little above.  The gate on the first 64 bits keeps nearly all such pairs and few others.  Rows that
+    share an id share a component; rows with a null id are left out.  Texts without words are alike.
+    """
+
+    @F.pandas_udf("binary")
+    def simhash(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(t, width, seed) for t in texts], dtype=object)
+
+    prints = stage(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("wide")), "wide-prints")
+    pop = sum(F.bit_count(F.conv(F.hex(F.substring("wide", 8 * k + 1, 8)), 16, -10).cast("long")) for k in range(WIDE_WORDS))
+    distinct = stage(prints.groupBy("wide").agg(F.min("id").alias("first_id")).withColumn("ones", pop), "wide-distinct")
+    counts = sorted((r["ones"], r["count"]) for r in distinct.groupBy("ones").count().collect())  # 257 rows at most
+    before = np.cumsum([0] + [n for _, n in counts]).tolist()
+    places = docs.sparkSession.createDataFrame([(p, int(b), int(n)) for (p, n), b in zip(counts, before)], "ones int, before long, n long")
+    spread = F.pmod(F.xxhash64("wide"), F.lit(1 << 20)) / float(1 << 20)
+    tiles = stage(
+        distinct.join(F.broadcast(places), "ones").withColumn("tile", F.floor((F.col("before") + spread * F.col("n")) / tile).cast("int"))
+        .groupBy("tile").agg(F.min("ones").alias("low"), F.max("ones").alias("high"), F.collect_list(F.struct("first_id", "wide")).alias("rows")), "wide-tiles")
+    last = int(max(0, before[-1] - 1) // tile)
+    ahead = tiles.select("tile", "high", F.explode(F.sequence("tile", F.greatest(F.col("tile"), F.lit(last)))).alias("other"))
+    far = tiles.select(F.col("tile").alias("other"), F.col("low").alias("olow"))
+    pairs = ahead.join(far, "other").where(F.col("olow") - F.col("high") <= radius).select("tile", "other")
+    one = tiles.select("tile", F.col("rows").alias("a"))
+    two = tiles.select(F.col("tile").alias("other"), F.col("rows").alias("b"))
+    work = pairs.join(one, "tile").join(two, "other").select("tile", "other", "a", F.when(F.col("tile") != F.col("other"), F.col("b")).alias("b"))
+    n_pairs = (last + 1) * (last + 2) // 2
+    work = work.repartition(max(1, min(n_pairs, 2000)), "tile", "other")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def unpack(rows) -> tuple[np.ndarray, np.ndarray]:
+            return np.array([r["first_id"] for r in rows], np.int64), np.frombuffer(b"".join(r["wide"] for r in rows), np.uint64).reshape(-1, WIDE_WORDS)
+
+        for batch in batches:
+            for a, b in zip(batch["a"], batch["b"]):
+                ids, words = unpack(a)
+                others = None
+                if b is not None:
+                    more, others = unpack(b)
+                    ids = np.concatenate([ids, more])
+                src, dst = wide_forest(ids, words, others, gate, radius)
+                if len(src):
+                    yield pd.DataFrame({"src": src, "dst": dst})
+
+    groups = connected_components(work.mapInPandas(compare, "src long, dst long"))
+    known = distinct.join(groups, distinct["first_id"] == groups["node"], "left").select("wide", F.coalesce("component", "first_id").alias("component_id"))
+    return prints.join(known, "wide").groupBy("id").agg(F.min("component_id").alias("component_id")).select(F.col("id").alias(id_col), "component_id")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of similar ones, that of the smallest id; rows that share an id stay or go
+    together, and rows with a null id stay."""
+    gone = similar_components(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document with its 4-word-shingle fingerprint (hex) and component at 4 differing bits."""
     found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,6 +1,6 @@
 """Removal of repeated passages by prefix-free parsing.
 
-Triggers are minima of a rolling hash of 16-byte strings: every 100-byte window has one, which depends on its bytes
+Triggers are minima of a rolling hash of 32-byte strings: every 100-byte window has one, which depends on its bytes
 alone.  A phrase is a run of neighbouring windows with the same trigger, with all of their bytes, so phrases overlap and
 every window lies in exactly one.  Equal windows have equal triggers and so meet in phrases of the same trigger; equal
 passages become equal phrases away from their edges.
@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lanternfish.plans.staging import stage
 
-WINDOW, TRIGGER = 100, 16
+WINDOW, TRIGGER = 100, 32  # shorter triggers repeat by chance in large corpora
 BLOCK = 4 << 20
 MAX_BITS = 29
 HOT_LEAST = 1000
-_C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+_C1, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _words(data: np.ndarray, order: str) -> np.ndarray:
@@ -47,12 +47,14 @@ def _words(data: np.ndarray, order: str) -> np.ndarray:
 
 
 def trigger_minima(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every window the least hash of its 16-byte strings, and whether its first string has it."""
+    """For every window the least hash of its trigger-long strings, and whether its first string has it."""
     w = _words(data, "<u8")
-    h = w[: len(w) - 8] * _C1
-    turned = w[8:] * _C2
-    h ^= (turned << np.uint64(31)) | (turned >> np.uint64(33))
-    h ^= h >> np.uint64(29)
+    n = len(w) - (TRIGGER - 8)
+    h = np.zeros(n, dtype=np.uint64)
+    for at in range(0, TRIGGER, 8):
+        h ^= w[at : at + n]
+        h *= _C1
+        h ^= h >> np.uint64(29)
     h *= _C3
     h ^= h >> np.uint64(32)
     span, reach, own = 1, WINDOW - TRIGGER + 1, h
@@ -327,7 +329,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         for _, _, data, stops in _blocks(batches):
             yield parse(data, stops)[0]
 
-    table = spark.sparkContext.broadcast(repeated_slots(usable, triggers, size // 40 + 1))
+    table = spark.sparkContext.broadcast(repeated_slots(usable, triggers, size // 34 + 1))
     occurrences = stage(_phrase_rows(usable, table), "dedup-parse")
     phrases = stage(
         occurrences.groupBy("k", "f").agg(F.min(F.struct("id", "copy", "lo")).alias("first"), F.count("*").alias("n"), F.max("cnt").alias("cnt"))

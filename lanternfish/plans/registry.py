@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lanternfish.plans import analytics, catalogue
+
+QUERIES: dict = catalogue.QUERIES | analytics.QUERIES
+ORACLES: dict[str, str] = catalogue.ORACLES | analytics.ORACLES

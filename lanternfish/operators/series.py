@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lanternfish.functions.frames import object_frame
+
 
 def dense_daily(df: DataFrame, day: Column, since: str, until: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, day, n): counts for every day of the window, zero where there is none."""
@@ -39,9 +41,9 @@ def change_points(daily: DataFrame, by: str, least: int = 10) -> DataFrame:
         group = group.sort_values("day")
         y = group["n"].to_numpy(float)
         if y.sum() < least:
-            return pd.DataFrame({by: [], "start": [], "stop": [], "rate": []})
+            return object_frame([], [by, "start", "stop", "rate"])
         rows = [(group[by].iloc[0], a, b, round(float(y[a:b].mean()), 6)) for a, b in poisson_segments(y)]
-        return pd.DataFrame(rows, columns=[by, "start", "stop", "rate"])
+        return object_frame(rows, [by, "start", "stop", "rate"])
 
     return daily.select(by, "day", "n").groupBy(by).applyInPandas(search, f"{by} string, start long, stop long, rate double")
 
@@ -93,9 +95,9 @@ def hawkes_fit(df: DataFrame, by: str, time: str, least: int = 30) -> DataFrame:
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(group[time].to_numpy(float))
-        empty = pd.DataFrame({by: [], "n": [], "mu": [], "branching": [], "decay_hours": []})
+        names = [by, "n", "mu", "branching", "decay_hours"]
         if len(t) < least:
-            return empty
+            return object_frame([], names)
         t = t - t[0]
         span = max(t[-1], 1e-6)
 
@@ -112,7 +114,7 @@ def hawkes_fit(df: DataFrame, by: str, time: str, least: int = 30) -> DataFrame:
 
         best = min((simplex(nll, np.log([len(t) / span * share, 1 - share, beta])) for share, beta in ((0.5, 2.0), (0.8, 20.0))), key=lambda r: r[1])
         mu, ratio, beta = np.exp(best[0])
-        return pd.DataFrame({by: [group[by].iloc[0]], "n": [len(t)], "mu": [mu], "branching": [ratio], "decay_hours": [24 / beta]})
+        return object_frame([(group[by].iloc[0], len(t), float(mu), float(ratio), float(24 / beta))], names)
 
     return df.select(by, F.col(time).cast("double").alias(time)).groupBy(by).applyInPandas(fit, f"{by} string, n long, mu double, branching double, decay_hours double")
 

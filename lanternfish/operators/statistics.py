@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lanternfish.functions.frames import object_frame
 from lanternfish.operators.ranking import running_sum
 from lanternfish.plans.staging import stage
 
@@ -174,8 +175,8 @@ def bootstrap_interval(df: DataFrame, by: str, value: str, resamples: int = 2000
         if n >= 3:
             rng = np.random.default_rng(seed)
             draws = rng.multinomial(n, group["m"].to_numpy() / n, size=resamples)
-            low, high = np.round(np.percentile(draws @ group["x"].to_numpy() / n, [2.5, 97.5]), 3)
-        return pd.DataFrame({by: [group[by].iloc[0]], "n": [n], "low": [low], "high": [high]})
+            low, high = np.round(np.percentile(draws @ group["x"].to_numpy() / n, [2.5, 97.5]), 3).tolist()
+        return object_frame([(group[by].iloc[0], n, low, high)], [by, "n", "low", "high"])
 
     return hist.groupBy(by).applyInPandas(resample, f"{by} string, n long, low double, high double")
 

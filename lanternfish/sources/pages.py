@@ -23,10 +23,14 @@ def meta_content(page: Column, name: str) -> Column:
     return F.coalesce(F.nullif(one, F.lit("")), F.nullif(two, F.lit("")))
 
 
-@F.pandas_udf("string")
-def unescape(text: pd.Series) -> pd.Series:
+def unescape(text: Column) -> Column:
     """HTML entities as characters (Spark has no such function)."""
-    return text.map(lambda t: None if t is None else html.unescape(t)).astype(object)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else html.unescape(t) for t in texts], dtype=object)
+
+    return run(text)
 
 
 def sitemap_entries(df: DataFrame, xml: str) -> DataFrame:

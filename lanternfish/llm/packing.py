@@ -12,7 +12,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -99,16 +99,16 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int =
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = sized.withColumn("bucket", bucket).repartitionByRange(parts, "bucket", "id").sortWithinPartitions("bucket", "id", "n_tokens")
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, seen = TaskContext.get().partitionId(), {}
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(len(bounds) + 1, dtype=np.int64)
         for batch in batches:
-            at = batch.groupby("bucket", sort=False).cumcount().to_numpy()
-            at = at + batch["bucket"].map(lambda b: seen.get(b, 0)).to_numpy() if len(batch) else at
-            for b, n in batch["bucket"].value_counts().items():
-                seen[b] = seen.get(b, 0) + int(n)
-            yield batch.assign(part=part, place=at)
+            own = batch.column("bucket").to_numpy()  # sorted, so that each bucket is one run
+            starts = np.searchsorted(own, own, side="left")
+            place = seen[own] + np.arange(len(own)) - starts
+            seen += np.bincount(own, minlength=len(seen))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(own), part, np.int32)), pa.array(place)], [*batch.schema.names, "part", "place"])
 
-    placed = stage(ordered.mapInPandas(number, "id long, n_tokens long, bucket int, part int, place long"), "packing-places")
+    placed = stage(ordered.mapInArrow(number, "id long, n_tokens long, bucket int, part int, place long"), "packing-places")
     counts = sorted((r["bucket"], r["part"], r["n"]) for r in placed.groupBy("bucket", "part").agg(F.count("*").alias("n")).collect())  # buckets + partitions rows
     before, seen = [], {}
     for b, part, n in counts:

@@ -64,7 +64,7 @@ class ShardWriter:
         self.chunks, self.docs, self.lengths = [], [], []
         self.press = zstandard.ZstdCompressor(level=_LEVEL)
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         """``ids``: little-endian unsigned 32-bit integers."""
         self.docs.append(doc_id)
         self.lengths.append(len(ids) // 4)
@@ -216,10 +216,11 @@ def write_token_planes(docs: DataFrame, folder: str, tokenizer_file: str, end_id
     """Encode every text, add ``end_id``, and write shards whose names and contents run in ascending id order.
 
     Gives one row for each shard: shard, path, n_docs, n_tokens, start (ids of all shards before it).  Null texts count
-    as empty; rows with equal ids stand next to each other, in order of their texts' hashes.
+    as empty; rows with equal ids stand next to each other, in order of their texts' hashes; null ids come first.
     """
     end = int(end_id).to_bytes(4, "little")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    id = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(id, F.lit(-(2**63))).alias("id"), id.isNull().alias("none"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", F.xxhash64("body"))
 
@@ -230,9 +231,9 @@ def write_token_planes(docs: DataFrame, folder: str, tokenizer_file: str, end_id
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.iloc[at : at + 512]
-                for doc, ids in zip(part["id"].tolist(), words.encode(part["body"].tolist())):
+                for doc, none, ids in zip(part["id"].tolist(), part["none"].tolist(), words.encode(part["body"].tolist())):
                     writer = writer or ShardWriter(f"{folder}/shard-{shard:06d}.planes", kind, block)
-                    writer.add(doc, ids + end)
+                    writer.add(None if none else doc, ids + end)
         if writer:
             n = writer.close()
             yield object_frame([(shard, f"{folder}/shard-{shard:06d}.planes", len(writer.docs), n)], ["shard", "path", "n_docs", "n_tokens"])

@@ -50,6 +50,12 @@ def test_odd_rows(odd_docs, no_docs):
     assert packing.pack(no_docs, length).count() == 0
 
 
+def test_null_ids(spark):
+    docs = spark.createDataFrame([(2**62 + 1, "a b"), (None, "c d"), (None, None)], "doc_id long, text string")
+    rows = packing.pack(docs, packing.word_tokens(F.col("text")), buckets=1).collect()
+    assert sorted((r["doc_id"] or 0, r["slot"]) for r in rows) == [(0, 0), (0, 1), (2**62 + 1, 2)]
+
+
 def test_coarse_histogram_still_covers(spark):
     lengths = spark.createDataFrame([(i * i,) for i in range(1, 200)], "n long")
     bounds = packing.length_boundaries(lengths, "n", 4, bins=50)

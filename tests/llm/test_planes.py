@@ -32,6 +32,13 @@ def test_odd_rows_and_empty_table(spark, odd_docs, no_docs):
     assert planes.read_token_planes(none).count() == 0
 
 
+def test_null_ids_come_first(spark):
+    docs = spark.createDataFrame([(2**62 + 1, "b c"), (None, "a"), (None, None)], "doc_id long, text string")
+    shards = planes.write_token_planes(docs, planes.write_target(spark, "t"), FILE, 2)
+    rows = sorted(planes.read_token_planes(shards).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == [None, None, 2**62 + 1] and sorted(r["n_tokens"] for r in rows) == [1, 2, 3]
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 @given(ids=st.lists(st.integers(0, 2**32 - 1), max_size=70))
 def test_planes_round_trip(kind, ids):

@@ -6,7 +6,8 @@ every window lies in exactly one.  Equal windows have equal triggers and so meet
 passages become equal phrases away from their edges.
 
 The dictionary holds each distinct phrase once, with its first occurrence; the parse is the list of the phrases'
-occurrences.  All later occurrences of a phrase are repeats.  Where distinct phrases share a trigger, the suffixes of
+occurrences.  All later occurrences of a phrase are repeats.  This is done twice: coarse phrases of about a thousand bytes
+take out the long repeats with few rows, and only first occurrences of those are parsed into fine phrases.  Where distinct phrases share a trigger, the suffixes of
 the dictionary that are long enough to hold a window are ordered (a suffix array by prefix doubling, cut at the window's
 length), and each group of equal windows keeps its first occurrence in corpus order, which the parse gives.  As phrases
 carry the overlap, no suffix of the parse beyond the first phrase is needed to compare windows of fixed length.
@@ -30,7 +31,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lanternfish.plans.staging import stage
 
 WINDOW, TRIGGER = 100, 32  # shorter triggers repeat by chance in large corpora
-BLOCK = 4 << 20
+BLOCK = 256 << 10  # bytes parsed at a time, so that the arrays stay in a core's cache
+SORT_BYTES = 2 << 20
+COARSE = np.uint64(31)
 MAX_BITS = 29
 HOT_LEAST = 1000
 _C1, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -83,7 +86,32 @@ def parse(data: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     text = np.searchsorted(stops, first, side="right")
     keep = first + WINDOW <= stops[text]
     first, n, text = first[keep], n[keep], text[keep]
-    return minima[first], text, first, n
+    spread = minima[first] * _C3  # least values crowd near zero; slots are taken from the upper bits
+    spread ^= spread >> np.uint64(32)
+    return spread * _C1, text, first, n
+
+
+def coarse_phrases(k: np.ndarray, text: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coarse phrases of about 32 phrases: the number of each one's first phrase, and its windows.  They break where a
+    trigger's last five bits are zero, so that equal long passages break alike."""
+    fresh = (k & COARSE) == 0
+    fresh[:1] = True
+    fresh[1:] |= text[1:] != text[:-1]
+    head = np.flatnonzero(fresh)
+    return head, np.add.reduceat(n, head) if len(head) else n
+
+
+def _fresh_phrases(block, heads) -> tuple:
+    """Phrases of a block inside coarse phrases that may be first occurrences, and the runs of those that are not."""
+    ids, copies, data, stops = block
+    k, text, first, n = parse(data, stops)
+    lo = first - np.concatenate(([0], stops[:-1]))[text]
+    head, span = coarse_phrases(k, text, first, n)
+    at = text[head]
+    known = in_slots(heads, place_hashes(ids[at], copies[at], lo[head]))
+    keep = np.repeat(known, np.diff(np.append(head, len(k))))
+    later = ids[at[~known]], copies[at[~known]], lo[head[~known]], span[~known]
+    return k[keep], text[keep], first[keep], n[keep], lo[keep], later
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -106,11 +134,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield block()
 
 
-def repeated_slots(rows: DataFrame, hashes, expected: int) -> np.ndarray | None:
-    """A table of bits: those slots of 64-bit hashes that two or more items fall into.
+def slot_table(rows: DataFrame, hashes, expected: int, least: int = 2) -> np.ndarray | None:
+    """A table of bits: those slots of 64-bit hashes that ``least`` (one or two) or more items fall into.
 
     ``hashes`` turns the batches of a task into arrays of hashes.  The table has about 12 bits an expected item, up to
-    ``MAX_BITS``; far more items than bits would fill it, so then there is none (None: every item counts as repeated).
+    ``MAX_BITS``; far more items than bits would fill it, so then there is none (None: every slot counts as hit).
     It only keeps work away, so false hits change no result.
     """
     bits = min(MAX_BITS, max(16, int(expected * 12).bit_length()))
@@ -124,7 +152,7 @@ def repeated_slots(rows: DataFrame, hashes, expected: int) -> np.ndarray | None:
             slots, n = np.unique(np.concatenate(held), return_counts=True)
             cuts = np.searchsorted(slots, np.arange((1 << split) + 1, dtype=np.uint64) << np.uint64(bits - split))
             for b in range(1 << split):
-                part, many = slots[cuts[b] : cuts[b + 1]].astype(np.uint32), n[cuts[b] : cuts[b + 1]] > 1
+                part, many = slots[cuts[b] : cuts[b + 1]].astype(np.uint32), n[cuts[b] : cuts[b + 1]] >= least
                 if len(part):
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.array([part[many].tobytes()], pa.binary())], ["bucket", "once", "many"])
 
@@ -152,6 +180,21 @@ def in_slots(table: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
     return (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def place_hashes(ids: np.ndarray, copies: np.ndarray, los: np.ndarray) -> np.ndarray:
+    """64-bit hashes of places of phrases."""
+    h = ids.astype(np.int64).view(np.uint64) * _C1
+    for part in (copies, los):
+        h ^= h >> np.uint64(31)
+        h = (h + part.astype(np.uint64)) * _C3
+    h ^= h >> np.uint64(29)
+    return h * _C1
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        yield place_hashes(*(batch.column(c).to_numpy() for c in ("id", "copy", "lo")))
+
+
 def window_ranks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Ranks, in lexicographic order, of the windows at the given positions: prefix doubling, cut at the window's length."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -180,43 +223,64 @@ def _first_owned(contents: list[bytes], ids: np.ndarray, copies: np.ndarray, los
 
 
 _PHRASE = "k long, f long, id long, copy int, lo int, cnt int"
+_PLACE = "id long, copy int, lo int"
 _MASK = "id long, copy int, lo int, cnt int, mask binary"
 
 
-def _phrase_rows(texts: DataFrame, table) -> DataFrame:
-    """The parse: trigger, digest and place of every phrase whose trigger occurs more than once."""
+def _coarse_rows(texts: DataFrame) -> DataFrame:
+    """(digest, id, copy, lo): every coarse phrase with a 128-bit digest of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, copies, data, stops in _blocks(batches):
             k, text, first, n = parse(data, stops)
+            head, span = coarse_phrases(k, text, first, n)
+            raw, at, start = data.tobytes(), text[head], first[head]
+            digest = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), (start + span + WINDOW - 1).tolist())]
+            lo = start - np.concatenate(([0], stops[:-1]))[at]
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(ids[at]), pa.array(copies[at]), pa.array(lo.astype(np.int32))], ["digest", "id", "copy", "lo"])
+
+    return texts.mapInArrow(run, f"digest binary, {_PLACE}")
+
+
+def _phrase_rows(texts: DataFrame, heads, table) -> DataFrame:
+    """The parse of what may be new: trigger, digest and place of every phrase whose trigger occurs more than once; and, with
+    null trigger and digest, the runs that are later occurrences of coarse phrases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            ids, copies, data, _ = block
+            k, text, first, n, lo, later = _fresh_phrases(block, heads.value)
             keep = in_slots(table.value, k)
-            k, text, first, n = k[keep], text[keep], first[keep], n[keep]
+            k, text, first, n, lo = k[keep], text[keep], first[keep], n[keep], lo[keep]
             raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
             f = np.array([digest(raw[a:b]) for a, b in zip(first.tolist(), (first + n + WINDOW - 1).tolist())], dtype=np.uint64)
-            lo = first - np.concatenate(([0], stops[:-1]))[text]
-            for a in range(0, len(k), 100_000):
-                b = a + 100_000
-                yield pa.RecordBatch.from_arrays([pa.array(k[a:b].view(np.int64)), pa.array(f[a:b].view(np.int64)), pa.array(ids[text[a:b]]), pa.array(copies[text[a:b]]),
-                                                  pa.array(lo[a:b].astype(np.int32)), pa.array(n[a:b].astype(np.int32))], ["k", "f", "id", "copy", "lo", "cnt"])
+            i32 = lambda x: pa.array(x.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(f.view(np.int64)), pa.array(ids[text]), i32(copies[text]), i32(lo), i32(n)], ["k", "f", "id", "copy", "lo", "cnt"])
+            none = pa.nulls(len(later[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(later[0]), *map(i32, later[1:])], ["k", "f", "id", "copy", "lo", "cnt"])
 
     return texts.mapInArrow(run, _PHRASE)
 
 
-def _contents(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (one row a distinct phrase, at its first occurrence) with the phrases' bytes."""
-    listed = wanted.groupBy("id", "copy").agg(F.collect_list(F.struct("lo", "cnt", "k", "f")).alias("want"))  # a document's own phrases
+def _contents(texts: DataFrame, heads, table) -> DataFrame:
+    """The phrases, with their bytes, at the places in the table of first occurrences.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, c, text, want in zip(batch["id"].tolist(), batch["copy"].tolist(), batch["body"], batch["want"]):
-                raw = text.encode("utf-8", "surrogatepass")
-                rows += [(w["k"], w["f"], i, c, w["lo"], w["cnt"], raw[w["lo"] : w["lo"] + w["cnt"] + WINDOW - 1]) for w in want]
-            for a in range(0, len(rows), 50_000):
-                part = list(zip(*rows[a : a + 50_000]))
-                yield pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in zip(("k", "f", "id", "copy", "lo", "cnt", "content"), part)})
+    The texts are parsed again where they lie, so none of them is shuffled.  A false hit adds a later occurrence, whose
+    windows are repeats anyway.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            ids, copies, data, _ = block
+            k, text, first, n, lo, _ = _fresh_phrases(block, heads.value)
+            keep = in_slots(table.value, place_hashes(ids[text], copies[text], lo))
+            k, text, first, n, lo = k[keep], text[keep], first[keep], n[keep], lo[keep]
+            raw = data.tobytes()
+            content = [raw[x:y] for x, y in zip(first.tolist(), (first + n + WINDOW - 1).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(ids[text]), pa.array(copies[text]),
+                                              pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(content, pa.binary())], ["k", "id", "copy", "lo", "cnt", "content"])
 
-    return texts.join(listed, ["id", "copy"]).select("id", "copy", "body", "want").mapInPandas(run, _PHRASE + ", content binary")
+    return texts.mapInArrow(run, "k long, id long, copy int, lo int, cnt int, content binary")
 
 
 def _cold_masks(phrases: DataFrame) -> DataFrame:
@@ -229,7 +293,7 @@ def _cold_masks(phrases: DataFrame) -> DataFrame:
         for batch in batches:
             held.append(batch)
             size += int(batch["content"].map(len).sum())
-            if size >= BLOCK // 2:
+            if size >= SORT_BYTES:
                 rows = pd.concat(held)
                 open_group = rows["k"] == rows["k"].iloc[-1]
                 yield from solve(rows[~open_group])
@@ -245,7 +309,7 @@ def _cold_masks(phrases: DataFrame) -> DataFrame:
         at = 0
         for e, _ in enumerate(edges):  # whole groups up to a few megabytes
             stop = edges[e + 1] if e + 1 < len(edges) else len(key)
-            if stop == len(key) or lengths[stop - 1] - (lengths[at - 1] if at else 0) >= BLOCK // 2:
+            if stop == len(key) or lengths[stop - 1] - (lengths[at - 1] if at else 0) >= SORT_BYTES:
                 part = rows.iloc[at:stop]
                 own = _first_owned(part["content"].tolist(), part["id"].to_numpy(), part["copy"].to_numpy(), part["lo"].to_numpy(), part["cnt"].to_numpy())
                 keep = [not o.all() for o in own]
@@ -273,7 +337,7 @@ def _hot_masks(phrases: DataFrame, expected: int) -> DataFrame:
             for _, h, _ in digests({"content": batch.column("content").to_pylist()}):
                 yield h
 
-    table = phrases.sparkSession.sparkContext.broadcast(repeated_slots(phrases, hashes, expected))
+    table = phrases.sparkSession.sparkContext.broadcast(slot_table(phrases, hashes, expected))
 
     def firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -325,29 +389,43 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     usable = texts.where(F.col("id").isNotNull() & (F.octet_length("body") >= WINDOW)).select("id", "copy", "body")
     size = usable.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
 
+    coarse = stage(_coarse_rows(usable).groupBy("digest").agg(F.min(F.struct("id", "copy", "lo")).alias("p")).select("p.id", "p.copy", "p.lo"), "dedup-coarse")
+    heads = spark.sparkContext.broadcast(slot_table(coarse, _places, coarse.count() + 1, 1))
+
     def triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for _, _, data, stops in _blocks(batches):
-            yield parse(data, stops)[0]
+        for block in _blocks(batches):
+            yield _fresh_phrases(block, heads.value)[0]
 
-    table = spark.sparkContext.broadcast(repeated_slots(usable, triggers, size // 34 + 1))
-    occurrences = stage(_phrase_rows(usable, table), "dedup-parse")
+    table = spark.sparkContext.broadcast(slot_table(usable, triggers, size // 34 + 1))
+    parsed = stage(_phrase_rows(usable, heads, table), "dedup-parse")
+    occurrences = parsed.where("k IS NOT NULL")
     phrases = stage(
-        occurrences.groupBy("k", "f").agg(F.min(F.struct("id", "copy", "lo")).alias("first"), F.count("*").alias("n"), F.max("cnt").alias("cnt"))
-        .select("k", "f", "first.id", "first.copy", "first.lo", "n", "cnt"), "dedup-dictionary")
+        occurrences.groupBy("k", "f").agg(F.min(F.struct("id", "copy", "lo")).alias("first"))
+        .select("k", "first.id", "first.copy", "first.lo"), "dedup-dictionary")
     shared = stage(phrases.groupBy("k").agg(F.count("*").alias("kinds")).where("kinds > 1"), "dedup-shared")
     total = shared.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     limit = max(HOT_LEAST, total // (4 * parts))
-    several = phrases.join(shared, "k").select("k", "f", "id", "copy", "lo", "cnt", (F.col("kinds") > limit).alias("hot"))
-    content = stage(_contents(usable, several.select("k", "f", "id", "copy", "lo", "cnt")).join(
-        F.broadcast(shared.where(F.col("kinds") > limit).select("k", F.lit(True).alias("hot"))), "k", "left"), "dedup-content")  # at most 4 x partitions rows
+    several = phrases.join(shared, "k").select("id", "copy", "lo")
+    wanted = spark.sparkContext.broadcast(slot_table(several, _places, total + 1, 1))
+    hot_keys = shared.where(F.col("kinds") > limit).select("k", F.lit(True).alias("hot"))  # at most 4 x partitions rows
+    content = stage(_contents(usable, heads, wanted).join(F.broadcast(hot_keys), "k", "left"), "dedup-content")
     masks = _cold_masks(content.where("hot IS NULL").drop("hot"))
     hot = content.where("hot").drop("hot")
     n_hot = hot.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
     if n_hot:
         masks = masks.union(_hot_masks(hot, n_hot))
-    first = phrases.where("n > 1").select("k", "f", F.col("id").alias("fid"), F.col("copy").alias("fcopy"), F.col("lo").alias("flo"))
-    later = occurrences.join(first, ["k", "f"]).where((F.col("id") != F.col("fid")) | (F.col("copy") != F.col("fcopy")) | (F.col("lo") != F.col("flo")))
-    runs = later.select("id", "copy", "lo", "cnt", F.lit(None).cast("binary").alias("mask")).union(masks.select("id", "copy", "lo", "cnt", "mask"))
+    n_first = phrases.count()
+    firsts = spark.sparkContext.broadcast(slot_table(phrases.select("id", "copy", "lo"), _places, n_first + 1, 1))
+
+    @F.pandas_udf("boolean")
+    def maybe_first(ids: pd.Series, copies: pd.Series, los: pd.Series) -> pd.Series:
+        return pd.Series(in_slots(firsts.value, place_hashes(ids.to_numpy(), copies.to_numpy(), los.to_numpy())))
+
+    told = occurrences.select("id", "copy", "lo", "cnt", maybe_first("id", "copy", "lo").alias("maybe"))
+    doubtful = told.where("maybe").join(phrases.select("id", "copy", "lo"), ["id", "copy", "lo"], "left_anti")
+    copied = parsed.where("k IS NULL").select("id", "copy", "lo", "cnt")
+    later = told.where("NOT maybe").unionByName(doubtful).select("id", "copy", "lo", "cnt").union(copied).withColumn("mask", F.lit(None).cast("binary"))
+    runs = later.union(masks.select("id", "copy", "lo", "cnt", "mask"))
     return runs.groupBy("id", "copy").agg(F.collect_list(F.struct("lo", "cnt", "mask")).alias("runs"))  # a document's own phrases
 
 

@@ -73,3 +73,29 @@ def test_near_copies(spark):
         assert {r["component_id"] for r in found} == want and all(r["component_id"] == r["doc_id"] // 100 * 100 for r in found)
     kept = [r["doc_id"] for r in simhash.without_near_copies(docs).collect()]
     assert sorted(k for k in kept if k is not None) == sorted([*want, 9001]) and None in kept
+
+
+def test_near_copies_are_exact(spark):
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    line = " ".join(word() for _ in range(10))
+    rows = [(i, "\n".join([line] * 100) + "\n" + " ".join(word() for _ in range(300))) for i in (1, 2)]  # a frequent line only
+    for k in range(150):  # 404 words, 400 shingles; a changed tail of 44 or 45 leaves 0.802 or 0.798
+        words = [word() for _ in range(404)]
+        rows += [(1000 + 2 * k, " ".join(words)), (1001 + 2 * k, " ".join(words[: 360 - k % 2] + [word() for _ in range(44 + k % 2)]))]
+    chain = [word() for _ in range(240)]
+    rows += [(5000 + k, " ".join(chain[4 * k : 4 * k + 100])) for k in range(30)]  # each like its next ones
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    assert {root[1], root[2]} == {1, 2} and sum(root[1001 + 2 * k] == 1000 + 2 * k for k in range(150)) == 75
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for part in (1 << 20, 3000):
+        found = simhash.similar_components(docs, bytes_a_part=part).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == root

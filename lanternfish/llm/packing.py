@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lanternfish.plans.staging import stage
 
-BUCKETS, BUDGET, BINS = 16, 65_536, 1 << 16
+BUCKETS, BUDGET = 16, 65_536
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -63,14 +63,14 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     return sorted(set(out))
 
 
-def length_boundaries(lengths: DataFrame, length_col: str, buckets: int = BUCKETS, bins: int = BINS) -> list[int]:
-    """Boundaries from the histogram of all rows.  It is exact up to ``bins`` tokens; beyond, lengths are rounded up to a
-    multiple that keeps the histogram within ``bins`` rows, whatever the number of documents."""
+def length_boundaries(lengths: DataFrame, length_col: str, buckets: int = BUCKETS, bins: int | None = None) -> list[int]:
+    """Boundaries from the exact histogram of all rows, whose distinct lengths number at most the square root of twice the
+    tokens.  Only if ``bins`` is given, lengths are rounded up to a multiple that keeps the histogram within so many rows."""
     largest = lengths.agg(F.max(length_col)).first()[0]
     if largest is None:
         return []
-    width = max(1, -(-int(largest) // bins))
-    rounded = (F.ceil(F.col(length_col) / width) * width).cast("long")
+    width = 1 if bins is None else max(1, -(-int(largest) // bins))
+    rounded = F.col(length_col) if width == 1 else (F.ceil(F.col(length_col) / width) * width).cast("long")
     rows = lengths.groupBy(rounded.alias("length")).agg(F.count("*").alias("n")).collect()
     rows = sorted((min(int(r["length"]), int(largest)), r["n"]) for r in rows)
     return optimal_boundaries(np.array([r[0] for r in rows], dtype=np.float64), np.array([r[1] for r in rows], dtype=np.float64), buckets)

@@ -60,3 +60,8 @@ def test_coarse_histogram_still_covers(spark):
     lengths = spark.createDataFrame([(i * i,) for i in range(1, 200)], "n long")
     bounds = packing.length_boundaries(lengths, "n", 4, bins=50)
     assert bounds[-1] == 199 * 199 and len(bounds) <= 4
+
+
+def test_one_long_text_keeps_short_boundaries(spark):
+    lengths = spark.createDataFrame([(i,) for i in range(1, 16)] + [(10_000_000,)], "n long")
+    assert packing.length_boundaries(lengths, "n") == [*range(1, 16), 10_000_000]

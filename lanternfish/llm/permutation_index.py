@@ -3,7 +3,8 @@
 Pivots are drawn from a bounded sample.  A vector is represented by the order of its ``prefix`` nearest pivots and
 posted in those pivots' inverted files with its weight (prefix minus rank).  A query goes through the files of its own
 nearest pivots: the footrule distance of two truncated orders is a constant less twice the sum, over common pivots, of
-the smaller weight, so candidates are ranked by that sum.  The best of them are reranked by the exact inner product.
+the smaller weight, so candidates are ranked by that sum.  The best of them are reranked by the exact inner product.  A tile's equal
+vectors are one candidate, so that copies take no others' places; a winner stands for its smallest ids.
 Largest inner product becomes nearest neighbour by the usual lift: rows are scaled by the largest norm and given one
 more component that makes them unit; queries are made unit.
 """
@@ -43,6 +44,13 @@ def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE
     return {d: np.unique(np.array(v), axis=0)[:: max(1, len(v) // pivots)][:pivots] for d, v in by.items()}
 
 
+def collapsed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows, the ids grouped by them in ascending order, and where each row's ids start (one more than rows)."""
+    keys = np.ascontiguousarray(rows + 0.0).view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel()
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    return rows[first], ids[np.lexsort((ids, which))], np.concatenate(([0], np.cumsum(np.bincount(which))))
+
+
 def candidate_count(n: int) -> int:
     """Candidates reranked for each query: sixteen times the square root of the rows, 400 at least."""
     return max(400, 16 * math.isqrt(n))
@@ -67,7 +75,8 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     def kernel(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, _: object) -> Iterator:
         dim = rows.shape[1]
         share = max(k + 1, -(-wanted * len(ids) // max(1, n)))
-        indexed = dim in chosen and share < len(ids) and math.isfinite(norms[dim])
+        rows, members, starts = collapsed(ids, rows)
+        indexed = dim in chosen and share < len(rows) and math.isfinite(norms[dim])
         if indexed:
             axes = lift(chosen[dim], norms[dim])
             depth = min(prefix, len(axes))
@@ -76,15 +85,22 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
             own = np.argsort(-(unit @ axes.T), axis=1, kind="stable")[:, :depth]
         for j, q in enumerate(query_ids.tolist()):
             if indexed:
-                common = np.zeros(len(ids), dtype=np.uint16)
+                common = np.zeros(len(rows), dtype=np.uint16)
                 for rank, p in enumerate(own[j]):
                     common += np.minimum(files[p], np.uint8(depth - rank))
                 take = np.argpartition(common, len(common) - share)[len(common) - share :]
-                take = take[ids[take] != q]
             else:
-                take = np.flatnonzero(ids != q)
-            if len(take):
-                yield (q, *top_of(ids[take], (rows[take] * queries[j]).sum(axis=1), k))
+                take = np.arange(len(rows))
+            scores = (rows[take] * queries[j]).sum(axis=1)
+            if len(take) > k + 1:  # one may be the query's own
+                best = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+                take, scores = take[best], scores[best]
+            many = np.minimum(starts[take + 1] - starts[take], k + 1)
+            at = np.repeat(starts[take] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            found, scores = members[at], np.repeat(scores, many)
+            others = found != q
+            if others.any():
+                yield (q, *top_of(found[others], scores[others], k))
 
     return ranked(best_of_pairs(pairs, kernel, k, "double"))
 

@@ -101,3 +101,19 @@ def test_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert permutation_index.nearest(none, query()).count() == 0
     assert threshold.top_products(none, query()).count() == 0
+
+
+def test_permutation_hot_copies(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(20_000, 8))
+    hot = rng.permutation(20_000)[: 20_000 // 3]
+    v[hot] = v[hot[0]] / np.linalg.norm(v[hot[0]]) * 4  # a third of all rows are copies
+    ids = np.arange(20_000)
+    found = got(permutation_index.nearest(frame(spark, list(zip(ids.tolist(), v.tolist()))), F.col("id") % 200 == 0))
+    hits, copies, wanted = 0, 0, 0
+    for q in ids[::200].tolist():
+        scores = (v * v[q]).sum(axis=1)
+        scores[q] = -np.inf
+        want, mine = set(np.lexsort((ids, -scores))[:20].tolist()), {i for i, _ in found[q]}
+        hits, copies, wanted = hits + len(want & mine), copies + len(want & mine & set(hot.tolist())), wanted + len(want & set(hot.tolist()))
+    assert wanted > 0 and copies >= 0.99 * wanted and hits >= 0.9 * 20 * 100

@@ -8,10 +8,14 @@ from lanternfish.plans.staging import fresh_path
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
-    """A file stream over one table; its schema is read from the table."""
+    """A file stream over one table; its schema is read from the table.
+
+    All files that are there form one batch: their order says nothing of their times, so with a batch a file the watermark
+    of the first would drop rows of the next as late.
+    """
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    reader = spark.readStream.schema(schema)
     return reader.option("pathGlobFilter", "*.parquet").parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", name).parquet(folder)
 
 

@@ -45,3 +45,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_streams_over_several_files(spark, small, tmp_path):
+    spark.read.parquet(f"{small}/events.parquet").repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("stream_watermark", "stream_dedupe"):  # every file spans the whole time
+        found, want = (sorted(map(tuple, registry.QUERIES[name](spark, d).collect())) for d in (str(tmp_path), small))
+        assert found == want and found

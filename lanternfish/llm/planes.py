@@ -18,6 +18,8 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
@@ -29,6 +31,7 @@ from lanternfish.plans.staging import fresh_path, stage
 MAGIC = b"LFPLANE1"
 BLOCK = 1 << 17
 _LEVEL = 1
+TEXT_BYTES = 4 << 20  # of text encoded at a time
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
@@ -64,17 +67,17 @@ class ShardWriter:
         self.chunks, self.docs, self.lengths = [], [], []
         self.press = zstandard.ZstdCompressor(level=_LEVEL)
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        """``ids``: little-endian unsigned 32-bit integers."""
-        self.docs.append(doc_id)
-        self.lengths.append(len(ids) // 4)
+    def add(self, doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> None:
+        """Documents with the number of ids of each, and all their ids as unsigned 32-bit integers."""
+        self.docs += doc_ids
+        self.lengths += lengths
         self.pending.append(ids)
-        self.held += len(ids) // 4
+        self.held += len(ids)
         if self.held >= self.block:
             self._flush(self.held - self.held % self.block)
 
     def _flush(self, n: int) -> None:
-        flat = np.frombuffer(b"".join(self.pending), dtype="<u4")
+        flat = np.concatenate(self.pending)
         for a in range(0, n, self.block):
             ids = flat[a : min(a + self.block, n)]
             planes = [self.press.compress(p) if p else b"" for p in to_planes(ids, self.kind)]
@@ -82,7 +85,7 @@ class ShardWriter:
             for p in planes:
                 self.out.write(p)
                 self.at += len(p)
-        self.pending, self.held = [flat[n:].tobytes()], len(flat) - n
+        self.pending, self.held = [flat[n:].copy()], len(flat) - n
 
     def close(self) -> int:
         """Writes the rest and the index; the number of ids in the shard."""
@@ -123,83 +126,94 @@ def read_shard(path: str) -> Iterator[tuple[int, np.ndarray]]:
             held = flat[n:]
 
 
+def byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary: printable Latin-1 ones stand for
+    themselves, the others follow from U+0100 on in ascending order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 class WordIds:
-    """Ids of whitespace-separated words by the tokenizers library, each distinct word encoded once while it is kept.
+    """Ids of whitespace-separated words by the tokenizers library, each distinct word of a block looked up once.
 
     The normaliser drops white space and no token spans it, so a text's ids are those of its words in order.  Plain
-    Latin words are lower-cased first and encoded many at a time without the normaliser, which leaves them as they
-    are; every other word goes through the whole tokenizer.
+    Latin words (and their trailing marks) are lower-cased and go to the tokenizer's model at once, as the normaliser
+    leaves them as they are; every other word goes through the whole tokenizer.  Ids of plain words are kept from block to block.
     """
 
-    ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-    SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
-    PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-    MARK = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,])")
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*]*)")
 
-    def __init__(self, tokenizer_file: str, limit: int = 400_000):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    def __init__(self, tokenizer_file: str, limit: int = 500_000):
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(tokenizer_file)
-        self.plain = Tokenizer.from_file(tokenizer_file)
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
-        suffix = json.loads(self.plain.to_str())["model"].get("end_of_word_suffix") or ""
-        vocabulary = self.plain.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.model = self.whole.model
+        self.letters = byte_letters()
         self.limit = limit
-        self.words: dict[str, bytes] = {}
         self.lower: dict[str, bytes] = {}
-        self.marks = {m: self._whole(m) for m in ".,"}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.whole.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn_plain(self, words: list[str]) -> None:
-        for at in range(0, len(words), 500):
-            part = words[at : at + 500]
-            ids = np.array(self.plain.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, int)
-            if len(cuts) == len(part) and cuts[-1] == len(ids):
-                octets, cuts = ids.tobytes(), (4 * cuts).tolist()
-                self.lower.update(zip(part, (octets[a:b] for a, b in zip([0, *cuts], cuts))))
-            else:
-                self.lower.update((w, self._whole(w)) for w in part)
-
-    def _learn(self, words: list[str]) -> None:
-        plain, marked = {}, []
+    def _plain(self, low: str) -> bytes:
+        spelled = low if low.isascii() else "".join([self.letters[b] for b in low.encode()])
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return np.array(ids, dtype="<u4").tobytes() if len(ids) > 1 else ids[0].to_bytes(4, "little")
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each word."""
+        if len(self.lower) > self.limit:
+            self.lower.clear()
+        out = []
         for w in words:
-            if self.PLAIN.fullmatch(w):
-                plain[w] = w.lower()
-            elif m := self.MARK.fullmatch(w):
-                plain[w] = m[1].lower()
-                marked.append((w, m[2]))
-            else:
-                self.words[w] = self._whole(w)
-        self._learn_plain([w for w in dict.fromkeys(plain.values()) if w not in self.lower])
-        for w, low in plain.items():
-            self.words[w] = self.lower[low]
-        for w, mark in marked:
-            self.words[w] += self.marks[mark]
-
-    def split(self, text: str) -> list[str]:
-        if self.ODD_SPACE.search(text):
-            return [w for w in self.SPACE.split(text) if w]
-        return text.split()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        for at in range(0, len(texts), 64):
-            split = [self.split(t) for t in texts[at : at + 64]]
-            if len(self.words) > self.limit:
-                self.words.clear()
-            if len(self.lower) > self.limit:
-                self.lower.clear()
-            table = self.words
-            self._learn([w for w in dict.fromkeys(chain.from_iterable(split)) if w not in table])
-            for words in split:
-                yield b"".join(map(table.__getitem__, words))
+            m = self.PLAIN.fullmatch(w)
+            if not m:
+                out.append(self._whole(w) if w else b"")
+                continue
+            core, mark = m.groups()
+            low = core.lower()
+            ids = self.lower.get(low)
+            if ids is None:
+                ids = self.lower[low] = self._plain(low)
+            if mark:
+                if mark not in self.marks:
+                    if len(self.marks) > 10_000:
+                        self.marks = {"": b""}
+                    self.marks[mark] = self._whole(mark)
+                ids += self.marks[mark]
+            out.append(ids)
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts put together, and the number of ids of each, with ``end_id`` behind each if it is given."""
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        counts = np.diff(lists.offsets.to_numpy())
+        known = self.words(words.dictionary.to_pylist())
+        index = words.indices.to_numpy()
+        text = np.repeat(np.arange(len(counts)), counts)
+        if end_id is not None:
+            known.append(int(end_id).to_bytes(4, "little"))
+            all_index = np.full(len(index) + len(counts), len(known) - 1, dtype=np.int64)
+            all_index[np.arange(len(index)) + text] = index  # one place is left behind each text
+            index, text = all_index, np.repeat(np.arange(len(counts)), counts + 1)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[index]
+        to = np.cumsum(each) - each
+        flat = np.frombuffer(b"".join(known), dtype="<u4")[np.repeat(starts[index] - to, each) + np.arange(each.sum())]
+        return flat, np.bincount(text, weights=each, minlength=len(counts)).astype(np.int64)
+
+
+def text_blocks(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about ``size`` bytes of text each; a longer text is a slice of its own."""
+    upto = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.unique(np.searchsorted(upto, np.arange(size, upto[-1], size)) if len(upto) else [])
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -218,27 +232,26 @@ def write_token_planes(docs: DataFrame, folder: str, tokenizer_file: str, end_id
     Gives one row for each shard: shard, path, n_docs, n_tokens, start (ids of all shards before it).  Null texts count
     as empty; rows with equal ids stand next to each other, in order of their texts' hashes; null ids come first.
     """
-    end = int(end_id).to_bytes(4, "little")
     id = F.col(id_col).cast("long")
     rows = docs.select(F.coalesce(id, F.lit(-(2**63))).alias("id"), id.isNull().alias("none"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", F.xxhash64("body"))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
+        path = f"{folder}/shard-{shard:06d}.planes"
         writer = None
         words = words_for(tokenizer_file)
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                for doc, none, ids in zip(part["id"].tolist(), part["none"].tolist(), words.encode(part["body"].tolist())):
-                    writer = writer or ShardWriter(f"{folder}/shard-{shard:06d}.planes", kind, block)
-                    writer.add(None if none else doc, ids + end)
+        for part in chain.from_iterable(text_blocks(b, "body", TEXT_BYTES) for b in batches):
+            ids, lengths = words.encode(part.column("body"), end_id)
+            names = [None if none else d for d, none in zip(part.column("id").to_pylist(), part.column("none").to_pylist())]
+            writer = writer or ShardWriter(path, kind, block)
+            writer.add(names, lengths.tolist(), ids)
         if writer:
             n = writer.close()
-            yield object_frame([(shard, f"{folder}/shard-{shard:06d}.planes", len(writer.docs), n)], ["shard", "path", "n_docs", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([len(writer.docs)]), pa.array([n])], ["shard", "path", "n_docs", "n_tokens"])
 
-    shards = stage(ordered.mapInPandas(write, "shard int, path string, n_docs long, n_tokens long"), "plane-shards")
+    shards = stage(ordered.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long"), "plane-shards")
     listed = sorted(map(tuple, shards.collect()))  # one short row a shard
     starts = np.cumsum([0] + [n for *_, n in listed]).tolist()
     return docs.sparkSession.createDataFrame([(*row, s) for row, s in zip(listed, starts)], "shard int, path string, n_docs long, n_tokens long, start long")
@@ -252,7 +265,7 @@ def read_token_planes(shards: DataFrame) -> DataFrame:
             for path, start in zip(batch["path"], batch["start"].tolist()):
                 rows = []
                 for doc, ids in read_shard(path):
-                    rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
+                    rows.append((doc, start, len(ids), zlib.crc32(np.ascontiguousarray(ids))))
                     start += len(ids)
                 yield object_frame(rows, ["doc_id", "start", "n_tokens", "ids_crc32"])
 

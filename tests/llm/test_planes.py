@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, strategies as st
 from lanternfish.llm import planes
@@ -46,8 +47,24 @@ def test_planes_round_trip(kind, ids):
     assert len(ids) == 0 or np.array_equal(planes.from_planes(planes.to_planes(ids, kind), len(ids), kind), ids)
 
 
-@given(st.lists(st.text(alphabet=st.sampled_from("aBÉß.,'s<|endoftext|>1 \t\n\x1c\x85 ́"), max_size=30), max_size=4))
+WORDS = planes.WordIds(FILE, limit=40)  # so small that kept words are dropped again and again
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from("aBÉß.,;:!?#$%&*'s<|endoftext|>1 \t\n\x1c\x85 ́"), max_size=30), max_size=4))
 def test_words_equal_whole_texts(texts):
-    words = planes.words_for(FILE)
-    for text, got in zip(texts, words.encode(texts)):
-        assert np.frombuffer(got, "<u4").tolist() == words.whole.encode(text, add_special_tokens=False).ids
+    flat, lengths = WORDS.encode(pa.array(texts, pa.string()), 2)
+    got = [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] if texts else []
+    assert got == [WORDS.whole.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
+def test_every_latin_letter_and_mark():
+    texts = [f"{chr(a)}{chr(b)}{m}" for a in range(0xC0, 0x180) for b in (0x61, 0xE9, 0x130) for m in ("", ".", "&&,")]
+    flat, lengths = WORDS.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == [WORDS.whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_blocks_hold_whole_rows_in_order():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (0, 50, 3, 0, 9, 10, 200, 1)])], ["body"])
+    parts = list(planes.text_blocks(batch, "body", 10))
+    assert pa.Table.from_batches(parts).column("body").to_pylist() == batch.column("body").to_pylist() and len(parts) > 3
+    assert list(planes.text_blocks(batch.slice(0, 0), "body", 10)) == []

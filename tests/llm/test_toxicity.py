@@ -1,5 +1,7 @@
+import re
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, strategies as st
 from lanternfish.llm import toxicity
@@ -14,30 +16,77 @@ def distance(a, b):
     return row[-1]
 
 
-TERMS = [toxicity.Term(t, o, 1.0) for t, o in [("bad", False), ("stupid", False), ("stupor", False), ("pathetic", False), ("worthless", False), ("lowe", True), ("st", True)]]
+TERMS = [toxicity.Term(t, 1.0) for t in ("bad", "stupid", "stupor", "pathetic", "worthless", "st")]
+MATCHER = toxicity.Matcher(TERMS, frozenset(["studied", "stupids"]))
 
 
-@given(st.one_of(st.text(alphabet="abcdehilmoprstuwx", max_size=11), st.sampled_from(["stupid", "worthles", "wortless", "lowest", "patethic"])))
+@given(st.one_of(st.text(alphabet="abcdehilmoprstuwx", max_size=11), st.sampled_from(["stupid", "worthles", "wortless", "stupids", "patethic", "worthlesssss"])))
 def test_matcher_equals_edit_distance(word):
     want = {}
     for t, term in enumerate(TERMS):
-        if term.opens:
-            if word.startswith(term.text):
-                want[t] = 0
-        elif (d := distance(term.text, word)) <= toxicity.allowed_errors(len(term.text)):
+        if (d := distance(term.text, word)) <= toxicity.allowed_errors(len(term.text)) and (d == 0 or word not in MATCHER.ordinary):
             want[t] = d
     assert dict(MATCHER.hits(word)) == want
 
 
-MATCHER = toxicity.Matcher(TERMS)
+def test_windows_tell_quotation():
+    plain = toxicity.found_hits(MATCHER, "you are stupid and worthless")
+    quoted = toxicity.found_hits(MATCHER, 'he said the word "stupid" there')
+    assert plain == (5, {(1, 0, False): 1, (4, 0, False): 1}) and quoted == (6, {(1, 0, True): 1})
+    assert toxicity.found_hits(MATCHER, "you are worthles") == (3, {(4, 1, False): 1})
+    assert toxicity.found_hits(MATCHER, None) == (0, {})
 
 
-def test_windows_tell_quotation():
-    plain = toxicity.features(MATCHER, "you are stupid and worthless")
-    quoted = toxicity.features(MATCHER, 'he said the word "stupid" there')
-    assert plain[0] > 0 and plain[2] == 0 and quoted[2] > 0 and quoted[0] == 0
-    assert toxicity.features(MATCHER, "you are worthles")[1] > 0
-    assert toxicity.features(MATCHER, None) == [0.0] * len(toxicity.FEATURES)
+def test_weights_are_never_negative():
+    rng = np.random.default_rng(0)
+    x = rng.random((400, 3))
+    y = (x[:, 0] - x[:, 1] + 0.3 * rng.normal(size=400) > 0).astype(float)
+    w, _ = toxicity.fit_logistic(x, y)
+    assert w[0] > 0 and (w[:-1] >= 0).all() and w[1] == 0
+
+
+def test_near_copies_count_once(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(i, base.replace(f"w{i} ", f"v{i} ")) for i in range(30)] + [(50 + i, " ".join(f"u{i}x{j}" for j in range(60))) for i in range(5)]
+    kept = toxicity.without_copies(spark.createDataFrame(rows, "id long, body string"))
+    assert {r["id"] for r in kept.collect()} == {0, *range(50, 55)}
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.train(docs, labels, ~toxicity.held_out("id"))
+
+
+def test_method_decides(learned):
+    """A misspelled insult scores between a clean and an exact one, and quoting lowers a score."""
+    exact, fuzzy, clean, quoted = toxicity.score_text(learned, toxicity.Matcher(learned.terms, learned.ordinary), [
+        "you are a stupid worthless idiot and pathetic", "you are a stupld wortless idoit and pathetik", "you are a friendly helpful person and kind",
+        'they called me "stupid" and wrote "worthless" and said "idiot" and called it "pathetic"'])
+    assert clean < 0.5 < exact and clean < fuzzy < exact and quoted < exact and fuzzy > clean + 0.05
+    assert {"idiot", "stupid", "worthless"} <= {t.text for t in learned.terms}
+
+
+def test_automata_keep_misspelled_documents(spark, learned):
+    """Held-out toxic documents whose terms are misspelled: the automata find more of them than exact words do."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
+    rows = docs.where(toxicity.held_out("doc_id")).select("text", "toxic").collect()
+    named = re.compile(r"\b(" + "|".join(t.text for t in learned.terms if len(t.text) >= 5) + r")\b", re.I)
+    spoiled = [named.sub(lambda m: m[0][:2] + m[0][3] + m[0][2] + m[0][4:] if len(m[0]) >= 9 else m[0][:2] + m[0][3:], r["text"] or "") for r in rows]
+    marks = np.array([r["toxic"] for r in rows])
+
+    def f1(scores):
+        told = scores >= 0.5
+        return 2 * (told & (marks == 1)).sum() / max(1, told.sum() + marks.sum())
+
+    whole = toxicity.Matcher(learned.terms, learned.ordinary)
+    words = toxicity.Matcher(learned.terms, learned.ordinary)
+    words.reach = [0] * len(words.reach)
+    words._reset()
+    both, exact = f1(toxicity.score_text(learned, whole, spoiled)), f1(toxicity.score_text(learned, words, spoiled))
+    plain = f1(toxicity.score_text(learned, whole, [r["text"] for r in rows]))
+    print("F1: as written", plain, "misspelled", both, "misspelled, exact words only", exact)
+    assert plain >= 0.9 and both >= exact + 0.3
 
 
 @pytest.mark.parametrize("sf, least", [("sf0.01", 0.9), ("sf0.1", 0.95)])

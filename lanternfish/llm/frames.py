@@ -1,11 +1,25 @@
-"""Pandas frames as Arrow wants them from tasks."""
+"""Frames and batches as tasks want them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def object_frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     """Columns of plain Python objects: strings never become chunked Arrow arrays, and an empty list keeps its columns."""
     values = list(zip(*rows)) if rows else [()] * len(columns)
     return pd.DataFrame({c: pd.Series(list(v), dtype=object) for c, v in zip(columns, values)})
+
+
+def text_blocks(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about ``size`` bytes of text each; a longer text is a slice of its own."""
+    upto = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.unique(np.searchsorted(upto, np.arange(size, upto[-1], size)) if len(upto) else [])
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if b > a:
+            yield batch.slice(a, b - a)

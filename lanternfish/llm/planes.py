@@ -25,7 +25,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lanternfish.llm.frames import object_frame
+from lanternfish.llm.frames import object_frame, text_blocks
 from lanternfish.plans.staging import fresh_path, stage
 
 MAGIC = b"LFPLANE1"
@@ -207,15 +207,6 @@ class WordIds:
         return flat, np.bincount(text, weights=each, minlength=len(counts)).astype(np.int64)
 
 
-def text_blocks(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with about ``size`` bytes of text each; a longer text is a slice of its own."""
-    upto = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
-    cuts = np.unique(np.searchsorted(upto, np.arange(size, upto[-1], size)) if len(upto) else [])
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 _WORDS: dict[str, WordIds] = {}
 
 

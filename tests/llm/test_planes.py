@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, strategies as st
 from lanternfish.llm import planes
+from lanternfish.llm.frames import text_blocks
 from tokenizers import Tokenizer
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -65,6 +66,6 @@ def test_every_latin_letter_and_mark():
 
 def test_blocks_hold_whole_rows_in_order():
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (0, 50, 3, 0, 9, 10, 200, 1)])], ["body"])
-    parts = list(planes.text_blocks(batch, "body", 10))
+    parts = list(text_blocks(batch, "body", 10))
     assert pa.Table.from_batches(parts).column("body").to_pylist() == batch.column("body").to_pylist() and len(parts) > 3
-    assert list(planes.text_blocks(batch.slice(0, 0), "body", 10)) == []
+    assert list(text_blocks(batch.slice(0, 0), "body", 10)) == []

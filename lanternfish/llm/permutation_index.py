@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by a permutation index.
 
 Pivots are drawn from a bounded sample.  A vector is represented by the order of its ``prefix`` nearest pivots and
-posted in those pivots' inverted files with its weight (prefix minus rank).  A query goes through the files of its own
-nearest pivots: the footrule distance of two truncated orders is a constant less twice the sum, over common pivots, of
-the smaller weight, so candidates are ranked by that sum.  The best of them are reranked by the exact inner product.  A tile's equal
-vectors are one candidate, so that copies take no others' places; a winner stands for its smallest ids.
+posted in those pivots' inverted files with its weight (prefix minus rank).  The files are written once, for a tile of rows at
+a time.  A query goes through the files of its own nearest pivots: the footrule distance of two truncated orders is a
+constant less twice the sum, over common pivots, of the smaller weight, so candidates are ranked by that sum.  The best of
+them are reranked by the exact inner product.  Equal vectors are one candidate, so that copies take no others' places.
 Largest inner product becomes nearest neighbour by the usual lift: rows are scaled by the largest norm and given one
 more component that makes them unit; queries are made unit.
 """
@@ -15,9 +15,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lanternfish.llm.blocks import best_of_pairs, finite_vectors, ranked, tile_pairs, top_of
+from lanternfish.llm.blocks import arrays, best_of_pairs, classes, crossed, finite_vectors, packed, ranked, sides, top_of
+from lanternfish.plans.staging import stage
 
 PIVOTS, PREFIX, SAMPLE = 256, 96, 4096
 
@@ -44,13 +46,6 @@ def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE
     return {d: np.unique(np.array(v), axis=0)[:: max(1, len(v) // pivots)][:pivots] for d, v in by.items()}
 
 
-def collapsed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct rows, the ids grouped by them in ascending order, and where each row's ids start (one more than rows)."""
-    keys = np.ascontiguousarray(rows + 0.0).view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel()
-    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    return rows[first], ids[np.lexsort((ids, which))], np.concatenate(([0], np.cumsum(np.bincount(which))))
-
-
 def candidate_count(n: int) -> int:
     """Candidates reranked for each query: sixteen times the square root of the rows, 400 at least."""
     return max(400, 16 * math.isqrt(n))
@@ -67,42 +62,47 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     """
     squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     vectors = finite_vectors(table, id_col, vec_col).where(F.exists("v", lambda x: x != 0))
-    chosen = choose_pivots(vectors, pivots)
-    norms = {r["dim"]: r["m"] ** 0.5 for r in vectors.groupBy(F.size("v").alias("dim")).agg(F.max(squared).alias("m")).collect()}
-    pairs, n, _ = tile_pairs(vectors, is_query)
+    reps, queries = classes(vectors, is_query, k)
+    chosen = choose_pivots(reps, pivots)
+    norms = {r["dim"]: r["m"] ** 0.5 for r in reps.groupBy(F.size("v").alias("dim")).agg(F.max(squared).alias("m")).collect()}
+    asked, n, n_tiles, n_blocks = sides(reps, queries)
     wanted = candidates or candidate_count(n)
 
-    def kernel(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, _: object) -> Iterator:
-        dim = rows.shape[1]
+    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                files = None
+                if row.dim in chosen and math.isfinite(norms[row.dim]):
+                    points = lift(np.asarray(row.tile_flat, np.float64).reshape(-1, row.dim), norms[row.dim])
+                    axes = lift(chosen[row.dim], norms[row.dim])
+                    files = postings(points, axes, min(prefix, len(axes))).tobytes()
+                out.append(files)
+            yield batch.assign(files=pd.Series(out, index=batch.index, dtype=object))
+
+    tiles = stage(packed(reps, n_tiles, "tile").mapInPandas(post, "dim int, tile int, tile_ids array<long>, tile_flat array<double>, files binary"), "permutation-files")
+    pairs = crossed(tiles, packed(asked, n_blocks, "block"), n_tiles, n_blocks)
+
+    def kernel(row) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        ids, rows, query_ids, vectors = arrays(row, row.dim)
         share = max(k + 1, -(-wanted * len(ids) // max(1, n)))
-        rows, members, starts = collapsed(ids, rows)
-        indexed = dim in chosen and share < len(rows) and math.isfinite(norms[dim])
+        indexed = row.files is not None and share < len(rows)
         if indexed:
-            axes = lift(chosen[dim], norms[dim])
+            axes = lift(chosen[row.dim], norms[row.dim])
             depth = min(prefix, len(axes))
-            files = postings(lift(rows, norms[dim]), axes, depth)
-            unit = np.column_stack([queries / np.linalg.norm(queries, axis=1)[:, None], np.zeros(len(queries))])
+            files = np.frombuffer(row.files, np.uint8).reshape(len(axes), len(rows))
+            unit = np.column_stack([vectors / np.linalg.norm(vectors, axis=1)[:, None], np.zeros(len(vectors))])
             own = np.argsort(-(unit @ axes.T), axis=1, kind="stable")[:, :depth]
         for j, q in enumerate(query_ids.tolist()):
+            take = slice(None)
             if indexed:
                 common = np.zeros(len(rows), dtype=np.uint16)
                 for rank, p in enumerate(own[j]):
                     common += np.minimum(files[p], np.uint8(depth - rank))
                 take = np.argpartition(common, len(common) - share)[len(common) - share :]
-            else:
-                take = np.arange(len(rows))
-            scores = (rows[take] * queries[j]).sum(axis=1)
-            if len(take) > k + 1:  # one may be the query's own
-                best = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-                take, scores = take[best], scores[best]
-            many = np.minimum(starts[take + 1] - starts[take], k + 1)
-            at = np.repeat(starts[take] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            found, scores = members[at], np.repeat(scores, many)
-            others = found != q
-            if others.any():
-                yield (q, *top_of(found[others], scores[others], k))
-
-    return ranked(best_of_pairs(pairs, kernel, k, "double"))
+            yield (q, *top_of(ids[take], (rows[take] * vectors[j]).sum(axis=1), k + 1))
+
+    return ranked(best_of_pairs(pairs, kernel, k + 1, "double"), reps, queries, k)
 
 
 def op1_permutation_index(spark, sf_dir: str) -> DataFrame:

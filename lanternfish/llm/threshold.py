@@ -1,10 +1,11 @@
 """Exact top-k search by the three-phase uniform threshold algorithm.
 
-A vector's score is the sum of the local scores of a few nodes, each of which holds a slice of the components.
-Phase one: every node lists its highest local scores for a query; the listed rows' totals are resolved, and the k-th
-highest total over all lists is a safe cutoff.  Phase two: the cutoff goes to the nodes, and each gives every entry whose
-local score reaches cutoff / nodes: a row whose total reaches the cutoff does so in one node at least, whatever the
-signs.  Phase three: totals of the collected entries are resolved exactly and the k highest kept, ties to smaller ids.
+A vector's score is the sum of the local scores of a few nodes, each of which holds a slice of the components of all
+rows and nothing else.  Phase one: every node gives its highest local scores for a query; the rows so listed are looked up,
+and the k-th highest of their totals is a safe cutoff.  Phase two: the cutoff goes to the nodes, and each gives every entry
+whose local score reaches cutoff / nodes: a row whose total reaches the cutoff does so in one node at least, whatever the
+signs.  Phase three: for the collected entries the local scores that are still missing are resolved from the other nodes'
+components, and the k highest totals kept, ties to smaller ids.  No total is computed of a row that no node gave.
 """
 
 from __future__ import annotations
@@ -12,18 +13,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lanternfish.llm.blocks import best_of_pairs, finite_vectors, ranked, tile_pairs, top_of
+from lanternfish.llm.blocks import arrays, best_of_pairs, classes, crossed, dealt, finite_vectors, found_frame, merged_best, packed, ranked, sides, top_of
 from lanternfish.plans.staging import stage
 
-NODES = 4
+NODES = 2
 NO_CUTOFF = -(2**62)
+_PAIR = ["dim", "tile", "block"]
 
 
-def _slices(dim: int, nodes: int) -> list[slice]:
-    cuts = np.linspace(0, dim, min(nodes, dim) + 1).astype(int)
-    return [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+def slices(dim: int, nodes: int) -> list[slice]:
+    """The components that each node holds; there are no more nodes than components."""
+    nodes = min(nodes, dim)
+    return [slice(dim * j // nodes, dim * (j + 1) // nodes) for j in range(nodes)]
+
+
+def _node_rows(rows: DataFrame, nodes: int) -> DataFrame:
+    """(id, node, width, v): each node's slice ``v`` of every row, which is ``width`` long."""
+    each = rows.select("id", F.col("v").alias("whole"), F.size("v").alias("width"), F.least(F.lit(nodes), F.size("v")).alias("n"))
+    each = each.withColumn("node", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return each.select("id", "node", "width", F.expr("slice(whole, int(width * node div n) + 1, int(width * (node + 1) div n - width * node div n))").alias("v"))
 
 
 def _whole(rows: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,60 +44,109 @@ def _whole(rows: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return rows.astype(kind), other.astype(kind)
 
 
+def _totals(row, nodes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, ids and totals of a pair's entries: what is known of a row's local scores, and the rest resolved."""
+    ids, rows, query_ids, queries = arrays(row, row.dim)
+    parts = slices(row.dim, nodes)
+    got_ids = [np.asarray(e["ids"], np.int64) for e in row.entries]
+    got_queries = [np.asarray(e["queries"], np.int64) for e in row.entries]
+    key = np.concatenate([np.searchsorted(query_ids, q) * len(ids) + np.searchsorted(ids, i) for q, i in zip(got_queries, got_ids)])
+    pair, which = np.unique(key, return_inverse=True)
+    known, have = np.zeros(len(pair), np.int64), np.zeros((len(parts), len(pair)), bool)
+    at = 0
+    for e, i in zip(row.entries, got_ids):
+        if e["node"] >= 0:  # else a row to look up, of which nothing is known
+            known[which[at : at + len(i)]] += np.asarray(e["local"], np.int64)
+            have[e["node"], which[at : at + len(i)]] = True
+        at += len(i)
+    rows, queries = _whole(rows, queries)
+    for have_node, s in zip(have, parts):
+        left = np.flatnonzero(~have_node)
+        for a in range(0, len(left), 1 << 16):
+            p = left[a : a + (1 << 16)]
+            known[p] += np.einsum("ij,ij->i", rows[pair[p] % len(ids), s], queries[pair[p] // len(ids), s]).astype(np.int64)
+    return query_ids[pair // len(ids)], ids[pair % len(ids)], known
+
+
 def top_products(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
                  scale: int | None = 64, nodes: int = NODES) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` highest integer inner products of each query row, exactly.
 
     Components become floor(scale * x) (``scale`` None: they are whole already).  ``is_query`` is a condition on the
     column ``id``.  Rows whose vector is null, empty or holds a null or non-finite component take no part; vectors of
-    different lengths never meet; rows with the query's own id are no candidates.  Scores must fit a long.
+    different lengths never meet; rows with the query's own id are no candidates.  Repeated rows and equal vectors are one
+    class of candidates.  Scores must fit a long.  An empty table gives an empty result.
     """
     vectors = finite_vectors(table, id_col, vec_col)
     if scale is not None:
         vectors = vectors.select("id", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("double")).alias("v"))
-    pairs, _, _ = tile_pairs(vectors, is_query)
-    pairs = stage(pairs, "threshold-pairs")
-
-    def lists(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, _: object) -> Iterator:
-        rows, queries = _whole(rows, queries)
-        local = [rows[:, s] @ queries[:, s].T for s in _slices(rows.shape[1], nodes)]
-        total = sum(local)
-        for j, q in enumerate(query_ids.tolist()):
-            own = np.flatnonzero(ids == q)
-            listed = []
-            for column in local:
-                column = column[:, j]
-                most = min(len(ids), k + len(own))
-                listed.append(np.argpartition(column, len(ids) - most)[len(ids) - most :])
-            listed = np.setdiff1d(np.concatenate(listed), own)
-            if len(listed):
-                yield (q, *top_of(ids[listed], total[listed, j].astype(np.int64), k))
-
-    seen = best_of_pairs(pairs, lists, k, "long")
-    cutoffs = seen.select("query_id", F.when(F.size("best") >= k, F.col("best")[k - 1]["s"]).otherwise(NO_CUTOFF).alias("cutoff"))
-    blocks = pairs.select("dim", "block", "block_ids").dropDuplicates(["dim", "block"])
-    known = (
-        blocks.select("dim", "block", F.posexplode("block_ids").alias("pos", "query_id"))
-        .join(cutoffs, "query_id", "left").groupBy("dim", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("cutoff", F.lit(NO_CUTOFF)).alias("cutoff")))).alias("c"))
-        .select("dim", "block", F.col("c.cutoff").alias("cutoffs"))
-    )
-
-    def resolve(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, cutoffs: np.ndarray) -> Iterator:
-        rows, queries = _whole(rows, queries)
-        parts = _slices(rows.shape[1], nodes)
-        least = -(-cutoffs.astype(np.int64) // len(parts))  # a local score is whole, so the share is rounded up
-        enough = np.zeros((len(ids), len(query_ids)), dtype=bool)
-        for s in parts:
-            enough |= rows[:, s] @ queries[:, s].T >= least.astype(rows.dtype)[None, :]
-        for j, q in enumerate(query_ids.tolist()):
-            take = np.flatnonzero(enough[:, j] & (ids != q))
-            totals = (rows[take] @ queries[j]).astype(np.int64)
-            keep = totals >= cutoffs[j]
-            if keep.any():
-                yield (q, *top_of(ids[take[keep]], totals[keep], k))
-
-    return ranked(best_of_pairs(pairs.join(known, ["dim", "block"]), resolve, k, "long", "cutoffs"))
+    reps, queries = classes(vectors, is_query, k)
+    return ranked(best_classes(reps, queries, k + 1, nodes), reps, queries, k)
+
+
+def sent_entries(reps: DataFrame, queries: DataFrame, k: int, nodes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Phases one and two: the entries (dim, tile, block, node, ids, queries, local) that the nodes give, the pairs of whole
+    tiles and blocks to resolve them with, and the cutoffs (query_id, cutoff)."""
+    asked, _, n_tiles, n_blocks = sides(reps, queries)
+    whole = stage(crossed(packed(reps, n_tiles, "tile"), packed(asked, n_blocks, "block"), n_tiles, n_blocks), "threshold-pairs")
+    share = lambda rows, n, name: packed(_node_rows(rows, nodes), n, name, ("width", "node"))
+    held = stage(crossed(share(reps, n_tiles, "tile"), share(asked, n_blocks, "block"), n_tiles, n_blocks, ("dim", "width", "node")), "threshold-nodes")
+
+    def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                ids, rows, query_ids, columns = arrays(row, row.dim)
+                rows, columns = _whole(rows, columns)
+                local = rows @ columns.T
+                found = [(q, *top_of(ids, local[:, j].astype(np.int64), k)) for j, q in enumerate(query_ids.tolist())]
+                yield found_frame(found).assign(dim=row.width, node=row.node)[["dim", "node", "query_id", "found"]]
+
+    listed = merged_best(held.mapInPandas(lists, "dim int, node int, query_id long, found array<struct<s long, id long>>"), k, ("dim", "node", "query_id"))
+    pairs = listed.select("dim", "query_id", F.explode("best.id").alias("id")).distinct()
+    looked = pairs.groupBy("dim", dealt("id", n_tiles).alias("tile"), dealt("query_id", n_blocks).alias("block")).agg(
+        F.array(F.struct(F.lit(-1).alias("node"), F.collect_list("id").alias("ids"), F.collect_list("query_id").alias("queries"), F.array().cast("array<long>").alias("local"))).alias("entries"))
+
+    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                query_ids, _, sums = _totals(row, nodes)
+                yield pd.DataFrame({"query_id": query_ids, "total": sums})
+
+    sums = whole.join(looked, _PAIR).mapInPandas(totals, "query_id long, total long")
+    best = F.sort_array(F.collect_list("total"), asc=False)  # nodes times k of each query
+    cutoffs = stage(sums.groupBy("query_id").agg(best.alias("t")).select(
+        "query_id", F.when(F.size("t") >= k, F.col("t")[k - 1]).otherwise(NO_CUTOFF).alias("cutoff")), "threshold-cutoffs")
+    told = asked.join(cutoffs, asked["id"] == cutoffs["query_id"]).groupBy(F.size("v").alias("width"), dealt("id", n_blocks).alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("id", "cutoff")))["cutoff"].alias("cutoffs"))
+
+    def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                ids, rows, query_ids, columns = arrays(row, row.dim)
+                rows, columns = _whole(rows, columns)
+                least = -(-np.asarray(row.cutoffs, np.int64) // len(slices(row.width, nodes)))  # a local score is whole, so the share is rounded up
+                local = rows @ columns.T
+                i, j = np.nonzero(local >= least.astype(local.dtype)[None, :])
+                if len(i):
+                    yield pd.DataFrame({"dim": [row.width], "tile": [row.tile], "block": [row.block], "node": [row.node], "ids": [ids[i]],
+                                        "queries": [query_ids[j]], "local": [local[i, j].astype(np.int64)]})
+
+    schema = "dim int, tile int, block int, node int, ids array<long>, queries array<long>, local array<long>"
+    return stage(held.join(told, ["width", "block"]).mapInPandas(give, schema), "threshold-entries"), whole, cutoffs
+
+
+def best_classes(reps: DataFrame, queries: DataFrame, k: int, nodes: int) -> DataFrame:
+    """(query_id, best): the ``k`` best classes of every class that is asked for."""
+    entries, whole, _ = sent_entries(reps, queries, k, nodes)
+    given = entries.groupBy(*_PAIR).agg(F.collect_list(F.struct("node", "ids", "queries", "local")).alias("entries"))  # one a node
+
+    def resolve(row) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        query_ids, ids, sums = _totals(row, nodes)  # in order of query
+        cuts = np.flatnonzero(np.concatenate(([True], query_ids[1:] != query_ids[:-1], [True])))
+        for a, b in zip(cuts, cuts[1:]):
+            yield (int(query_ids[a]), *top_of(ids[a:b], sums[a:b], k))
+
+    return best_of_pairs(whole.join(given, _PAIR), resolve, k, "long")
 
 
 def op2_uniform_threshold(spark, sf_dir: str) -> DataFrame:

@@ -57,12 +57,35 @@ def test_threshold_query(spark, small):
     assert got(threshold.op2_uniform_threshold(spark, small)) == brute(rows_of(spark, small), whole)
 
 
-@pytest.mark.parametrize("nodes", [1, 3])
+@pytest.mark.parametrize("nodes", [1, 2, 3])
 def test_threshold_odd_rows(spark, nodes):
     rows = odd_rows()
     assert got(threshold.top_products(frame(spark, rows), query(), nodes=nodes)) == brute(rows, whole)
 
 
+def test_threshold_sends_few_entries(spark):
+    """Of all pairs of a query and a row the nodes give less than a fifth even of few rows; the cutoffs are safe."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    vectors = threshold.finite_vectors(table, "vec_id", "embedding").select("id", F.transform("v", lambda x: F.floor(64 * x).cast("double")).alias("v"))
+    reps, queries = threshold.classes(vectors, query(), 20)
+    entries, _, cutoffs = threshold.sent_entries(reps, queries, 21, threshold.NODES)
+    sent, rows, asked = entries.agg(F.sum(F.size("local"))).first()[0], reps.count(), cutoffs.count()
+    print("entries sent, of all pairs", sent / (rows * asked))
+    assert 0 < sent < 0.2 * rows * asked
+    want = brute(rows_of(spark, "/root/testdata/sf0.1"), whole, k=20)
+    known = {r["query_id"]: r["cutoff"] for r in cutoffs.collect()}
+    assert all(known[q] <= found[-1][1] for q, found in want.items() if q in known)
+
+
+def test_threshold_hot_copies(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(3000, 8))
+    v[rng.permutation(3000)[:1000]] = v[0] * 2
+    rows = list(zip(range(3000), v.tolist()))
+    want = brute(rows, whole)
+    assert got(threshold.top_products(frame(spark, rows), query())) == want
+
+
 def test_threshold_large_numbers(spark):
     rows = [(i, [float(v * 400_000) for v in np.random.default_rng(i).integers(-9, 9, 4)]) for i in range(50)]
     assert got(threshold.top_products(frame(spark, rows), query())) == brute(rows, whole)
@@ -90,6 +113,22 @@ def test_permutation_recall_at_scale(spark):
     assert hits >= 0.9 * 20 * len(want)
 
 
+def test_permutation_recall_where_the_index_prunes(spark):
+    """50,000 random rows, of which a query reranks 3,568."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(50_000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    found = got(permutation_index.nearest(table, F.col("id") % 500 == 0))
+    hits = 0
+    for q in range(0, 50_000, 500):
+        scores = v @ v[q]
+        scores[q] = -np.inf
+        hits += len(set(np.argsort(-scores)[:20].tolist()) & {i for i, _ in found[q]})
+    print("recall", hits / 2000)
+    assert permutation_index.candidate_count(50_000) == 3568 and len(found) == 100 and hits >= 0.9 * 2000
+
+
 def test_permutation_odd_rows(spark):
     rows = odd_rows()
     found = got(permutation_index.nearest(frame(spark, rows), query(), candidates=10**6))

@@ -11,13 +11,15 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, local runs)."""
+    """The folder named by ``spark.checkpoint.dir``.  Where that is unset, a temporary one for a local session, in which all
+    tasks run on this machine (tests), and one in the warehouse for a cluster."""
     configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if configured:
-        return configured.rstrip("/")
-    own = tempfile.mkdtemp(prefix="lanternfish-")
-    spark.conf.set(CHECKPOINT_KEY, f"file://{own}")
-    return f"file://{own}"
+    if not configured:
+        master = spark.sparkContext.master
+        local = master.startswith("local") and not master.startswith("local-cluster")
+        configured = f"file://{tempfile.mkdtemp(prefix='lanternfish-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lanternfish-staging"
+        spark.conf.set(CHECKPOINT_KEY, configured)
+    return configured.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -27,5 +29,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here and lost executors cost nothing."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete the files of a staged table that no query will read again."""
+    jvm = staged.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(staged.staged_path)
+    path.getFileSystem(staged.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

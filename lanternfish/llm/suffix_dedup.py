@@ -12,9 +12,10 @@ the dictionary that are long enough to hold a window are ordered (a suffix array
 length), and each group of equal windows keeps its first occurrence in corpus order, which the parse gives.  As phrases
 carry the overlap, no suffix of the parse beyond the first phrase is needed to compare windows of fixed length.
 
-Nothing is gathered by one key without a bound: a bit table of triggers that occur more than once keeps single ones out of
-all shuffles, dictionary rows are aggregated before they meet, and triggers with very many distinct phrases (edges of a
-passage that most documents hold) take another exact path, by 128-bit digests of their windows.
+Nothing is gathered by one key without a bound: triggers are counted, and a bit table of those that occur more than once
+keeps single ones out of all shuffles (the larger the corpus, the more of them get by; they change no result); dictionary
+rows are aggregated before they meet, and triggers with more than ``HOT_LEAST`` distinct phrases (edges of a passage that
+most documents hold) take another exact path, by 128-bit digests of their windows.
 """
 
 from __future__ import annotations
@@ -28,14 +29,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lanternfish.plans.staging import stage
+from lanternfish.plans.staging import discard, stage
 
 WINDOW, TRIGGER = 100, 32  # shorter triggers repeat by chance in large corpora
 BLOCK = 256 << 10  # bytes parsed at a time, so that the arrays stay in a core's cache
 SORT_BYTES = 2 << 20
 COARSE = np.uint64(31)
 MAX_BITS = 29
-HOT_LEAST = 1000
+HOT_LEAST = 500
+CONTENT_BYTES = 16 << 20  # of phrases that a task holds before it sends them
+COUNTED = 4 << 20  # triggers that a task counts before it sends them
 _C1, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -134,16 +137,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield block()
 
 
-def slot_table(rows: DataFrame, hashes, expected: int, least: int = 2) -> np.ndarray | None:
+def slot_table(rows: DataFrame, hashes, expected: int, least: int = 2) -> np.ndarray:
     """A table of bits: those slots of 64-bit hashes that ``least`` (one or two) or more items fall into.
 
     ``hashes`` turns the batches of a task into arrays of hashes.  The table has about 12 bits an expected item, up to
-    ``MAX_BITS``; far more items than bits would fill it, so then there is none (None: every slot counts as hit).
-    It only keeps work away, so false hits change no result.
+    ``MAX_BITS``.  It only keeps work away, so false hits change no result.
     """
     bits = min(MAX_BITS, max(16, int(expected * 12).bit_length()))
-    if expected > 1 << MAX_BITS:
-        return None
     shift, split = np.uint64(64 - bits), max(0, bits - 22)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,13 +173,69 @@ def slot_table(rows: DataFrame, hashes, expected: int, least: int = 2) -> np.nda
     return table
 
 
-def in_slots(table: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
-    if table is None:
-        return np.ones(len(hashes), dtype=bool)
+def in_slots(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     slot = hashes >> np.uint64(64 - (len(table).bit_length() + 2))
     return (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _as_six(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
+def repeated_table(texts: DataFrame, hashes, expected: int) -> np.ndarray:
+    """A table of bits of the 64-bit hashes that occur more than once, told apart by their upper 48 bits.
+
+    Each task sends its distinct hashes, six bytes each, in ranges of about a million, and whether it has them twice; a range
+    is settled by one task.  Only hashes that are repeated get a slot.
+    """
+    split = (expected >> 20).bit_length()
+    cut = np.uint64(48 - split)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for h in hashes(batches):
+            held.append(h >> np.uint64(16))
+            size += len(h)
+            if size >= COUNTED:
+                yield from send(held)
+                held, size = [], 0
+        if held:
+            yield from send(held)
+
+    def send(held: list) -> Iterator[pa.RecordBatch]:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        edges = np.searchsorted(keys, np.arange((1 << split) + 1, dtype=np.uint64) << cut)
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            part, many = keys[edges[b] : edges[b + 1]], n[edges[b] : edges[b + 1]] > 1
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_as_six(part)], pa.binary()), pa.array([np.packbits(many).tobytes()], pa.binary())], ["range", "keys", "many"])
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        parts = [_from_six(x) for x in group["keys"]]
+        keys = np.concatenate(parts)
+        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(p)) for m, p in zip(group["many"], parts)]) == 1
+        order = np.argsort(keys, kind="stable")
+        keys, many = keys[order], many[order]
+        many[1:] |= keys[1:] == keys[:-1]
+        found = np.unique(keys[many])
+        return pd.DataFrame({"keys": pd.Series([_as_six(found)], dtype=object), "n": [len(found)]})
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            for raw in batch.column("keys").to_pylist():
+                yield _from_six(raw) << np.uint64(16)
+
+    repeated = stage(texts.mapInArrow(local, "range int, keys binary, many binary").groupBy("range").applyInPandas(settle, "keys binary, n long"), "dedup-repeated")
+    table = slot_table(repeated, known, repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + 1, 1)
+    discard(repeated)
+    return table
+
+
 def place_hashes(ids: np.ndarray, copies: np.ndarray, los: np.ndarray) -> np.ndarray:
     """64-bit hashes of places of phrases."""
     h = ids.astype(np.int64).view(np.uint64) * _C1
@@ -195,6 +251,11 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield place_hashes(*(batch.column(c).to_numpy() for c in ("id", "copy", "lo")))
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        yield batch.column("k").to_numpy().view(np.uint64)
+
+
 def window_ranks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Ranks, in lexicographic order, of the windows at the given positions: prefix doubling, cut at the window's length."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -265,20 +326,36 @@ def _phrase_rows(texts: DataFrame, heads, table) -> DataFrame:
 def _contents(texts: DataFrame, heads, table) -> DataFrame:
     """The phrases, with their bytes, at the places in the table of first occurrences.
 
-    The texts are parsed again where they lie, so none of them is shuffled.  A false hit adds a later occurrence, whose
-    windows are repeats anyway.
+    The texts are parsed again where they lie, so none of them is shuffled.  A false hit adds a later occurrence of a phrase;
+    most are dropped here, as of equal phrases held at a time only the first can be the true one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple] = {}
+        size = 0
         for block in _blocks(batches):
             ids, copies, data, _ = block
             k, text, first, n, lo, _ = _fresh_phrases(block, heads.value)
             keep = in_slots(table.value, place_hashes(ids[text], copies[text], lo))
             k, text, first, n, lo = k[keep], text[keep], first[keep], n[keep], lo[keep]
             raw = data.tobytes()
-            content = [raw[x:y] for x, y in zip(first.tolist(), (first + n + WINDOW - 1).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(ids[text]), pa.array(copies[text]),
-                                              pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(content, pa.binary())], ["k", "id", "copy", "lo", "cnt", "content"])
+            for x, y, *row in zip(first.tolist(), (first + n + WINDOW - 1).tolist(), ids[text].tolist(), copies[text].tolist(), lo.tolist(), n.tolist(), k.view(np.int64).tolist()):
+                content = raw[x:y]
+                if content not in held:
+                    held[content] = tuple(row)
+                    size += y - x
+                elif tuple(row[:3]) < held[content][:3]:
+                    held[content] = tuple(row)
+            if size >= CONTENT_BYTES:
+                yield send(held)
+                held, size = {}, 0
+        if held:
+            yield send(held)
+
+    def send(held: dict[bytes, tuple]) -> pa.RecordBatch:
+        ids, copies, los, counts, ks = zip(*held.values())
+        return pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ids, pa.int64()), pa.array(copies, pa.int32()), pa.array(los, pa.int32()),
+                                           pa.array(counts, pa.int32()), pa.array(list(held), pa.binary())], ["k", "id", "copy", "lo", "cnt", "content"])
 
     return texts.mapInArrow(run, "k long, id long, copy int, lo int, cnt int, content binary")
 
@@ -385,18 +462,18 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     ``texts`` has id, copy and body.  A run without mask is wholly repeated; of one with mask, the windows whose bit is 0.
     """
     spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     usable = texts.where(F.col("id").isNotNull() & (F.octet_length("body") >= WINDOW)).select("id", "copy", "body")
     size = usable.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
 
     coarse = stage(_coarse_rows(usable).groupBy("digest").agg(F.min(F.struct("id", "copy", "lo")).alias("p")).select("p.id", "p.copy", "p.lo"), "dedup-coarse")
     heads = spark.sparkContext.broadcast(slot_table(coarse, _places, coarse.count() + 1, 1))
+    discard(coarse)
 
     def triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for block in _blocks(batches):
             yield _fresh_phrases(block, heads.value)[0]
 
-    table = spark.sparkContext.broadcast(slot_table(usable, triggers, size // 34 + 1))
+    table = spark.sparkContext.broadcast(repeated_table(usable, triggers, size // 34 + 1))
     parsed = stage(_phrase_rows(usable, heads, table), "dedup-parse")
     occurrences = parsed.where("k IS NOT NULL")
     phrases = stage(
@@ -404,16 +481,23 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         .select("k", "first.id", "first.copy", "first.lo"), "dedup-dictionary")
     shared = stage(phrases.groupBy("k").agg(F.count("*").alias("kinds")).where("kinds > 1"), "dedup-shared")
     total = shared.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
-    limit = max(HOT_LEAST, total // (4 * parts))
     several = phrases.join(shared, "k").select("id", "copy", "lo")
     wanted = spark.sparkContext.broadcast(slot_table(several, _places, total + 1, 1))
-    hot_keys = shared.where(F.col("kinds") > limit).select("k", F.lit(True).alias("hot"))  # at most 4 x partitions rows
-    content = stage(_contents(usable, heads, wanted).join(F.broadcast(hot_keys), "k", "left"), "dedup-content")
-    masks = _cold_masks(content.where("hot IS NULL").drop("hot"))
+    many = shared.where(F.col("kinds") > HOT_LEAST).select("k")
+    hot_keys = spark.sparkContext.broadcast(slot_table(many, _keys, many.count() + 1, 1))  # a false hit sends a whole group the other exact way
+
+    @F.pandas_udf("boolean")
+    def is_hot(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_slots(hot_keys.value, keys.to_numpy(np.int64).view(np.uint64)))
+
+    found = _contents(usable, heads, wanted).join(several, ["id", "copy", "lo"], "left_semi")  # without false hits a group is as large as its kinds
+    content = stage(found.withColumn("hot", is_hot("k")), "dedup-content")
+    masks = stage(_cold_masks(content.where("NOT hot").drop("hot")), "dedup-masks")
     hot = content.where("hot").drop("hot")
     n_hot = hot.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
     if n_hot:
-        masks = masks.union(_hot_masks(hot, n_hot))
+        masks = masks.union(stage(_hot_masks(hot, n_hot), "dedup-hot-masks"))
+    discard(content)
     n_first = phrases.count()
     firsts = spark.sparkContext.broadcast(slot_table(phrases.select("id", "copy", "lo"), _places, n_first + 1, 1))
 

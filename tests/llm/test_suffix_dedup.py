@@ -56,6 +56,21 @@ def test_equals_brute_force(spark, monkeypatch, hot):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+def test_full_bit_tables_change_nothing(spark, monkeypatch):
+    """As in a corpus so large that every slot is hit."""
+    monkeypatch.setattr(sd, "MAX_BITS", 4)
+    docs = spark.createDataFrame(list(enumerate(texts(3))), "doc_id long, text string").repartition(5)
+    assert got(sd.dedup_digests(docs)) == slow(docs.collect())
+
+
+def test_only_repeated_triggers_get_slots(spark):
+    rng = np.random.default_rng(2)
+    once, twice = rng.integers(0, 2**63, 50_000, dtype=np.uint64) * np.uint64(2), rng.integers(0, 2**63, 500, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    rows = spark.createDataFrame([(int(k),) for k in np.concatenate([once, twice, twice]).view(np.int64)], "k long").repartition(6)
+    table = sd.repeated_table(rows, sd._keys, 3 << 20)
+    assert sd.in_slots(table, twice).all() and sd.in_slots(table, once).mean() < 0.15
+
+
 def test_query(spark, small):
     assert got(sd.op3_prefix_free(spark, small)) == slow(spark.read.parquet(f"{small}/documents.parquet").collect())
 

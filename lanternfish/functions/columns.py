@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -68,35 +69,30 @@ def hash_shard(key: Column, shards: int) -> Column:
 
 # Shapes of dates in URLs, tried in this order; groups are year, month, day.
 DATE_SHAPES = (
-    r"(?:^|[^0-9])(20[0-9]{2})[-/_]([01][0-9])[-/_]([0-3][0-9])(?:[^0-9]|$)",
-    r"yyyy=(20[0-9]{2})&mm=([0-9]{1,2})&dd=([0-9]{1,2})",
-    r"(?:^|[^0-9])(20[0-9]{2})([01][0-9])([0-3][0-9])(?:[^0-9]|$)",
-    r"(?:^|[^0-9])(20[0-9]{2})[-/_]([01][0-9])(?:[^0-9]|$)",
-    r"(?:^|[^0-9])(20[0-9]{2})([01][0-9])(?:[^0-9]|$)",
-    r"(?:^|[^0-9])(20[0-9]{2})(?:[^0-9]|$)",
+    r"yyyy=(20[0-9]{2})&(?:amp;)?mm=([0-9]{2})(?:&(?:amp;)?dd=([0-9]{2}))?",
+    r"(20[0-9]{2})[-/_]?([0-9]{2})[-/_]?([0-9]{2})(?![0-9])",
+    r"(20[0-9]{2})[-/_]([0-9]{2})(?![0-9])",
+    r"(20[0-9]{2})([0-9]{2})\.xml",
+    r"sitemap-(20[0-9]{2})\.xml\?mm=([0-9]{2})&(?:amp;)?dd=([0-9]{2})",
+    r"(20[0-9]{2})(?![0-9])",
 )
 
 
 def url_date_span(url: Column) -> tuple[Column, Column]:
     """First and last day that a URL's date stands for: a day, a month or a year; an impossible day tries the next shape,
-    an impossible month stands for its whole year."""
-    first, last = [], []
+    an impossible month without a day stands for its whole year."""
+    spans = []
     for shape in DATE_SHAPES:
-        part = lambda g: F.nullif(F.regexp_extract(url, shape, g), F.lit("")).cast("int")  # noqa: B023, E731
-        groups = shape.count("(") - shape.count("(?:")
-        year = part(1)
-        if groups == 3:
-            day = F.when(year.isNotNull() & part(2).between(1, 12), F.try_to_date(F.concat_ws("-", year, F.lpad(part(2).cast("string"), 2, "0"), F.lpad(part(3).cast("string"), 2, "0")), "yyyy-MM-dd"))
-            first.append(day)
-            last.append(day)
-        elif groups == 2:
-            start = F.when(part(2).between(1, 12), F.make_date(year, part(2), F.lit(1)))
-            first.append(F.coalesce(start, F.make_date(year, F.lit(1), F.lit(1))))
-            last.append(F.coalesce(F.last_day(start), F.make_date(year, F.lit(12), F.lit(31))))
-        else:
-            first.append(F.make_date(year, F.lit(1), F.lit(1)))
-            last.append(F.make_date(year, F.lit(12), F.lit(31)))
-    return F.coalesce(*first), F.coalesce(*last)
+        found = lambda g: F.nullif(F.regexp_extract(url, shape, g), F.lit(""))  # noqa: B023, E731
+        groups = len(re.findall(r"\((?!\?)", shape))
+        year, month, day = (found(g) if g <= groups else F.lit(None).cast("string") for g in (1, 2, 3))
+        exact = F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd")
+        start = F.when(month.cast("int").between(1, 12), F.make_date(year.cast("int"), month.cast("int"), F.lit(1)))
+        whole = F.struct(F.make_date(year.cast("int"), F.lit(1), F.lit(1)).alias("a"), F.make_date(year.cast("int"), F.lit(12), F.lit(31)).alias("b"))
+        span = F.when(day.isNotNull(), F.when(exact.isNotNull(), F.struct(exact.alias("a"), exact.alias("b"))))
+        spans.append(F.when(year.isNotNull(), span.when(start.isNotNull(), F.struct(start.alias("a"), F.last_day(start).alias("b"))).otherwise(whole)))
+    best = F.coalesce(*spans)
+    return best["a"], best["b"]
 
 
 def spans_overlap(first: Column, last: Column, since: Column, until: Column) -> Column:
@@ -123,22 +119,28 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / size)
 
 
+# What no word goes through, on either side.
+WORD_START, WORD_END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+
 def alarm_score(text: Column, classes: Sequence[tuple[int, str]], opener: str) -> tuple[Column, Column]:
     """Score and hits of an alarm lexicon.
 
     ``classes`` are (weight, pattern) pairs.  Every match adds its weight; a text that begins with the opener gains two;
     two or more shouted words of four letters gain one; up to three exclamation marks gain a half each.  The sum is
     divided by the square root of the number of words and rounded to three places; no words: zero and no hits.
+    Each pattern runs once: matches are extracted and counted by the size of their list.
     """
     text = F.coalesce(text, F.lit(""))
-    words = F.regexp_count(text, F.lit("[A-Za-z']+"))
+    found = F.regexp_extract_all(text, F.lit("[A-Za-z']+"), 0)
+    words = F.size(found)
     starts = text.rlike(f"(?i)^\\s*(?:{opener})")
-    shouted = F.size(F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z']+"), 0), lambda w: (F.length(w) >= 4) & (w == F.upper(w)) & w.rlike("[A-Z]"))) >= 2
-    total = F.when(starts, 2).otherwise(0) + F.when(shouted, 1).otherwise(0) + 0.5 * F.least(F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))), F.lit(3))
-    lists = []
-    for weight, pattern in classes:
-        total = total + weight * F.regexp_count(text, F.lit(f"(?i){pattern}"))
-        lists.append(F.transform(F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), 0), lambda h: F.lower(h)))
+    shouted = F.size(F.filter(found, lambda w: (F.length(w) >= 4) & (w == F.upper(w)) & w.rlike("[A-Z]"))) >= 2
+    marks = F.least(F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))), F.lit(3))
+    lists = [F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), 0) for _, pattern in classes]
+    total = F.when(starts, 2).otherwise(0) + F.when(shouted, 1).otherwise(0) + 0.5 * marks
+    for (weight, _), matches in zip(classes, lists):
+        total = total + weight * F.size(matches)
     empty = F.array().cast("array<string>")
-    hits = F.concat(*lists, F.when(starts, F.array(F.lit("opener"))).otherwise(empty), F.when(shouted, F.array(F.lit("caps"))).otherwise(empty))
+    hits = F.concat(F.transform(F.concat(*lists), lambda h: F.lower(h)), F.when(starts, F.array(F.lit("opener"))).otherwise(empty), F.when(shouted, F.array(F.lit("caps"))).otherwise(empty))
     return F.when(words > 0, F.round(total / F.sqrt(words), 3)).otherwise(0.0), F.when(words > 0, hits).otherwise(empty)

@@ -62,22 +62,31 @@ def trimmed_centroid(rows: DataFrame, vec: str, rounds: int = 3, share: float =
     return centre.select(unit(F.col("mean")).alias("centroid"))
 
 
-def zero_shot(rows: DataFrame, key: str, vec: str, prompts: DataFrame, prompt: str, group: str, prompt_vec: str, scene: str, heat: float = 100.0) -> DataFrame:
-    """(key, best_group, best_share, object_mass, best_cos): softmax of cosines over all prompts, summed for each group.
+def zero_shot(rows: DataFrame, key: str, vec: str, prompts: DataFrame, prompt: str, group: str, prompt_vec: str, scene: int, heat: float = 100.0, top: int = 5) -> DataFrame:
+    """(key, best_group, best_share, object_mass, best_cos, top): softmax of cosines over all prompts, summed for each group.
 
-    The best group and the largest cosine are taken among groups that are not scenery; object mass is what scenery leaves.
+    The best group and the largest cosine are taken among groups that are not scenery; object mass is what scenery leaves;
+    ``top`` lists the prompts of largest share with it.  The prompts are one array beside each row, so nothing is shuffled.
     """
-    scored = similarities(rows.select(key, vec), vec, prompts.select(prompt, group, prompt_vec), prompt, prompt_vec).join(bounded(prompts.select(prompt, group)), prompt)
-    w = Window.partitionBy(key)
-    e = F.exp(heat * (F.col("cos") - F.max("cos").over(w)))
-    shares = scored.withColumn("__e", e).withColumn("__share", F.col("__e") / F.sum("__e").over(w))
-    groups = shares.groupBy(key, group).agg(F.sum("__share").alias("share"), F.max("cos").alias("cos"))
-    thing = F.col(group) != scene
-    return groups.groupBy(key).agg(
-        F.max_by(F.when(thing, F.col(group)), F.when(thing, F.struct("share", -F.col(group)))).alias("best_group"),
-        F.round(F.max(F.when(thing, F.col("share"))), 6).alias("best_share"),
-        F.round(1 - F.coalesce(F.sum(F.when(~thing, F.col("share"))), F.lit(0.0)), 6).alias("object_mass"),
-        F.round(F.max(F.when(thing, F.col("cos"))), 6).alias("best_cos"))
+    table = bounded(prompts.select(F.struct(F.col(prompt).cast("long").alias("p"), F.col(group).cast("long").alias("g"), unit(F.col(prompt_vec)).alias("r")).alias("e"))).agg(
+        F.array_sort(F.collect_list("e")).alias("__prompts"))  # within the checked limit
+    put = lambda c, **more: F.struct(c["p"].alias("p"), c["g"].alias("g"), *[v.alias(k) for k, v in more.items()])
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    r = rows.select(key, unit(F.col(vec)).alias("__u")).crossJoin(F.broadcast(table))  # one row
+    r = r.select(key, F.transform("__prompts", lambda e: put(e, cos=dot(F.col("__u"), e["r"]))).alias("c"))
+    r = r.withColumn("most", F.array_max(F.col("c.cos")))
+    r = r.withColumn("c", F.transform("c", lambda e: put(e, cos=e["cos"], e=F.exp(heat * (e["cos"] - F.col("most"))))))
+    r = r.withColumn("sum", total(F.col("c.e"))).withColumn("c", F.transform("c", lambda e: put(e, cos=e["cos"], share=e["e"] / F.col("sum"))))
+    within = lambda g: F.filter("c", lambda e: e["g"] == g)
+    r = r.withColumn("groups", F.transform(F.array_distinct(F.col("c.g")), lambda g: F.struct(g.alias("g"), total(F.transform(within(g), lambda e: e["share"])).alias("share"))))
+    things = F.filter("groups", lambda x: x["g"] != scene)
+    best = F.array_max(F.transform(things, lambda x: F.struct(x["share"].alias("share"), (-x["g"]).alias("g"))))
+    first = F.slice(F.array_sort(F.transform("c", lambda e: F.struct((-e["share"]).alias("s"), e["p"].alias("p")))), 1, top)
+    return r.select(
+        key, (-best["g"]).alias("best_group"), F.round(best["share"], 6).alias("best_share"),
+        F.round(1 - total(F.transform(F.filter("groups", lambda x: x["g"] == scene), lambda x: x["share"])), 6).alias("object_mass"),
+        F.round(F.array_max(F.transform(F.filter("c", lambda e: e["g"] != scene), lambda e: e["cos"])), 6).alias("best_cos"),
+        F.transform(first, lambda x: F.struct(x["p"].alias("prompt"), F.round(-x["s"], 3).alias("share"))).alias("top"))
 
 
 def classify(sim: Column, mass: Column, cos: Column, cx: Column, subject_least: float = 0.5, mass_least: float = 0.5, cos_least: float = 0.24) -> Column:

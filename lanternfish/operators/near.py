@@ -2,34 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lanternfish.functions.columns import hamming
 from lanternfish.operators.components import connected_components
 
-BITS = 64
+BITS, BANDS = 64, 4
 
 
-def bands(h: str, radius: int) -> Column:
-    """radius + 1 slices of the hash as (number, value): two hashes within the radius agree in one at least."""
-    cuts = np.linspace(0, BITS, radius + 2).astype(int).tolist()
-    parts = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("slice"))
-             for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    return F.explode(F.array(*parts))
+def near_slices(hashes: DataFrame, h: str, bands: int, flips: int) -> DataFrame:
+    """(h, band, slice): each of ``bands`` slices of the hash, and all its neighbours of up to ``flips`` other bits."""
+    cuts = [BITS * k // bands for k in range(bands + 1)]
+    rows = hashes.select(h, F.posexplode(F.array(*[F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])])).alias("band", "slice"))
+    width = max(b - a for a, b in zip(cuts, cuts[1:]))
+    masks = [sum(1 << k for k in some) for n in range(flips + 1) for some in combinations(range(width), n)]
+    if len(masks) == 1:
+        return rows
+    return rows.withColumn("mask", F.explode(F.lit(masks).cast("array<long>"))).select(h, "band", F.col("slice").bitwiseXOR(F.col("mask")).alias("slice"))
 
 
 def hamming_pairs(df: DataFrame, h: str, radius: int) -> DataFrame:
     """(a, b, distance) of all pairs of distinct hash values a < b within the radius; equal hashes are collapsed first.
 
-    Banding turns the theta join into an equi-join and loses no pair.
+    Of four slices one at least differs in no more than a quarter of the radius.  Both sides list the neighbours of their
+    slices up to half of that, so the theta join becomes an equi-join on long slices and loses no pair.
     """
     distinct = df.select(F.col(h).alias("h")).where("h IS NOT NULL").distinct()
-    left = distinct.select(F.col("h").alias("a"), bands("h", radius).alias("s")).select("a", "s.band", "s.slice")
-    right = left.withColumnRenamed("a", "b")
+    bands = min(BANDS, max(2, radius + 1))
+    flips = radius // bands
+    left = near_slices(distinct.withColumnRenamed("h", "a"), "a", bands, flips - flips // 2)
+    right = near_slices(distinct.withColumnRenamed("h", "b"), "b", bands, flips // 2)
     near = left.join(right, ["band", "slice"]).where(F.col("a") < F.col("b")).withColumn("distance", hamming(F.col("a"), F.col("b")))
     return near.where(F.col("distance") <= radius).select("a", "b", "distance").distinct()
 
@@ -70,18 +78,17 @@ def leader_fold(df: DataFrame, key: str, h: str, order: str, radius: int) -> Dat
 
 
 def text_simhash(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, h): 64-bit similarity hash of a text's words, a stand-in for a picture's perceptual hash."""
+    """(key, h): 64-bit similarity hash of a text's words, a stand-in for a picture's perceptual hash: a bit is set if more
+    than half of the words have it in their first 64 digest bits.  Each distinct word of a batch is digested once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zlib
-
         for batch in batches:
-            out = []
-            for t in batch["t"]:
-                words = (t or "").split()
-                h = np.array([zlib.crc32(w.encode()) << 32 | zlib.crc32(w.encode()[::-1]) for w in words], np.uint64)
-                votes = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0) if len(h) else np.zeros(64, int)
-                out.append(int(np.packbits(2 * votes > len(h)).view(">i8")[0]))
-            yield pd.DataFrame({"k": batch["k"], "h": out})
+            split = [(t or "").split() for t in batch["t"]]
+            number: dict[str, int] = {}
+            at = [np.array([number.setdefault(w, len(number)) for w in words], int) for words in split]
+            digests = np.frombuffer(b"".join(hashlib.md5(w.encode("utf-8", "surrogatepass")).digest()[:8] for w in number), np.uint8).reshape(-1, 8)
+            bits = np.unpackbits(digests, axis=1)
+            votes = [bits[a].sum(axis=0, dtype=np.int64) for a in at]
+            yield pd.DataFrame({"k": batch["k"], "h": [int(np.packbits(2 * v > len(a)).view(">i8")[0]) for v, a in zip(votes, at)]})
 
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, "k long, h long").withColumnRenamed("k", key)

@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lanternfish.functions.frames import object_frame
+from lanternfish.functions.tails import chi_square_p, rank_sum_p, student_p
 from lanternfish.operators.ranking import running_sum
 from lanternfish.plans.staging import stage
 
 
+def _p_value(tail, *parts: Column) -> Column:
+    """``tail`` of a one-row result's numbers, null if one of them is."""
+
+    @F.pandas_udf("double")
+    def value(*columns: pd.Series) -> pd.Series:
+        return pd.Series([None if any(v is None or v != v for v in row) else tail(*row) for row in zip(*(c.tolist() for c in columns))], dtype=float)
+
+    return value(*[c.cast("double") for c in parts])
+
+
 def gini(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Gini coefficient to four places; null where the sum is zero.  Equal values are counted once and ranked by sums."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("m"))
@@ -68,28 +79,35 @@ def average_ranks(df: DataFrame, value: str) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, side: str, value: str, a: str, b: str) -> DataFrame:
-    """(n_a, n_b, u, superiority): U of side a; null statistics where a side has fewer than five values."""
+    """(n_a, n_b, u, superiority, p): U of side a with its two-sided p-value; null statistics where a side has fewer than
+    five values."""
     ranked = average_ranks(df.where(F.col(side).isin(a, b) & F.col(value).isNotNull()).select(side, value), value)
-    s = ranked.agg(F.count_if(F.col(side) == a).alias("n_a"), F.count_if(F.col(side) == b).alias("n_b"), F.sum(F.when(F.col(side) == a, F.col("rank"))).alias("r"))
+    s = ranked.agg(F.count_if(F.col(side) == a).alias("n_a"), F.count_if(F.col(side) == b).alias("n_b"), F.sum(F.when(F.col(side) == a, F.col("rank"))).alias("r"),
+                   F.sum(F.col("ties").cast("double") * F.col("ties") - 1).alias("ties"))
     u = F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2
     enough = (F.col("n_a") >= 5) & (F.col("n_b") >= 5)
-    return s.select("n_a", "n_b", F.when(enough, F.round(u, 3)).alias("u"), F.when(enough, F.round(u / (F.col("n_a") * F.col("n_b")), 6)).alias("superiority"))
+    s = s.withColumn("u", F.when(enough, u))
+    p = _p_value(lambda u, n, m, t: rank_sum_p(u, int(n), int(m), t), F.col("u"), F.col("n_a"), F.col("n_b"), F.col("ties"))
+    return s.select("n_a", "n_b", F.round("u", 3).alias("u"), F.round(F.col("u") / (F.col("n_a") * F.col("n_b")), 6).alias("superiority"), p.alias("p"))
 
 
 def kruskal(df: DataFrame, group: str, value: str, least: int = 5) -> DataFrame:
-    """(h, groups, n): tie-corrected statistic over groups of at least ``least`` values; null for fewer than two groups."""
+    """(h, groups, n, p): tie-corrected statistic over groups of at least ``least`` values; null for fewer than two groups
+    or if all values are equal."""
     sized = df.where(F.col(value).isNotNull()).select(group, value)
     kept = sized.groupBy(group).agg(F.count("*").alias("size")).where(F.col("size") >= least).select(group)
     ranked = average_ranks(sized.join(kept, group, "left_semi"), value)
-    ties = ranked.groupBy(value).agg(F.count("*").cast("double").alias("t")).agg(F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
-    sums = ranked.groupBy(group).agg(F.count("*").alias("n"), F.sum("rank").alias("r")).agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"))
+    sums = ranked.groupBy(group).agg(F.count("*").alias("n"), F.sum("rank").alias("r"), F.sum(F.col("ties").cast("double") * F.col("ties") - 1).alias("t")).agg(
+        F.sum("n").alias("n"), F.count("*").alias("groups"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("t").alias("ties"))
     n = F.col("n").cast("double")
-    h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
-    return sums.crossJoin(F.broadcast(ties)).select(F.when(F.col("groups") >= 2, F.round(h, 6)).alias("h"), "groups", "n")  # one row each
+    h = F.try_divide(12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.col("ties") / (n * n * n - n))
+    s = sums.select(F.when(F.col("groups") >= 2, h).alias("h"), "groups", "n")
+    p = _p_value(lambda h, k: chi_square_p(h, int(k) - 1), F.col("h"), F.col("groups"))
+    return s.select(F.round("h", 6).alias("h"), "groups", "n", p.alias("p"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(n, rho): rank correlation; null for fewer than ten pairs."""
+    """(n, rho, p): rank correlation with its two-sided p-value; null for fewer than ten pairs or a side of equal values."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
     counts = pairs.groupBy("x", "y").agg(F.count("*").alias("m"))
     rank = lambda c: running_sum(pairs.groupBy(c).agg(F.count("*").alias("k")), c, "k", "upto").select(c, (F.col("upto") - F.col("k") + (F.col("k") + 1) / 2).alias(f"r{c}"))
@@ -97,21 +115,25 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     m, a, b = F.col("m"), F.col("rx"), F.col("ry")
     s = both.agg(F.sum("m").alias("n"), F.sum(m * a).alias("sa"), F.sum(m * b).alias("sb"), F.sum(m * a * a).alias("saa"), F.sum(m * b * b).alias("sbb"), F.sum(m * a * b).alias("sab"))
     n = F.col("n")
-    rho = (n * F.col("sab") - F.col("sa") * F.col("sb")) / F.sqrt((n * F.col("saa") - F.col("sa") * F.col("sa")) * (n * F.col("sbb") - F.col("sb") * F.col("sb")))
-    return s.select("n", F.when(n >= 10, F.round(rho, 6)).alias("rho"))
+    rho = F.try_divide(n * F.col("sab") - F.col("sa") * F.col("sb"), F.sqrt((n * F.col("saa") - F.col("sa") * F.col("sa")) * (n * F.col("sbb") - F.col("sb") * F.col("sb"))))
+    s = s.select("n", F.when(n >= 10, rho).alias("rho"))
+    p = _p_value(lambda r, n: 0.0 if abs(r) >= 1 else student_p(r * math.sqrt((n - 2) / ((1 - r) * (1 + r))), n - 2), F.col("rho"), F.col("n"))
+    return s.select("n", F.round("rho", 6).alias("rho"), p.alias("p"))
 
 
 def chi_square(df: DataFrame, row: str, column: str, a: str, b: str) -> DataFrame:
-    """(chi2, dof, n) of two rows against all columns; Yates' correction for one degree of freedom; null if not testable."""
+    """(chi2, dof, n, p) of two rows against all columns; Yates' correction for one degree of freedom; null if not testable."""
     cells = df.where(F.col(row).isin(a, b)).groupBy(column).agg(F.count_if(F.col(row) == a).cast("double").alias("x"), F.count_if(F.col(row) == b).cast("double").alias("y"))
     totals = cells.agg(F.sum("x").alias("n"), F.sum("y").alias("m"), F.count("*").alias("k"))
     each = cells.crossJoin(F.broadcast(totals))  # one row of totals
     size = F.col("n") + F.col("m")
     ex, ey = (F.col("x") + F.col("y")) * F.col("n") / size, (F.col("x") + F.col("y")) * F.col("m") / size
     yates = lambda o, e: F.when(F.col("k") == 2, F.greatest(F.abs(o - e) - F.least(F.lit(0.5), F.abs(o - e)), F.lit(0.0))).otherwise(F.abs(o - e))
-    part = F.pow(yates(F.col("x"), ex), F.lit(2.0)) / ex + F.pow(yates(F.col("y"), ey), F.lit(2.0)) / ey
+    part = F.try_divide(F.pow(yates(F.col("x"), ex), F.lit(2.0)), ex) + F.try_divide(F.pow(yates(F.col("y"), ey), F.lit(2.0)), ey)
     good = (F.max("k") >= 2) & (F.max("n") > 0) & (F.max("m") > 0)
-    return each.agg(F.when(good, F.round(F.sum(part), 6)).alias("chi2"), (F.max("k") - 1).alias("dof"), F.max(size).cast("long").alias("n"))
+    s = each.agg(F.when(good, F.sum(part)).alias("chi2"), (F.max("k") - 1).alias("dof"), F.max(size).cast("long").alias("n"))
+    p = _p_value(lambda x, dof: chi_square_p(x, int(dof)), F.col("chi2"), F.col("dof"))
+    return s.select(F.round("chi2", 6).alias("chi2"), "dof", "n", p.alias("p"))
 
 
 def rayleigh(df: DataFrame, hour: str, by: Sequence[str] = (), least: int = 10) -> DataFrame:
@@ -140,10 +162,13 @@ def logit_trend(months: DataFrame, k: str, n: str, order: str, least: int = 20)
 
 
 def binomial_tail(k: Column, n: Column) -> Column:
-    """P(X <= k) of n fair coins, summed from logarithms of factorials; null k or n gives null."""
-    step = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.log(i.cast("double")))
-    choose = lambda j: F.aggregate(F.slice(step, n - j + 1, F.greatest(j, F.lit(0))), F.lit(0.0), lambda s, x: s + x) - F.aggregate(F.slice(step, F.lit(1), F.greatest(j, F.lit(0))), F.lit(0.0), lambda s, x: s + x)
-    return F.when(k < 0, 0.0).otherwise(F.aggregate(F.transform(F.sequence(F.lit(0), k), lambda j: F.exp(choose(j) - n * math.log(2))), F.lit(0.0), lambda s, x: s + x))
+    """P(X <= k) of n fair coins: each term follows from the one before, in logarithms, so a row takes k steps; null k or n
+    gives null."""
+    put = lambda term, total: F.struct(term.alias("term"), total.alias("total"))
+    none = -n * math.log(2)
+    step = lambda s, j: put(s["term"] + F.log((n - j + 1) / j), s["total"] + F.exp(s["term"] + F.log((n - j + 1) / j)))
+    more = F.aggregate(F.sequence(F.lit(1), k), put(none, F.exp(none)), step, lambda s: s["total"])
+    return F.when(k < 0, 0.0).when(k == 0, F.exp(none)).otherwise(more)
 
 
 def binomial_test(k: Column, n: Column) -> Column:
@@ -157,61 +182,61 @@ def beta_posterior(k: Column, n: Column) -> Column:
     return F.when(n > 0, F.round(binomial_tail(k.cast("int"), (n + 1).cast("int")), 6))
 
 
-def bootstrap_interval(df: DataFrame, by: str, value: str, resamples: int = 2000, seed: int = 7, sample: int = 100_000) -> DataFrame:
-    """(by, n, low, high): 95 % percentile interval of the mean by resampling, null under three values.
+def middle_draws(n: int, resamples: int, seed: int) -> np.ndarray:
+    """Ranks (resamples x 2, from 1) of the two middle values of n draws with replacement from n values in order.
+
+    The middle ones of n uniform draws follow beta distributions; where they fall, the value's rank is read off.
+    """
+    rng = np.random.default_rng(seed)
+    low = (n + 1) // 2
+    u = rng.beta(low, n - low + 1, resamples)
+    v = u if n % 2 else u + (1 - u) * rng.beta(1, n - low, resamples)
+    return np.clip(np.ceil(np.column_stack([u, v]) * n), 1, n).astype(np.int64)
+
+
+def bootstrap_interval(df: DataFrame, by: str, value: str, statistic: str = "median", resamples: int = 2000, seed: int = 7) -> DataFrame:
+    """(by, n, low, high): 95 % percentile interval of the median or mean by resampling, null under three values.
 
-    Resampling a mean needs the counts of the distinct values only, so a group travels as its histogram; values are
-    rounded to 1/``sample`` of the range where a histogram would be longer than that.
+    For the median, the ranks of each resample's middle values are drawn at once from their own distribution and looked up in
+    the running counts of distinct values.  For the mean, every distinct value is drawn a Poisson number of times in each
+    resample and the tasks' sums are added.  Either way a group sends a few thousand numbers, whatever its size.
     """
-    bounds = df.groupBy(by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.countDistinct(value).alias("kinds"))
-    step = (F.col("hi") - F.col("lo")) / sample
-    coarse = F.when((F.col("kinds") > sample) & (step > 0), F.col("lo") + F.round((F.col(value) - F.col("lo")) / step) * step).otherwise(F.col(value))
-    hist = df.where(F.col(value).isNotNull()).join(bounds, by).groupBy(by, coarse.cast("double").alias("x")).agg(F.count("*").alias("m"))
-
-    def resample(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("x")
-        n = int(group["m"].sum())
-        low = high = None
-        if n >= 3:
-            rng = np.random.default_rng(seed)
-            draws = rng.multinomial(n, group["m"].to_numpy() / n, size=resamples)
-            low, high = np.round(np.percentile(draws @ group["x"].to_numpy() / n, [2.5, 97.5]), 3).tolist()
-        return object_frame([(group[by].iloc[0], n, low, high)], [by, "n", "low", "high"])
-
-    return hist.groupBy(by).applyInPandas(resample, f"{by} string, n long, low double, high double")
-
-
-def gamma_tail(a: float, x: float) -> float:
-    """Upper regularised incomplete gamma function, by series or continued fraction."""
-    if x <= 0:
-        return 1.0
-    scale = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        for n in range(1, 1000):
-            term *= x / (a + n)
-            total += term
-            if term < total * 1e-15:
-                break
-        return max(0.0, 1 - scale * total)
-    b = x + 1 - a
-    c, d = 1e300, 1 / b
-    h = d
-    for i in range(1, 1000):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b or 1e-300)
-        c = b + an / c or 1e-300
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return scale * h
-
-
-def chi_square_p(chi2: float | None, dof: int) -> float | None:
-    return None if chi2 is None or dof < 1 else gamma_tail(dof / 2, chi2 / 2)
-
-
-def normal_p(z: float) -> float:
-    """Two-sided."""
-    return math.erfc(abs(z) / math.sqrt(2))
+    sized = df.where(F.col(value).isNotNull()).select(F.col(by), F.col(value).cast("double").alias("x"))
+    hist = stage(sized.groupBy(by, "x").agg(F.count("*").alias("m")), "bootstrap-values")
+    sizes = hist.groupBy(by).agg(F.sum("m").alias("n"))
+
+    def medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, draws = None, None
+        for batch in batches:
+            for (group, n), rows in batch.groupby([by, "n"], dropna=False):
+                if (group, n) != last:
+                    last, draws = (group, n), middle_draws(int(n), resamples, seed)
+                rows = rows.sort_values("x")
+                upto, m = rows["upto"].to_numpy(), rows["m"].to_numpy()
+                at = np.minimum(np.searchsorted(upto, draws), len(upto) - 1)  # rows of a batch may lack some of the ranks
+                hit = (draws <= upto[at]) & (draws > upto[at] - m[at])
+                i, side = np.nonzero(hit)
+                yield pd.DataFrame({by: group, "i": i, "a": rows["x"].to_numpy()[at[i, side]] / 2, "b": 1.0})
+
+    def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        for batch in batches:
+            for group, rows in batch.groupby(by, dropna=False):
+                total, count = np.zeros(resamples), np.zeros(resamples)
+                for at in range(0, len(rows), 500):
+                    x, m = rows["x"].to_numpy()[at : at + 500], rows["m"].to_numpy()[at : at + 500]
+                    drawn = rng.poisson(m[:, None], (len(m), resamples))
+                    total, count = total + x @ drawn, count + drawn.sum(axis=0)
+                yield pd.DataFrame({by: group, "i": range(resamples), "a": total, "b": count})
+
+    if statistic == "median":
+        ranked = running_sum(hist, "x", "m", "upto", [by]).join(sizes.where("n >= 3"), by)
+        drawn = ranked.select(by, "n", "x", "m", F.col("upto").cast("long").alias("upto")).mapInPandas(medians, f"{by} string, i int, a double, b double")
+        stat = F.sum("a")
+    else:
+        drawn = hist.mapInPandas(means, f"{by} string, i int, a double, b double")
+        stat = F.try_divide(F.sum("a"), F.sum("b"))
+    each = drawn.groupBy(by, "i").agg(stat.alias("s"))
+    ends = each.groupBy(by).agg(F.percentile("s", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))  # ``resamples`` numbers a group
+    enough = F.col("n") >= 3
+    return sizes.join(ends, by, "left").select(by, "n", F.when(enough, F.round(F.col("q")[0], 3)).alias("low"), F.when(enough, F.round(F.col("q")[1], 3)).alias("high"))

@@ -6,23 +6,11 @@ from pyspark.sql import functions as F
 
 from lanternfish.functions import columns as C
 from lanternfish.operators import embedding as E, images as I, near as N, relational as R, series as S, statistics as T
+from lanternfish.plans.registering import registered
 from lanternfish.plans.views import HASHES, SIGHTINGS, hashes, sightings, table
 from lanternfish.streaming import micro
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, view: str = ""):
-    """Registers a function under its name, with its SQL behind a view."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = f"WITH {view}\n{sql}" if view else sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = registered()
 
 
 # -- embeddings and rules ----------------------------------------------------------------------------------------------
@@ -103,14 +91,16 @@ def centroid_select(spark, d):
     return best.select("picture", "vec_id", F.round("cos", 6).alias("s"))
 
 
-@query("""SELECT vec_id, arg_max(g, share) FILTER (WHERE g <> 4) AS best_group, round(max(share) FILTER (WHERE g <> 4), 6) AS best_share,
-round(1 - coalesce(sum(share) FILTER (WHERE g = 4), 0e0), 6) AS object_mass, round(max(cos) FILTER (WHERE g <> 4), 6) AS best_cos FROM gr GROUP BY vec_id""",
-       SCORES + """, ex AS (SELECT vec_id, prompt % 5 AS g, cos, exp(5 * (cos - max(cos) OVER (PARTITION BY vec_id))) AS e FROM sc), sh AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS share FROM ex),
+@query("""SELECT vec_id, best_group, best_share, object_mass, best_cos, first FROM (SELECT vec_id, arg_max(g, share) FILTER (WHERE g <> 4) AS best_group, round(max(share) FILTER (WHERE g <> 4), 6) AS best_share,
+round(1 - coalesce(sum(share) FILTER (WHERE g = 4), 0e0), 6) AS object_mass, round(max(cos) FILTER (WHERE g <> 4), 6) AS best_cos FROM gr GROUP BY vec_id) JOIN
+(SELECT vec_id, string_agg(prompt, ',' ORDER BY r) AS first FROM (SELECT vec_id, prompt, row_number() OVER (PARTITION BY vec_id ORDER BY share DESC, prompt) AS r FROM sh) WHERE r <= 5 GROUP BY vec_id) USING (vec_id)""",
+       SCORES + """, ex AS (SELECT vec_id, prompt, prompt % 5 AS g, cos, exp(5 * (cos - max(cos) OVER (PARTITION BY vec_id))) AS e FROM sc), sh AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS share FROM ex),
 gr AS (SELECT vec_id, g, sum(share) AS share, max(cos) AS cos FROM sh GROUP BY vec_id, g)""")
 def zero_shot_groups(spark, d):
-    """Zero-shot label groups of every vector."""
+    """Zero-shot label groups of every vector, and its first five prompts."""
     prompts = _prompts(spark, d).withColumn("g", F.col("prompt") % 5)
-    return E.zero_shot(_vectors(spark, d), "vec_id", "e", prompts, "prompt", "g", "pe", 4, heat=5.0)
+    z = E.zero_shot(_vectors(spark, d), "vec_id", "e", prompts, "prompt", "g", "pe", 4, heat=5.0)
+    return z.select("vec_id", F.col("best_group").cast("int").alias("best_group"), "best_share", "object_mass", "best_cos", F.concat_ws(",", F.col("top.prompt").cast("array<string>")).alias("first"))
 
 
 _LINES = "l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity / 5 AS q, l_discount AS disc, l_tax AS tax, l_linenumber / 8e0 AS cx FROM lineitem)"
@@ -143,6 +133,38 @@ def classify_rule(spark, d):
     return _lines(spark, d).select("k", "n", E.classify(x("disc") * 9.9, x("tax") * 12.3, x("q") / 21, x("cx")).alias("klass"))
 
 
+def _classes(spark, d, mass_least: float = 0.5):
+    x = F.col
+    return _lines(spark, d).select("k", "n", E.classify(x("disc") * 9.9, x("tax") * 12.3, x("q") / 21, x("cx"), mass_least=mass_least).alias("klass"))
+
+
+def _classes_sql(mass_least: float) -> str:
+    return f"""(SELECT k, n, CASE WHEN su AND th AND cx < 0.5e0 THEN 'subject_left' WHEN su AND th THEN 'subject_right' WHEN su THEN 'subject_only' WHEN th THEN 'object_only' ELSE 'other' END AS klass
+FROM (SELECT *, disc * 9.9e0 >= 0.5e0 AS su, tax * 12.3e0 >= {mass_least}e0 AND (disc * 9.9e0 >= 0.5e0 OR q / 21 >= 0.24e0) AS th FROM l))"""
+
+
+@query(f"SELECT k, n, klass, substr(sha1(k || '-' || n), 1, 2) AS folder FROM {_classes_sql(0.5)} WHERE klass <> 'other'", _LINES)
+def retention(spark, d):
+    """Pictures whose file is kept, with its folder: those of any class but the last."""
+    name = F.concat(F.col("k").cast("string"), F.lit("-"), F.col("n").cast("string"))
+    return _classes(spark, d).where("klass != 'other'").withColumn("folder", F.substring(F.sha1(name.cast("binary")), 1, 2))
+
+
+@query(f"SELECT klass, count(*) AS n, count(*) FILTER (WHERE klass <> was) AS moved FROM {_classes_sql(0.6)} a JOIN (SELECT k, n, klass AS was FROM {_classes_sql(0.5)}) b USING (k, n) GROUP BY klass", _LINES)
+def reclassify_counts(spark, d):
+    """Classes after the rule has changed, and how many pictures each has gained: old verdicts are updated by key, then counted."""
+    was = _classes(spark, d).withColumn("id", F.struct("k", "n")).withColumnRenamed("klass", "was")
+    new = _classes(spark, d, 0.6).select(F.struct("k", "n").alias("id"), "klass")
+    return was.join(new, "id").groupBy("klass").agg(F.count("*").alias("n"), F.count_if(F.col("klass") != F.col("was")).alias("moved"))
+
+
+@query("SELECT DISTINCT sha1, false AS known FROM (SELECT sha1(text) AS sha1, doc_id FROM documents WHERE text IS NOT NULL) a WHERE doc_id % 3 = 0 AND sha1 NOT IN (SELECT sha1(text) FROM documents WHERE doc_id % 3 = 1 AND text IS NOT NULL)")
+def score_new_only(spark, d):
+    """Contents that the costly stage has yet to see: those scored before are only linked."""
+    c = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("sha1"))
+    return R.pending(c.where("doc_id % 3 = 0").select("sha1").distinct(), c.where("doc_id % 3 = 1").select("sha1"), ["sha1"]).withColumn("known", F.lit(False))
+
+
 @query("""SELECT user_id, CAST(max(span) AS INTEGER) AS longest FROM (SELECT user_id, run, max(day) - min(day) + 1 AS span FROM (SELECT user_id, day, sum(fresh) OVER (PARTITION BY user_id ORDER BY day) AS run FROM
 (SELECT user_id, day, CASE WHEN day - lag(day) OVER (PARTITION BY user_id ORDER BY day) <= 1 THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day FROM events))) GROUP BY 1, 2) GROUP BY user_id""")
 def longest_run(spark, d):
@@ -166,10 +188,16 @@ def border_trim(spark, d):
 
 @query()
 def seam_find(spark, d):
-    """The likeliest seam of every picture."""
+    """The likeliest seam of every picture, with its band."""
     return I.find_seams(_pictures(spark, d), "vec_id", "pixels", "width")
 
 
+@query()
+def picture_hash(spark, d):
+    """Perceptual and difference hash of every picture."""
+    return I.picture_hashes(_pictures(spark, d), "vec_id", "pixels", "width")
+
+
 # -- aggregates --------------------------------------------------------------------------------------------------------
 
 @query("SELECT klass, count(*) AS n, count(DISTINCT sha1) AS pictures, round(avg(likes), 6) AS mean_likes, round(avg(CASE WHEN likes > 0 THEN 1e0 ELSE 0e0 END), 6) AS nonzero, count(*) FILTER (WHERE source = 'bsky') AS bsky, count(*) FILTER (WHERE source = 'gdelt') AS gdelt, count(*) FILTER (WHERE source = 'site') AS site FROM s GROUP BY klass", SIGHTINGS)
@@ -294,10 +322,20 @@ def wilson(spark, d):
     return _lefts(spark, d).select("author", "k", "n", low.alias("low"), high.alias("high"))
 
 
+def _engaged(spark, d):
+    return sightings(spark, d).select("klass", C.null_sum(F.col("likes"), F.col("reposts")).cast("double").alias("x"))
+
+
 @query()
 def bootstrap_ci(spark, d):
+    """Bootstrap interval of the median engagement of every class."""
+    return T.bootstrap_interval(_engaged(spark, d), "klass", "x")
+
+
+@query()
+def bootstrap_mean(spark, d):
     """Bootstrap interval of the mean engagement of every class."""
-    return T.bootstrap_interval(sightings(spark, d).select("klass", F.col("likes").cast("double").alias("x")), "klass", "x")
+    return T.bootstrap_interval(_engaged(spark, d), "klass", "x", "mean")
 
 
 @query("SELECT CAST(n AS BIGINT) AS n, round((2 * w - (n + 1) * t) / (n * t), 4) AS gini FROM (SELECT count(*) AS n, sum(x) AS t, sum(x * r) AS w FROM (SELECT CAST(size AS DOUBLE) AS x, row_number() OVER (ORDER BY size) AS r FROM (SELECT author, count(*) AS size FROM s GROUP BY author)))", SIGHTINGS)
@@ -349,34 +387,49 @@ def beta_posterior(spark, d):
     return _lefts(spark, d).select("author", "k", "n", T.beta_posterior(F.col("k"), F.col("n")).alias("p"))
 
 
-@query("""SELECT round(sum(pow(x - ex, 2) / ex + pow(y - ey, 2) / ey), 6) AS chi2, CAST(count(*) - 1 AS BIGINT) AS dof, CAST(max(n + m) AS BIGINT) AS n FROM (SELECT *, (x + y) * n / (n + m) AS ex, (x + y) * m / (n + m) AS ey FROM (SELECT *, sum(x) OVER () AS n, sum(y) OVER () AS m FROM
-(SELECT label, CAST(count(*) FILTER (WHERE klass = 'subject_left') AS DOUBLE) AS x, CAST(count(*) FILTER (WHERE klass = 'object_only') AS DOUBLE) AS y FROM s WHERE klass IN ('subject_left', 'object_only') GROUP BY label)))""", SIGHTINGS)
+def _area(density: str, end: str) -> str:
+    """SQL of the integral of a density of ``t`` from zero, by Simpson's rule."""
+    return f"(SELECT sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * ({density})) * ({end}) / 6000 FROM (SELECT i, ({end}) * i / 2000e0 AS t FROM range(0, 2001) r(i)))"
+
+
+_CHI2 = "exp((({dof}) / 2e0 - 1) * ln(greatest(t, 1e-300)) - t - lgamma(({dof}) / 2e0))"
+_NORMAL = "exp(-t * t / 2) / sqrt(2 * pi())"
+_STUDENT = "exp(lgamma((n - 1) / 2e0) - lgamma((n - 2) / 2e0) - (n - 1) / 2e0 * ln(1 + t * t / (n - 2))) / sqrt((n - 2) * pi())"
+
+
+def _p(frame):
+    return frame.withColumn("p", F.round("p", 5))
+
+
+@query(f"""SELECT round(chi2, 6) AS chi2, dof, n, round(1 - {_area(_CHI2.format(dof="dof"), "chi2 / 2")}, 5) AS p FROM (SELECT sum(pow(x - ex, 2) / ex + pow(y - ey, 2) / ey) AS chi2, CAST(count(*) - 1 AS BIGINT) AS dof, CAST(max(n + m) AS BIGINT) AS n FROM (SELECT *, (x + y) * n / (n + m) AS ex, (x + y) * m / (n + m) AS ey FROM (SELECT *, sum(x) OVER () AS n, sum(y) OVER () AS m FROM
+(SELECT label, CAST(count(*) FILTER (WHERE klass = 'subject_left') AS DOUBLE) AS x, CAST(count(*) FILTER (WHERE klass = 'object_only') AS DOUBLE) AS y FROM s WHERE klass IN ('subject_left', 'object_only') GROUP BY label))))""", SIGHTINGS)
 def chi2_stat(spark, d):
     """Labels of two classes against each other."""
-    return T.chi_square(sightings(spark, d), "klass", "label", "subject_left", "object_only")
+    return _p(T.chi_square(sightings(spark, d), "klass", "label", "subject_left", "object_only"))
 
 
-_RANKS = "SELECT *, rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2e0 AS r FROM ({q})"
+_RANKS = "SELECT *, rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2e0 AS r, count(*) OVER (PARTITION BY {x}) AS same FROM ({q})"
 
 
-@query("SELECT na AS n_a, nb AS n_b, round(ra - na * (na + 1) / 2e0, 3) AS u, round((ra - na * (na + 1) / 2e0) / (na * nb), 6) AS superiority FROM (SELECT count(*) FILTER (WHERE klass = 'subject_left') AS na, count(*) FILTER (WHERE klass <> 'subject_left') AS nb, sum(r) FILTER (WHERE klass = 'subject_left') AS ra FROM ("
-       + _RANKS.format(x="likes", q="SELECT klass, likes FROM s WHERE klass IN ('subject_left', 'object_only') AND likes IS NOT NULL") + "))", SIGHTINGS)
+@query(f"SELECT n_a, n_b, round(u, 3) AS u, round(u / (n_a * n_b), 6) AS superiority, round(CASE WHEN z <= 0 THEN 1 ELSE 1 - 2 * {_area(_NORMAL, 'z')} END, 5) AS p FROM (SELECT *, (greatest(u, n_a * n_b - u) - n_a * n_b / 2e0 - 0.5e0) / sqrt(n_a * n_b / 12e0 * (n_a + n_b + 1 - ties / ((n_a + n_b) * (n_a + n_b - 1e0)))) AS z FROM ("
+       "SELECT *, ra - n_a * (n_a + 1) / 2e0 AS u FROM (SELECT count(*) FILTER (WHERE klass = 'subject_left') AS n_a, count(*) FILTER (WHERE klass <> 'subject_left') AS n_b, sum(r) FILTER (WHERE klass = 'subject_left') AS ra, sum(same * same - 1e0) AS ties FROM ("
+       + _RANKS.format(x="likes", q="SELECT klass, likes FROM s WHERE klass IN ('subject_left', 'object_only') AND likes IS NOT NULL") + "))))", SIGHTINGS)
 def mann_whitney_u(spark, d):
     """Likes of two classes against each other."""
-    return T.mann_whitney(sightings(spark, d), "klass", "likes", "subject_left", "object_only")
+    return _p(T.mann_whitney(sightings(spark, d), "klass", "likes", "subject_left", "object_only"))
 
 
-@query("""SELECT round((12e0 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 6) AS h, groups, CAST(n AS BIGINT) AS n FROM (SELECT CAST(sum(c) AS DOUBLE) AS n, count(*) AS groups, sum(rs * rs / c) AS s FROM (SELECT domain, count(*) AS c, sum(r) AS rs FROM ra GROUP BY domain)), (SELECT sum(pow(t, 3) - t) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM ra GROUP BY x))""",
+@query(f"""SELECT round(h, 6) AS h, groups, n, round(1 - {_area(_CHI2.format(dof="groups - 1"), "h / 2")}, 5) AS p FROM (SELECT (12e0 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h, groups, CAST(n AS BIGINT) AS n FROM (SELECT CAST(sum(c) AS DOUBLE) AS n, count(*) AS groups, sum(rs * rs / c) AS s FROM (SELECT domain, count(*) AS c, sum(r) AS rs FROM ra GROUP BY domain)), (SELECT sum(pow(t, 3) - t) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM ra GROUP BY x)))""",
        SIGHTINGS + ", ra AS (" + _RANKS.format(x="x", q="SELECT domain, coalesce(likes, 0) + coalesce(reposts, 0) AS x FROM s") + ")")
 def kruskal_h(spark, d):
     """Engagement of all domains against each other."""
-    return T.kruskal(sightings(spark, d).select("domain", C.null_sum(F.col("likes"), F.col("reposts")).cast("long").alias("x")), "domain", "x")
+    return _p(T.kruskal(sightings(spark, d).select("domain", C.null_sum(F.col("likes"), F.col("reposts")).cast("long").alias("x")), "domain", "x"))
 
 
-@query("SELECT count(*) AS n, round(corr(ra, rb), 6) AS rho FROM (SELECT rank() OVER (ORDER BY likes) + (count(*) OVER (PARTITION BY likes) - 1) / 2e0 AS ra, rank() OVER (ORDER BY reposts) + (count(*) OVER (PARTITION BY reposts) - 1) / 2e0 AS rb FROM s WHERE likes IS NOT NULL AND reposts IS NOT NULL)", SIGHTINGS)
+@query(f"SELECT n, round(rho, 6) AS rho, round(1 - 2 * {_area(_STUDENT, 'abs(rho) * sqrt((n - 2) / (1 - rho * rho))')}, 5) AS p FROM (SELECT count(*) AS n, corr(ra, rb) AS rho FROM (SELECT rank() OVER (ORDER BY likes) + (count(*) OVER (PARTITION BY likes) - 1) / 2e0 AS ra, rank() OVER (ORDER BY reposts) + (count(*) OVER (PARTITION BY reposts) - 1) / 2e0 AS rb FROM s WHERE likes IS NOT NULL AND reposts IS NOT NULL))", SIGHTINGS)
 def spearman(spark, d):
     """Rank correlation of likes and reposts."""
-    return T.spearman(sightings(spark, d), "likes", "reposts")
+    return _p(T.spearman(sightings(spark, d), "likes", "reposts"))
 
 
 @query("""SELECT klass, n, round(r, 6) AS r, round(z, 4) AS z, round(least(1e0, exp(-z) * (1 + (2 * z - z * z) / (4 * n) - (24 * z - 132 * z * z + 76 * pow(z, 3) - 9 * pow(z, 4)) / (288e0 * n * n))), 6) AS p, round(CASE WHEN pk < 0 THEN pk + 24 ELSE pk END, 4) AS peak_hour FROM
@@ -397,13 +450,13 @@ def logit_trend(spark, d):
 # -- families ----------------------------------------------------------------------------------------------------------
 
 _HEX = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-_PAIRS = HASHES + ", dh AS (SELECT DISTINCT h FROM hv), pr AS (SELECT a.h AS a, b.h AS b, bit_count(xor(a.h, b.h)) AS distance FROM dh a JOIN dh b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= 3)"
+_PAIRS = HASHES + ", dh AS (SELECT DISTINCT h FROM hv), pr AS (SELECT a.h AS a, b.h AS b, bit_count(xor(a.h, b.h)) AS distance FROM dh a JOIN dh b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= 8)"
 
 
 @query("SELECT lower(printf('%016x', a)) AS a, lower(printf('%016x', b)) AS b, CAST(distance AS INTEGER) AS distance FROM pr", _PAIRS)
 def hamming_pairs(spark, d):
-    """Pairs of hashes within three bits."""
-    p = N.hamming_pairs(hashes(spark, d), "h", 3).select(_HEX("a").alias("x"), _HEX("b").alias("y"), "distance")
+    """Pairs of hashes within eight bits."""
+    p = N.hamming_pairs(hashes(spark, d), "h", 8).select(_HEX("a").alias("x"), _HEX("b").alias("y"), "distance")
     return p.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("distance").cast("int").alias("distance"))
 
 
@@ -411,14 +464,14 @@ def hamming_pairs(spark, d):
        "RECURSIVE " + _PAIRS + ", ed AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), rc AS (SELECT h, h AS g FROM dh UNION SELECT rc.h, ed.b FROM rc JOIN ed ON ed.a = rc.g)")
 def dup_families(spark, d):
     """Families of hashes by transitive closure, with their sizes."""
-    f = N.families(hashes(spark, d), "h", 3)
+    f = N.families(hashes(spark, d), "h", 8)
     return f.groupBy("family").agg(F.min(_HEX("hash")).alias("least"), F.count("*").alias("hashes")).select(F.col("least").alias("family"), "hashes")
 
 
 @query()
 def leader_fold(spark, d):
     """Leaders of the wall, newest first."""
-    return N.leader_fold(hashes(spark, d).withColumn("at", -F.col("id")), "id", "h", "at", 3)
+    return N.leader_fold(hashes(spark, d).withColumn("at", -F.col("id")), "id", "h", "at", 8)
 
 
 @query()

@@ -2,33 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lanternfish.functions import columns as C
 from lanternfish.operators import relational as R
-from lanternfish.plans.views import HASHES, SIGHTINGS, ascii_text, hashes, sightings, table
-from lanternfish.sources import pages as P
+from lanternfish.plans.registering import registered
+from lanternfish.plans.staging import fresh_path
+from lanternfish.plans.views import HASHES, SIGHTINGS, choose, hashes, sightings, table
+from lanternfish.sources import documents as D, pages as P
 from lanternfish.sources.windows import day_tiles, event_windows
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, view: str = ""):
-    """Registers a function under its name, with its SQL behind a view."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = f"WITH {view}\n{sql}" if view else sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = registered()
 
 
 # -- sources -----------------------------------------------------------------------------------------------------------
 
-@query()
+@query("""SELECT low + (span * cell) // (1::BIGINT << level) AS start, low + (span * (cell + 1)) // (1::BIGINT << level) AS stop, CAST(coalesce(n, 0) AS BIGINT) AS n FROM
+(SELECT 0 AS level, 0::BIGINT AS cell UNION ALL SELECT level + 1, 2 * cell + k FROM fullc, range(0, 2) r(k)) w JOIN b ON true LEFT JOIN cnt USING (level, cell) WHERE NOT EXISTS (SELECT 1 FROM fullc f WHERE f.level = w.level AND f.cell = w.cell)""",
+       """s AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), b AS (SELECT min(t) AS low, max(t) + 1 - min(t) AS span FROM s), d AS (SELECT CAST(min(i) AS INTEGER) AS depth FROM range(0, 40) r(i), b WHERE 120 * (1::BIGINT << i) >= span),
+edges AS (SELECT CAST(l AS INTEGER) AS level, c AS cell, low + (span * c) // (1::BIGINT << l) AS a, low + (span * (c + 1)) // (1::BIGINT << l) AS z FROM d, b, LATERAL (SELECT unnest(range(0, depth + 1)) AS l) x, LATERAL (SELECT unnest(range(0, 1::BIGINT << l)) AS c) y),
+cnt AS (SELECT level, cell, count(*) AS n FROM edges JOIN s ON t >= a AND t < z GROUP BY 1, 2), fullc AS (SELECT cnt.level, cell FROM cnt, d WHERE n > 90 AND cnt.level < depth)""")
 def window_bisect(spark: SparkSession, d: str) -> DataFrame:
     """The time range of all events in windows of at most 90 rows."""
     return event_windows(table(spark, d, "events"), 90, 120)
@@ -70,13 +63,30 @@ def tree_walk(spark, d):
     return P.walk_tree(spark.createDataFrame([(1,)], "node long"), kids, 4)
 
 
-@query()
+@query("SELECT page_id, url AS loc FROM pages WHERE url IS NOT NULL AND url <> ''")
 def xml_extract(spark, d):
     """Locations of a sitemap made of every page's URL."""
     xml = F.concat(F.lit("<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'><url><loc>"), C.html_escape(F.col("url")), F.lit("</loc></url></urlset>"))
     return P.sitemap_entries(table(spark, d, "pages").select("page_id", xml.alias("xml")), "xml").select("page_id", "loc")
 
 
+@query("""SELECT DISTINCT CASE id % 5 WHEN 3 THEN 'https://a.example/2004/07/09/item' || id ELSE 'https://a.example/item' || id END AS loc, CASE id % 5 WHEN 3 THEN '2004-07-09' ELSE strftime(od, '%Y-%m-%d') || 'T00:00:00Z' END AS published,
+CASE WHEN id % 3 = 0 THEN 'A & "' || id || '"' END AS title, CASE WHEN id % 2 = 0 THEN 'https://i.example/' || id || '.jpg' END AS image_url FROM (SELECT o_orderkey AS id, o_orderdate AS od FROM orders)
+WHERE id % 5 <> 2 AND CASE id % 5 WHEN 3 THEN true WHEN 4 THEN false ELSE od >= DATE '1994-01-01' AND od < DATE '2005-01-01' END""")
+def sitemap_articles(spark, d):
+    """Articles of sitemaps (one an order) within some years: dated by the news, by the last change, or by the URL; every fifth
+    has no date and every fifth another path."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("day"))
+    k, n = F.col("id") % 5, F.col("id").cast("string")
+    some = lambda c, a, v, z: F.when(c, F.concat(F.lit(a), v, F.lit(z))).otherwise("")
+    xml = F.concat(
+        F.lit("<urlset xmlns:news='n' xmlns:image='i'><url>\n<loc> https://a.example/"), F.when(k == 3, "2004/07/09/").otherwise(""), F.when(k == 2, "other?x=item").otherwise("item"), n, F.lit(" </loc>"),
+        some(k == 0, "<lastmod>1999-99-99</lastmod><news:news><news:publication_date>", F.col("day"), "</news:publication_date></news:news>"), some((k == 1) | (k == 2), "<lastmod>", F.col("day"), "</lastmod>"),
+        some(k == 3, "<lastmod>", F.lit("soon"), "</lastmod>"), some(F.col("id") % 3 == 0, "<news:title><![CDATA[A &amp; &quot;", n, "&quot;]]></news:title>"),
+        some(F.col("id") % 2 == 0, "<image:image><image:loc>https://i.example/", n, ".jpg</image:loc></image:image>"), F.lit("</url></urlset>"))
+    return P.sitemap_articles(o.select(xml.alias("xml")), "xml", "1994-01-01", "2004-12-31", "item")
+
+
 @query(r"""SELECT page_id, nullif(trim(regexp_replace(regexp_extract(substr(html, 1, 300000), '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS title FROM pages""")
 def html_title(spark, d):
     """Titles of the pages."""
@@ -134,6 +144,39 @@ def fill_missing(spark, d):
     return R.fill_missing(s, e, "id", ["reposts"], "done")
 
 
+@query("""SELECT source, query, post_url, author, headline, domain, image_url FROM (SELECT *, row_number() OVER (PARTITION BY post_url, image_url ORDER BY old DESC, id) AS p FROM
+(SELECT page_id AS id, 1 AS old, 'site' AS source, 'term' AS query, url AS post_url, 'old' AS author, CAST(NULL AS VARCHAR) AS headline, 'old' AS domain, 'i' || page_id % 50 AS image_url FROM pages WHERE page_id % 4 = 0
+ UNION ALL SELECT page_id, 0, 'site', 'sitemap', url, 'outlet', substr(html, 1, 20), 'outlet', 'i' || page_id % 50 FROM pages WHERE page_id % 3 > 0)) WHERE p = 1""")
+def insert_select(spark, d):
+    """Articles that have a picture, queued as items with constants for what they lack; items that are there stay."""
+    p = table(spark, d, "pages").withColumn("image_url", F.concat(F.lit("i"), (F.col("page_id") % 50).cast("string")))
+    items = p.where("page_id % 4 = 0").select("page_id", F.lit("site").alias("source"), F.lit("term").alias("query"), F.col("url").alias("post_url"), F.lit("old").alias("author"), F.lit(None).cast("string").alias("headline"), F.lit("old").alias("domain"), "image_url")
+    articles = p.select("page_id", "url", F.lit("outlet").alias("outlet"), F.substring("html", 1, 20).alias("title"), F.when(F.col("page_id") % 3 > 0, F.col("image_url")).alias("image_url"))
+    queued = articles.where("image_url IS NOT NULL").select("page_id", F.lit("site").alias("source"), F.lit("sitemap").alias("query"), F.col("url").alias("post_url"), F.col("outlet").alias("author"), F.col("title").alias("headline"), F.col("outlet").alias("domain"), "image_url")
+    keys = ["post_url", "image_url"]
+    return R.insert_ignore(R.dedupe_first(items, keys, ["page_id"]), queued, keys, ["page_id"]).drop("page_id")
+
+
+@query("SELECT klass, count(*) AS n, count(DISTINCT sha1) AS pictures, round(avg(likes), 6) AS mean_likes, count(*) FILTER (WHERE source = 'bsky') AS bsky, count(*) FILTER (WHERE source = 'site') AS site FROM s GROUP BY klass", SIGHTINGS)
+def metrics_document(spark, d):
+    """The classes' measures as one nested JSON document, written and read again."""
+    path = fresh_path(spark, "metrics")
+    per = sightings(spark, d).groupBy("klass").agg(F.count("*").alias("n"), F.countDistinct("sha1").alias("pictures"), F.round(F.avg("likes"), 6).alias("mean_likes"),
+                                                   F.struct(F.count_if(F.col("source") == "bsky").alias("bsky"), F.count_if(F.col("source") == "site").alias("site")).alias("sources"))
+    D.write_document(per.agg(F.array_sort(F.collect_list(F.struct("klass", "n", "pictures", "mean_likes", "sources"))).alias("classes"), F.sum("n").alias("rows")), path)  # one entry a class
+    c = D.read_document(spark, path).select(F.explode("classes").alias("c"))
+    return c.select("c.klass", "c.n", "c.pictures", "c.mean_likes", "c.sources.bsky", "c.sources.site")
+
+
+@query("SELECT klass, s, d, a, src FROM (SELECT klass, sha1 AS s, strftime(posted_at, '%Y-%m-%d') AS d, author AS a, source AS src FROM s WHERE klass <> 'other')", SIGHTINGS)
+def class_arrays(spark, d):
+    """The wall of every class, newest first, as JSON lines in a folder of its own, written and read again."""
+    path = fresh_path(spark, "walls")
+    rows = sightings(spark, d).where("klass != 'other'").select("klass", F.col("sha1").alias("s"), F.date_format("posted_at", "yyyy-MM-dd").alias("d"), F.col("author").alias("a"), F.col("source").alias("src"), "id")
+    D.write_arrays(rows, "klass", [F.desc("d"), F.col("id")], path)
+    return spark.read.schema("s string, d string, a string, src string, klass string").json(path).select("klass", "s", "d", "a", "src")
+
+
 # -- projection, filter, dedupe, join, order ---------------------------------------------------------------------------
 
 @query("SELECT id, coalesce(likes, 0) + coalesce(reposts, 0) AS engagement FROM s", SIGHTINGS)
@@ -181,10 +224,10 @@ def slug_filter(spark, d):
     return table(spark, d, "pages").where(F.col("url").rlike("(?i)(item|page|post|news|[0-9]+)")).select("page_id", "url")
 
 
-@query(r"SELECT doc_id FROM documents WHERE regexp_matches(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '\b(The|Of|And)\b')")
+@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\p{L}\p{N}_])(The|Of|And)($|[^\p{L}\p{N}_])')")
 def names_subject(spark, d):
     """Texts that hold one of the names as a word, in this case."""
-    return table(spark, d, "documents").where(ascii_text(F.col("text")).rlike(r"\b(The|Of|And)\b")).select("doc_id")
+    return table(spark, d, "documents").where(F.col("text").rlike(f"{C.WORD_START}(The|Of|And){C.WORD_END}")).select("doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'that')")
@@ -193,10 +236,10 @@ def text_search(spark, d):
     return R.facets(table(spark, d, "documents"), needle="That").select("doc_id")
 
 
-@query()
+@query("SELECT id, klass FROM s ORDER BY md5('11-' || id), id LIMIT 50", SIGHTINGS)
 def sample_k(spark, d):
     """Fifty rows at random, the same for the same seed."""
-    return sightings(spark, d).orderBy(F.xxhash64("id", F.lit(11)), "id").limit(50).select("id", "klass")
+    return sightings(spark, d).orderBy(F.md5(F.concat(F.lit("11-"), F.col("id").cast("string")).cast("binary")), "id").limit(50).select("id", "klass")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -250,18 +293,16 @@ def priority_queue(spark, d):
     return R.priority_queue(sightings(spark, d), "sha1", F.col("query") == "name", "posted_at")
 
 
-@query("""SELECT id, klass, CAST(row_number() OVER (ORDER BY posted_at DESC, id) AS BIGINT) AS by_date, CAST(row_number() OVER (ORDER BY likes DESC, id) AS BIGINT) AS by_likes FROM s
-QUALIFY row_number() OVER (ORDER BY posted_at DESC, id) <= 200 OR row_number() OVER (ORDER BY likes DESC, id) <= 200""", SIGHTINGS)
+@query("""SELECT mode, CAST(place AS INTEGER) AS place, id, klass FROM (SELECT 'date' AS mode, row_number() OVER (ORDER BY posted_at DESC, id) AS place, id, klass FROM s UNION ALL SELECT 'likes', row_number() OVER (ORDER BY likes DESC, id), id, klass FROM s) WHERE place <= 200""", SIGHTINGS)
 def sort_modes(spark, d):
-    """Places of the first two hundred rows by date and by likes: top-k sorts, joined."""
-    s = sightings(spark, d).select("id", "klass", "posted_at", "likes").withColumn("date_rank", F.struct(F.col("posted_at"), -F.col("id"))).withColumn("like_rank", F.struct("likes", -F.col("id")))
-    def top(c):
-        return s.orderBy(F.desc(c)).limit(200)
+    """The first two hundred rows by date and by likes with their places, each a top-k sort."""
+    s = sightings(spark, d)
+
+    def top(mode: str, *order):
+        first = s.orderBy(*order).limit(200)  # the window below sees two hundred rows
+        return first.select(F.lit(mode).alias("mode"), F.row_number().over(Window.orderBy(*order)).alias("place"), "id", "klass")
 
-    near = top("date_rank").unionByName(top("like_rank")).select("id", "klass", "date_rank", "like_rank").distinct()  # at most 400 rows
-    keys = near.select("id", F.col("date_rank").alias("dr"), F.col("like_rank").alias("lr"))
-    placed = s.select("date_rank", "like_rank").crossJoin(F.broadcast(keys)).groupBy("id").agg((F.count_if(F.col("date_rank") > F.col("dr")) + 1).alias("by_date"), (F.count_if(F.col("like_rank") > F.col("lr")) + 1).alias("by_likes"))
-    return near.select("id", "klass").join(placed, "id")
+    return top("date", F.desc("posted_at"), F.col("id")).union(top("likes", F.desc("likes"), F.col("id")))
 
 
 @query("SELECT sha1, id, likes FROM (SELECT *, row_number() OVER (PARTITION BY sha1 ORDER BY likes DESC, posted_at, id) AS p FROM s) WHERE p = 1 ORDER BY likes DESC, posted_at, id LIMIT 24", SIGHTINGS)
@@ -321,21 +362,25 @@ def handle_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"//([a-z0-9-]+)\.", 1).alias("handle"))
 
 
-_URLS = """u AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'https://a.example/' || strftime(o_orderdate, '%Y/%m/%d') || '/x' WHEN 1 THEN 'https://a.example/map-' || strftime(o_orderdate + INTERVAL 10 YEAR, '%Y-%m') || '.xml'
-  WHEN 2 THEN 'https://a.example/sitemap-' || strftime(o_orderdate + INTERVAL 10 YEAR, '%Y') || '.xml' ELSE 'https://a.example/none' END AS url, o_orderdate AS od FROM orders)"""
+_URLS = """u0 AS (SELECT o_orderkey AS id, o_orderdate AS od, o_orderdate + INTERVAL 10 YEAR AS late FROM orders), u AS (SELECT id, od, late, 'https://a.example/' || CASE id % 11 WHEN 0 THEN strftime(late, '%Y/%m/%d') || '/x' WHEN 1 THEN 'map-' || strftime(late, '%Y-%m') || '.xml'
+  WHEN 2 THEN 'sitemap-' || strftime(late, '%Y') || '.xml' WHEN 3 THEN '?yyyy=' || strftime(late, '%Y') || '&mm=' || strftime(late, '%m') WHEN 4 THEN '?yyyy=' || strftime(late, '%Y') || '&amp;mm=' || strftime(late, '%m') || '&amp;dd=' || strftime(late, '%d')
+  WHEN 5 THEN 'sitemap-' || strftime(late, '%Y') || '.xml?mm=' || strftime(late, '%m') || '&dd=' || strftime(late, '%d') WHEN 6 THEN 'map' || strftime(late, '%Y%m') || '.xml' WHEN 7 THEN strftime(late, '%Y/%m%d') WHEN 8 THEN strftime(late, '%Y') || '-02-30'
+  WHEN 9 THEN strftime(late, '%Y') || '-13.xml' ELSE strftime(od, '%Y/%m/%d') || '/x' END AS url FROM u0)"""
 
 
 def _urls(spark, d):
-    o = table(spark, d, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp"))
-    later = F.add_months(F.col("at").cast("date"), 120)
-    k = F.col("o_orderkey") % 4
-    url = (F.when(k == 0, F.concat(F.lit("https://a.example/"), F.date_format("at", "yyyy/MM/dd"), F.lit("/x"))).when(k == 1, F.concat(F.lit("https://a.example/map-"), F.date_format(later, "yyyy-MM"), F.lit(".xml")))
-           .when(k == 2, F.concat(F.lit("https://a.example/sitemap-"), F.date_format(later, "yyyy"), F.lit(".xml"))).otherwise(F.lit("https://a.example/none")))
-    return o.select(F.col("o_orderkey").alias("id"), url.alias("url"))
+    o = table(spark, d, "orders").withColumn("od", F.col("o_orderdate").cast("date")).withColumn("at", F.add_months("od", 120))
+    day = lambda pattern, c="at": F.date_format(c, pattern)
+    shapes = [
+        F.concat(day("yyyy/MM/dd"), F.lit("/x")), F.concat(F.lit("map-"), day("yyyy-MM"), F.lit(".xml")), F.concat(F.lit("sitemap-"), day("yyyy"), F.lit(".xml")),
+        F.concat(F.lit("?yyyy="), day("yyyy"), F.lit("&mm="), day("MM")), F.concat(F.lit("?yyyy="), day("yyyy"), F.lit("&amp;mm="), day("MM"), F.lit("&amp;dd="), day("dd")),
+        F.concat(F.lit("sitemap-"), day("yyyy"), F.lit(".xml?mm="), day("MM"), F.lit("&dd="), day("dd")), F.concat(F.lit("map"), day("yyyyMM"), F.lit(".xml")), day("yyyy/MMdd"),
+        F.concat(day("yyyy"), F.lit("-02-30")), F.concat(day("yyyy"), F.lit("-13.xml")), F.concat(day("yyyy/MM/dd", "od"), F.lit("/x"))]
+    return o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("https://a.example/"), choose(F.col("o_orderkey") % 11, dict(enumerate(shapes)))).alias("url"))
 
 
-_SPAN = """sp AS (SELECT id, CASE id % 4 WHEN 0 THEN CASE WHEN year(od) >= 2000 THEN CAST(od AS DATE) END WHEN 1 THEN CAST(date_trunc('month', od + INTERVAL 10 YEAR) AS DATE) WHEN 2 THEN CAST(date_trunc('year', od + INTERVAL 10 YEAR) AS DATE) END AS first_day,
-  CASE id % 4 WHEN 0 THEN CASE WHEN year(od) >= 2000 THEN CAST(od AS DATE) END WHEN 1 THEN last_day(od + INTERVAL 10 YEAR) WHEN 2 THEN CAST(date_trunc('year', od + INTERVAL 11 YEAR) AS DATE) - 1 END AS last_day FROM u)"""
+_SPAN = """sp AS (SELECT id, CASE WHEN id % 11 IN (0, 4, 5, 7) THEN CAST(late AS DATE) WHEN id % 11 IN (1, 3, 6) THEN CAST(date_trunc('month', late) AS DATE) WHEN id % 11 = 8 THEN make_date(year(late), 2, 1) WHEN id % 11 IN (2, 9) THEN make_date(year(late), 1, 1) END AS first_day,
+  CASE WHEN id % 11 IN (0, 4, 5, 7) THEN CAST(late AS DATE) WHEN id % 11 IN (1, 3, 6) THEN last_day(late) WHEN id % 11 = 8 THEN last_day(make_date(year(late), 2, 1)) WHEN id % 11 IN (2, 9) THEN make_date(year(late), 12, 31) END AS last_day FROM u)"""
 
 
 @query("SELECT id, CAST(first_day AS VARCHAR) AS first_day, CAST(last_day AS VARCHAR) AS last_day FROM sp", f"{_URLS}, {_SPAN}")
@@ -391,28 +436,36 @@ def hamming(spark, d):
     return h.join(h.select((F.col("id") - 1).alias("id"), F.col("h").alias("g")), "id").select("id", C.hamming(F.col("h"), F.col("g")).cast("int").alias("distance"))
 
 
-@query("SELECT conv_id, turn, part, word FROM (SELECT conv_id, turn, unnest(string_split(role || '/' || CAST(turn AS VARCHAR), '/')) AS word, unnest([1, 2]) AS part FROM conversations) WHERE word <> 'system'")
+@query("""SELECT conv_id, turn, 't' || conv_id || '-' || k AS image_url, CAST(NULL AS VARCHAR) AS headline, CAST(NULL AS VARCHAR) AS link_url FROM conversations, range(1, 4) r(k) WHERE (turn % 4 = 0 OR turn % 4 = 2) AND k <= 1 + conv_id % 3
+UNION ALL SELECT conv_id, turn, 'card' || turn, role, 'https://l.example/' || turn FROM conversations WHERE turn % 4 = 1 AND conv_id % 5 > 0""")
 def embed_explode(spark, d):
-    """Nested parts of a turn as rows."""
+    """Pictures in the nested embeds of posts: of their own, of a link's card, or of the media beside a quoted record."""
     c = table(spark, d, "conversations")
-    parts = F.array(F.struct(F.lit(1).alias("part"), F.col("role").alias("word")), F.struct(F.lit(2).alias("part"), F.col("turn").cast("string").alias("word")))
-    return c.select("conv_id", "turn", F.explode(parts).alias("p")).select("conv_id", "turn", "p.part", "p.word").where("word <> 'system'")
+    url = lambda k: F.concat(F.lit("t"), F.col("conv_id").cast("string"), F.lit(f"-{k}"))
+    put = lambda **fields: F.struct(*[v.alias(k) for k, v in fields.items()])
+    kind = lambda name: F.lit(f"app.bsky.embed.{name}").alias("$type")
+    none = F.lit(None).cast("string")
+    images = F.slice(F.array(put(thumb=url(1), fullsize=F.lit("f")), put(thumb=F.lit(""), fullsize=url(2)), put(thumb=url(3), fullsize=none)), 1, (1 + F.col("conv_id") % 3).cast("int"))
+    pictures = F.struct(kind("images#view"), images.alias("images"))
+    card = put(thumb=F.when(F.col("conv_id") % 5 > 0, F.concat(F.lit("card"), F.col("turn").cast("string"))), title=F.col("role"), uri=F.concat(F.lit("https://l.example/"), F.col("turn").cast("string")))
+    way = F.col("turn") % 4
+    embed = F.when(way == 0, F.to_json(pictures)).when(way == 1, F.to_json(F.struct(kind("external#view"), card.alias("external")))).when(way == 2, F.to_json(F.struct(kind("recordWithMedia#view"), pictures.alias("media"))))
+    return c.select("conv_id", "turn", F.inline(D.embedded_pictures(embed)))
 
 
 # -- alarm score -------------------------------------------------------------------------------------------------------
 
-ALARM = ((3, r"\b(?:the|der|les)[a-z]*"), (2, r"\b(?:of|und|que)\b"), (1, r"\b(?:with|mit|that|then)\b"))
-OPENER = r"(?:The|Of|La)\b"
-_CLEAN = r"regexp_replace(text, '[^\x00-\x7F]', '', 'g')"
-_ALARM = rf"""a AS (SELECT doc_id, {_CLEAN} AS t FROM documents), b AS (SELECT doc_id, t, len(regexp_extract_all(t, '[A-Za-z'']+')) AS words,
-  regexp_extract_all(t, '(?i)\b(?:the|der|les)[a-z]*') AS c3, regexp_extract_all(t, '(?i)\b(?:of|und|que)\b') AS c2, regexp_extract_all(t, '(?i)\b(?:with|mit|that|then)\b') AS c1,
-  regexp_matches(t, '(?i)^\s*(?:(?:The|Of|La)\b)') AS starts,
+ALARM = ((3, rf"{C.WORD_START}(?:the|der|les)[a-z]*"), (2, rf"{C.WORD_START}(?:of|und|que){C.WORD_END}"), (1, rf"{C.WORD_START}(?:with|mit|that|then){C.WORD_END}"))
+OPENER = rf"(?:The|Of|La){C.WORD_END}"
+# in the SQL every character outside words is doubled, so that matches can take one on either side
+_ALARM = r"""a AS (SELECT doc_id, text AS t, regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g') AS w FROM documents), b AS (SELECT doc_id, t, len(regexp_extract_all(t, '[A-Za-z'']+')) AS words,
+  regexp_extract_all(w, '(?i)(?:^|[^\p{L}\p{N}_])((?:the|der|les)[a-z]*)', 1) AS c3, regexp_extract_all(w, '(?i)(?:^|[^\p{L}\p{N}_])(of|und|que)(?:$|[^\p{L}\p{N}_])', 1) AS c2, regexp_extract_all(w, '(?i)(?:^|[^\p{L}\p{N}_])(with|mit|that|then)(?:$|[^\p{L}\p{N}_])', 1) AS c1,
+  regexp_matches(t, '(?i)^\s*(?:The|Of|La)(?:$|[^\p{L}\p{N}_])') AS starts,
   len(list_filter(regexp_extract_all(t, '[A-Za-z'']+'), lambda w: length(w) >= 4 AND w = upper(w) AND regexp_matches(w, '[A-Z]'))) >= 2 AS shouted FROM a)"""
 
 
 def _alarm(spark, d):
-    text = ascii_text(F.col("text"))
-    score, hits = C.alarm_score(text, ALARM, OPENER)
+    score, hits = C.alarm_score(F.col("text"), ALARM, OPENER)
     return table(spark, d, "documents").select("doc_id", score.alias("score"), hits.alias("hits"))
 
 

@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _choose(value: Column, names: dict) -> Column:
+def choose(value: Column, names: dict) -> Column:
     out = None
     for k, v in names.items():
         out = F.when(value == k, v) if out is None else out.when(value == k, v)
@@ -29,7 +29,7 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     return e.select(
         F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("author"), F.col("ts").alias("posted_at"),
-        _choose(F.col("event_type"), CLASSES).alias("klass"), (k % 12).alias("label"), _choose(F.col("user_id") % 3, SOURCES).alias("source"),
+        choose(F.col("event_type"), CLASSES).alias("klass"), (k % 12).alias("label"), choose(F.col("user_id") % 3, SOURCES).alias("source"),
         F.floor("value").cast("long").alias("likes"), F.when(k % 5 != 0, k).alias("reposts"),
         F.sha1((F.col("event_id") % 400).cast("string").cast("binary")).alias("sha1"),
         F.concat(F.lit("site"), (F.col("user_id") % 17).cast("string"), F.lit(".example")).alias("domain"),
@@ -50,19 +50,17 @@ SIGHTINGS = """s AS (
   FROM events)"""
 
 
-def ascii_text(text: Column) -> Column:
-    """Only ASCII characters, so that word boundaries mean the same to every engine."""
-    return F.regexp_replace(text, r"[^\x00-\x7F]", "")
-
-
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, h): a 64-bit value for each document text; near values are planted by flipping a few of its bits by id."""
-    d = table(spark, sf_dir, "documents").where("doc_id < 1000000000")
-    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    base = F.conv(F.substring(F.md5(F.substring(digest, 1, 3).cast("binary")), 1, 16), 16, -10).cast("long")
-    return d.select(F.col("doc_id").alias("id"), base.bitwiseXOR(F.expr("shiftleft(1L, CAST(doc_id % 13 AS INT))")).alias("h"))
+    """(id, h): 64 bits of the digest of each document's text; copies of a text become near values by flipping up to four
+    bits that their ids choose."""
+    d = table(spark, sf_dir, "documents")
+    base = F.conv(F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 16), 16, -10).cast("long")
+    flips = " ^ ".join(f"shiftleft(1L, CAST({at} + pmod(doc_id, {n}) AS INT))" for at, n in FLIPS)
+    return d.select(F.col("doc_id").alias("id"), base.bitwiseXOR(F.expr(flips)).alias("h"))
 
 
+FLIPS = ((0, 13), (13, 11), (24, 7), (31, 5))  # first bit, bits to choose from
 HASHES = """hv AS (
-  SELECT doc_id AS id, xor(CAST('0x' || substr(md5(substr(md5(coalesce(text, '')), 1, 3)), 1, 16) AS UBIGINT), CAST(1 AS UBIGINT) << CAST(doc_id % 13 AS UBIGINT)) AS h
-  FROM documents WHERE doc_id < 1000000000)"""
+  SELECT doc_id AS id, xor(CAST('0x' || substr(md5(coalesce(text, '')), 1, 16) AS UBIGINT), """ + " | ".join(
+    f"(CAST(1 AS UBIGINT) << CAST({at} + doc_id % {n} AS UBIGINT))" for at, n in FLIPS) + """) AS h
+  FROM documents)"""

@@ -7,6 +7,8 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lanternfish.functions.columns import url_date_span
+
 HEAD = 300_000
 
 
@@ -38,6 +40,33 @@ def sitemap_entries(df: DataFrame, xml: str) -> DataFrame:
     return df.withColumn("loc", F.explode(F.xpath(F.col(xml), F.lit("//*[local-name()='loc']/text()"))))
 
 
+def _leaf(entry: Column, name: str) -> Column:
+    """Text of the first element of that (prefixed) name in an XML fragment, trimmed, with its entities resolved; null if empty."""
+    text = F.regexp_extract(entry, rf"(?s)<{name}(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{name}>", 1)
+    for code, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(code), F.lit(sign))
+    return F.nullif(F.trim(text), F.lit(""))
+
+
+def sitemap_articles(df: DataFrame, xml: str, since: str, until: str, slug: str | None = None) -> DataFrame:
+    """(loc, published, title, image_url) of the entries of sitemaps that fall into a range of days.
+
+    An entry's day is that of its news date or last change; where that is no date, the URL's own date span must touch the
+    range and its first day is taken; entries without any date are left out.  ``slug`` is searched in the URL's path only.
+    """
+    e = df.select(F.explode(F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<url>.*?</url>"), 0)).alias("e"))
+    e = e.select(_leaf(F.col("e"), "loc").alias("loc"), F.coalesce(_leaf(F.col("e"), "news:publication_date"), _leaf(F.col("e"), "lastmod")).alias("when"),
+                 _leaf(F.col("e"), "news:title").alias("title"), _leaf(F.col("e"), "image:loc").alias("image_url")).where("loc IS NOT NULL")
+    if slug:
+        e = e.where(F.coalesce(F.try_parse_url("loc", F.lit("PATH")), F.lit("")).rlike(f"(?i){slug}"))
+    low, high = F.lit(since).cast("date"), F.lit(until).cast("date")
+    day = F.try_to_date(F.substring("when", 1, 10), "yyyy-MM-dd")
+    first, last = url_date_span(F.col("loc"))
+    e = e.withColumn("day", day).withColumn("first", first).withColumn("last", last)
+    keep = F.when(F.col("day").isNotNull(), F.col("day").between(low, high)).otherwise(F.coalesce((F.col("first") <= high) & (F.col("last") >= low), F.lit(False)))
+    return e.where(keep).select("loc", F.when(F.col("day").isNotNull(), F.col("when")).otherwise(F.col("first").cast("string")).alias("published"), "title", "image_url")
+
+
 def walk_tree(roots: DataFrame, children: DataFrame, depth: int = 4) -> DataFrame:
     """(node, depth): nodes reached from the roots within ``depth`` steps, at their least depth; one join a level."""
     found = roots.select("node").distinct().withColumn("depth", F.lit(0))

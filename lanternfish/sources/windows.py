@@ -76,26 +76,32 @@ class _WindowReader(DataSourceReader):
         yield from self.source.search(partition.start, partition.stop)
 
 
-def event_windows(events: DataFrame, cap: int, least_seconds: int, rounds: int = 24) -> DataFrame:
-    """(start, stop, n): the whole time range of a table bisected until every window has at most ``cap`` rows or is short.
+def event_windows(events: DataFrame, cap: int, least_seconds: int, time: str = "ts") -> DataFrame:
+    """(start, stop, n): the whole time range of a table halved until every window has at most ``cap`` rows or is no longer
+    than ``least_seconds``.
 
-    Counting is one aggregation a round over the windows that are still too full.
+    Halving gives a binary tree of windows.  Rows are counted in its smallest cells, counts are added up level by level (one
+    aggregation over at most ``depth`` times the cells), and a window stands where its parent is split and it is not:
+    all of it equi-joins on (level, cell).  No time is null in a window; an empty table has none.
     """
-    spark = events.sparkSession
-    seconds = events.select(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"))
+    seconds = events.select(F.unix_timestamp(F.col(time).cast("timestamp")).alias("t")).where("t IS NOT NULL")
     low, high = seconds.agg(F.min("t"), F.max("t") + 1).first()
-    done, live = [], [] if low is None else [(low, high)]
-    while live and rounds:
-        rounds -= 1
-        frame = spark.createDataFrame(live, "a long, b long")
-        counted = frame.join(seconds, (F.col("t") >= F.col("a")) & (F.col("t") < F.col("b")), "left").groupBy("a", "b").agg(F.count("t").alias("n")).collect()  # as many as windows
-        live = []
-        for a, b, n in counted:
-            if n > cap and b - a > least_seconds:
-                live += [(a, (a + b) // 2), ((a + b) // 2, b)]
-            else:
-                done.append((a, b, n))
-    return spark.createDataFrame(done, "start long, stop long, n long")
+    if low is None:
+        return events.sparkSession.createDataFrame([], "start long, stop long, n long")
+    depth = 0
+    while least_seconds << depth < high - low:
+        depth += 1
+    span = high - low
+    edge = lambda level, cell: F.lit(low) + F.expr(f"{span} * {cell} div shiftleft(1L, {level})")
+    # the cell whose half-open range holds t: its lower edge is rounded down
+    cells = seconds.groupBy(F.expr(f"((t - {low} + 1) * shiftleft(1L, {depth}) - 1) div {span}").alias("cell")).agg(F.count("*").alias("n"))
+    counts = cells.select("n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda up: F.call_function("shiftright", F.col("cell"), up))).alias("up", "cell"))
+    counts = counts.groupBy((F.lit(depth) - F.col("up")).alias("level"), "cell").agg(F.sum("n").alias("n"))
+    split = counts.where((F.col("n") > cap) & (F.col("level") < depth)).select("level", "cell")
+    halves = split.select((F.col("level") + 1).alias("level"), F.explode(F.array(F.col("cell") * 2, F.col("cell") * 2 + 1)).alias("cell"))
+    root = events.sparkSession.createDataFrame([(0, 0)], "level int, cell long")
+    windows = root.union(halves).join(split, ["level", "cell"], "left_anti").join(counts, ["level", "cell"], "left")
+    return windows.select(edge("level", "cell").alias("start"), edge("level", "(cell + 1)").alias("stop"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def register(spark: SparkSession, source: type[WindowedSearch]) -> None:

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from lanternfish.functions import columns as C
+from lanternfish.functions import columns as C, tails
 from lanternfish.operators import components, embedding, images, near, ranking, relational as R, series, statistics as T
 from lanternfish.sources import pages, windows
 from pyspark.sql import functions as F
@@ -19,7 +19,8 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize("url, first, last", [
     ("https://a/sitemap-2024.xml", "2024-01-01", "2024-12-31"), ("https://a/2024-02", "2024-02-01", "2024-02-29"), ("https://a/2024/02/30/x", "2024-02-01", "2024-02-29"),
-    ("https://a/?yyyy=2025&mm=03&dd=07", "2025-03-07", "2025-03-07"), ("https://a/202503.xml", "2025-03-01", "2025-03-31"), ("https://a/none", None, None), ("https://a/1999/01/02", None, None),
+    ("https://a/?yyyy=2025&mm=03&dd=07", "2025-03-07", "2025-03-07"), ("https://a/202503.xml", "2025-03-01", "2025-03-31"), ("https://a/?yyyy=2025&mm=03", "2025-03-01", "2025-03-31"), ("https://a/?yyyy=2025&amp;mm=03&amp;dd=07", "2025-03-07", "2025-03-07"),
+    ("https://a/sitemap-2024.xml?mm=03&dd=07", "2024-03-07", "2024-03-07"), ("https://a/2024/0105", "2024-01-05", "2024-01-05"), ("https://a/2024-13.xml", "2024-01-01", "2024-12-31"), ("https://a/2024_01-02x", "2024-01-02", "2024-01-02"), ("https://a/none", None, None), ("https://a/1999/01/02", None, None),
 ])
 def test_url_dates(spark, url, first, last):
     a, b = C.url_date_span(F.lit(url))
@@ -142,7 +143,7 @@ def test_tests(spark):
     assert T.spearman(same, "x", "y").first()["rho"] == 1.0
     table = spark.createDataFrame([("a", "x")] * 10 + [("a", "y")] * 20 + [("b", "x")] * 30 + [("b", "y")] * 40, "r string, c string")
     assert T.chi_square(table, "r", "c", "a", "b").first()["chi2"] == pytest.approx(0.446429, abs=1e-4)
-    assert T.chi_square_p(3.841459, 1) == pytest.approx(0.05, abs=1e-6) and T.normal_p(1.959964) == pytest.approx(0.05, abs=1e-6)
+    assert tails.chi_square_p(3.841459, 1) == pytest.approx(0.05, abs=1e-6) and tails.normal_p(1.959964) == pytest.approx(0.05, abs=1e-6)
     assert one(spark, T.binomial_test(F.lit(1), F.lit(10))) == pytest.approx(0.021484, abs=1e-6)
     assert one(spark, T.beta_posterior(F.lit(5), F.lit(5))) == pytest.approx(1 - 0.5**6, abs=1e-6)
     assert one(spark, T.binomial_test(F.lit(0), F.lit(0))) is None
@@ -150,8 +151,21 @@ def test_tests(spark):
 
 def test_bootstrap_covers_the_mean(spark):
     df = spark.createDataFrame([("a", float(x)) for x in np.random.default_rng(1).normal(5, 1, 500)] + [("b", 1.0)], "k string, x double")
-    rows = {r["k"]: r for r in T.bootstrap_interval(df, "k", "x").collect()}
-    assert rows["a"]["low"] < 5 < rows["a"]["high"] and rows["b"]["low"] is None
+    values = np.random.default_rng(1).normal(5, 1, 500)
+    for name, f in (("mean", np.mean), ("median", np.median)):
+        rows = {r["k"]: r for r in T.bootstrap_interval(df, "k", "x", name).collect()}
+        drawn = [f(np.random.default_rng(s).choice(values, 500)) for s in range(2000)]
+        assert (rows["a"]["low"], rows["a"]["high"]) == pytest.approx(tuple(np.percentile(drawn, [2.5, 97.5])), abs=0.02)
+        assert rows["b"]["low"] is None and rows["b"]["n"] == 1
+
+
+def test_bootstrap_draws_middle_values():
+    rng = np.random.default_rng(3)
+    for n in (5, 8):
+        drawn = np.sort(rng.integers(1, n + 1, (40_000, n)), axis=1)[:, [(n + 1) // 2 - 1, n // 2]]
+        found = T.middle_draws(n, 40_000, 1)
+        for pair in {tuple(x) for x in drawn.tolist()}:
+            assert np.mean((found == pair).all(axis=1)) == pytest.approx(np.mean((drawn == pair).all(axis=1)), abs=0.01)
 
 
 def test_segments_are_optimal():
@@ -212,9 +226,51 @@ def test_pictures():
     assert images.border_box(np.zeros((20, 20))) == (0, 20, 0, 20)
     split = rng.normal(60, 3, (60, 120))
     split[:, 64:] += 90
-    x, score, rows, straight = images.find_seam(split)
-    assert abs(x - 64 / 120) < 0.01 and score >= 5 and rows > 0.9 and straight > 0.9
-    assert images.bridged_run(np.array([1, 1, 0, 0, 0, 1, 0, 0, 0, 0, 1], bool)) == 6
+    found = images.find_seam(split)
+    assert abs(found.x - 64 / 120) < 0.01 and found.contrast >= 5 and found.rows > 0.9 and found.straight > 0.9
+    part = rng.normal(60, 3, (80, 120))
+    part[20:60, 50:] += 90  # the cut runs down the middle rows only
+    found = images.find_seam(part)
+    assert (found.y0, found.y1) == (0.25, 0.75) and found.rows == 0.5 and abs(found.x - 50 / 120) < 0.01 and found.contrast >= 5 and found.straight > 0.9
+    assert images.find_seam(np.full((80, 120), 5.0)) == images.Seam() == images.find_seam(np.zeros((4, 4)))
+    assert images.longest_band(np.array([1, 1, 0, 0, 0, 1, 0, 0, 0, 0, 1], bool)) == (0, 5) and images.longest_band(np.zeros(3, bool)) == (0, -1)
+
+
+def test_picture_hashes():
+    rng = np.random.default_rng(4)
+    g = rng.random((64, 96)) * 200
+    small = g.reshape(32, 2, 32, 3).mean(axis=(1, 3))
+    assert np.allclose(images.shrunk(g, 32, 32), small)
+    low = np.array([[sum(small[y, x] * math.cos(math.pi * a * (2 * y + 1) / 64) * math.cos(math.pi * b * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for b in range(8)] for a in range(8)])
+    want = "".join(str(int(v > np.median(low))) for v in low.ravel())
+    assert f"{images.perceptual_hash(g) & (2**64 - 1):064b}" == want
+    slope = np.tile(np.arange(90.0), (40, 1))
+    assert images.difference_hash(slope) == -1 and images.difference_hash(slope[:, ::-1]) == 0
+
+
+def test_p_values(spark):
+    from itertools import combinations
+
+    for m, n in ((2, 3), (5, 6), (3, 9)):
+        sums = [sum(some) - m * (m + 1) / 2 for some in combinations(range(1, m + n + 1), m)]
+        assert tails.rank_sum_counts(m, n).tolist() == [sums.count(u) for u in range(m * n + 1)]
+        for u in (0, 1, m * n // 2):
+            assert tails.rank_sum_p(u, m, n, 0) == pytest.approx(min(1, 2 * sum(x >= m * n - u for x in sums) / len(sums)))
+    # fixed values: known quantiles of the distributions
+    assert tails.student_p(2.262157, 9) == pytest.approx(0.05, abs=1e-6) and tails.student_p(12.7062, 1) == pytest.approx(0.05, abs=1e-6)
+    assert tails.chi_square_p(18.307038, 10) == pytest.approx(0.05, abs=1e-6) and tails.student_p(0, 5) == 1.0
+    rng = np.random.default_rng(2)
+    rows = [("a", float(v)) for v in rng.integers(0, 40, 60)] + [("b", float(v)) for v in rng.integers(5, 45, 50)]
+    r = T.mann_whitney(spark.createDataFrame(rows, "s string, v double"), "s", "v", "a", "b").first()
+    values, sides = np.array([v for _, v in rows]), np.array([s == "a" for s, _ in rows])
+    ranks = np.array([(values < v).sum() + ((values == v).sum() + 1) / 2 for v in values])
+    drawn = np.array([ranks[rng.permutation(110)[:60]].sum() for _ in range(20_000)])
+    middle = 60 * 111 / 2
+    assert r["p"] == pytest.approx(np.mean(np.abs(drawn - middle) >= abs(ranks[sides].sum() - middle)), abs=0.01)
+    same = spark.createDataFrame([("a", 1.0)] * 6 + [("b", 1.0)] * 6, "s string, v double")
+    assert T.mann_whitney(same, "s", "v", "a", "b").first()["p"] == 1.0 and T.kruskal(same, "s", "v").first()["p"] is None
+    even = spark.createDataFrame([(float(i), 1.0) for i in range(12)], "x double, y double")
+    assert T.spearman(even, "x", "y").first()["p"] is None
 
 
 def test_windows(spark):
@@ -246,3 +302,18 @@ def test_near_wall_golden(spark):
     hashes = [shared] * 9 + [rng.getrandbits(63) for _ in range(9)]
     df = spark.createDataFrame(list(enumerate(hashes)), "id long, h long")
     assert near.families(df, "h", 8).select("family").distinct().count() == 10
+
+
+@pytest.mark.parametrize("radius", [0, 2, 3, 8, 11])
+def test_hamming_pairs_are_all_there(spark, radius):
+    rng = random.Random(radius)
+    hashes = [rng.getrandbits(64) for _ in range(40)]
+    for h in hashes[:30]:
+        for _ in range(4):
+            for k in rng.sample(range(64), rng.randint(1, radius + 3)):
+                h ^= 1 << k
+            hashes.append(h)
+    signed = [h - (h >> 63 << 64) for h in dict.fromkeys(hashes)]
+    found = near.hamming_pairs(spark.createDataFrame([(h,) for h in signed], "h long"), "h", radius).collect()
+    want = {(a, b, n) for a in signed for b in signed if a < b and (n := ((a ^ b) & (2**64 - 1)).bit_count()) <= radius}
+    assert {tuple(r) for r in found} == want and len(found) == len(want) and (want or not radius)

@@ -379,8 +379,8 @@ def _urls(spark, d):
     return o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("https://a.example/"), choose(F.col("o_orderkey") % 11, dict(enumerate(shapes)))).alias("url"))
 
 
-_SPAN = """sp AS (SELECT id, CASE WHEN id % 11 IN (0, 4, 5, 7) THEN CAST(late AS DATE) WHEN id % 11 IN (1, 3, 6) THEN CAST(date_trunc('month', late) AS DATE) WHEN id % 11 = 8 THEN make_date(year(late), 2, 1) WHEN id % 11 IN (2, 9) THEN make_date(year(late), 1, 1) END AS first_day,
-  CASE WHEN id % 11 IN (0, 4, 5, 7) THEN CAST(late AS DATE) WHEN id % 11 IN (1, 3, 6) THEN last_day(late) WHEN id % 11 = 8 THEN last_day(make_date(year(late), 2, 1)) WHEN id % 11 IN (2, 9) THEN make_date(year(late), 12, 31) END AS last_day FROM u)"""
+_SPAN = """sp AS (SELECT id, CASE WHEN id % 11 IN (0, 4, 5, 7) THEN CAST(late AS DATE) WHEN id % 11 IN (1, 3, 6) THEN CAST(date_trunc('month', late) AS DATE) WHEN id % 11 = 8 THEN make_date(year(late), 2, 1) WHEN id % 11 IN (2, 9) THEN make_date(year(late), 1, 1) WHEN year(od) >= 2000 THEN CAST(od AS DATE) END AS first_day,
+  CASE WHEN id % 11 IN (0, 4, 5, 7) THEN CAST(late AS DATE) WHEN id % 11 IN (1, 3, 6) THEN last_day(late) WHEN id % 11 = 8 THEN last_day(make_date(year(late), 2, 1)) WHEN id % 11 IN (2, 9) THEN make_date(year(late), 12, 31) WHEN year(od) >= 2000 THEN CAST(od AS DATE) END AS last_day FROM u)"""
 
 
 @query("SELECT id, CAST(first_day AS VARCHAR) AS first_day, CAST(last_day AS VARCHAR) AS last_day FROM sp", f"{_URLS}, {_SPAN}")

@@ -99,3 +99,46 @@ def test_near_copies_are_exact(spark):
     for part in (1 << 20, 3000):
         found = simhash.similar_components(docs, bytes_a_part=part).collect()
         assert {r["doc_id"]: r["component_id"] for r in found} == root
+
+
+def stages_on(spark, docs, folder):
+    """The stages' results, each staged for the next one."""
+    from lanternfish.plans.staging import stage
+
+    out = [docs]
+    for name, step in corpus_pipeline.STAGES:
+        out.append(stage(step(spark, out[-1], folder), name))
+    return out[1:]
+
+
+def test_stages_on_an_empty_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("false")
+    *cleaned, packed = stages_on(spark, docs, small)
+    assert all(c.columns == docs.columns and c.count() == 0 for c in cleaned) and packed.count() == 0 and "batch" in packed.columns
+
+
+def test_stages_on_odd_rows(spark, odd_docs, small):
+    """Null and empty texts, null ids, repeated rows, clashing column names, a long text: nothing crashes, columns stay."""
+    docs = odd_docs.union(spark.createDataFrame([(None, "no id", "s", 1, "n"), (None, None, "s", 1, "n"), (700, "lone text here", None, None, None)], odd_docs.schema))
+    *cleaned, packed = stages_on(spark, docs, small)
+    toxic, near, cut, safe = cleaned
+    assert all(c.columns == docs.columns for c in cleaned)
+    assert toxic.count() == docs.count()
+    kept = near.collect()
+    ids = [r["doc_id"] for r in kept]
+    assert ids.count(None) == 2 and {700, 3} <= set(ids)  # rows with a null id stay
+    assert sum(not (r["text"] or "").split() for r in kept if r["doc_id"] is not None) == 1  # texts without words are copies
+    assert all(ids.count(i) == sum(r["doc_id"] == i for r in docs.collect()) for i in set(ids))
+    assert cut.count() == safe.count() == packed.count() == len(ids)
+    texts = [r["text"] for r in safe.collect()]
+    assert None in texts and "lone text here" in texts and "no id" in texts
+
+
+def test_a_very_long_text(spark, small):
+    """Four megabytes without a space, and as many of words, beside short ones."""
+    words = " ".join(f"w{i * 7919 % 100_003}" for i in range(600_000))
+    docs = spark.createDataFrame([(1, "x" * 4_000_000), (2, words), (3, "short"), (4, words)], "doc_id long, text string")
+    *cleaned, packed = stages_on(spark, docs, small)
+    assert sorted(r["doc_id"] for r in packed.collect()) == [1, 2, 3]
+    left = {r["doc_id"]: len(r["text"]) for r in cleaned[-1].collect()}
+    assert left[1] == 1 and left[3] == 5  # every window but the first starts earlier too

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lanternfish.plans.staging import stage
+from lanternfish.plans.staging import parts_for, stage
+
+PART_ROWS = 4 << 20
 
 
 def running_sum(df: DataFrame, order: str, weight: str, out: str, by: Sequence[str] = ()) -> DataFrame:
@@ -16,8 +18,9 @@ def running_sum(df: DataFrame, order: str, weight: str, out: str, by: Sequence[s
     (one number a partition) are added.  A group's rows before its first are subtracted, so large groups are split too.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = stage(df.repartitionByRange(parts, *by, order).withColumn("__part", F.spark_partition_id()), "running-sum")
+    rows = stage(df, "running-values")  # so that the sampling of ranges does not compute them twice
+    parts = parts_for(spark, rows.count(), PART_ROWS)
+    placed = stage(rows.repartitionByRange(parts, *by, order).withColumn("__part", F.spark_partition_id()), "running-sum")
     totals = sorted((r["__part"], r["t"]) for r in placed.groupBy("__part").agg(F.sum(weight).alias("t")).collect())
     base, rows = 0, []
     for part, total in totals:

@@ -26,6 +26,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def parts_for(spark: SparkSession, size: int, each: int) -> int:
+    """Partitions for a shuffle of ``size`` rows or bytes: the session's number, or more if one would get more than ``each``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here and lost executors cost nothing."""
     path = fresh_path(df.sparkSession, name)

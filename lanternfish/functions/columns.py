@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -78,20 +77,20 @@ DATE_SHAPES = (
 )
 
 
+def _digits_span(digits: Column) -> Column:
+    """First and last day (a, b) of a year, month or day written without separators; null if it is none, or no such day."""
+    year, month = F.substring(digits, 1, 4).cast("int"), F.substring(digits, 5, 2).cast("int")
+    day, start = F.try_to_date(digits, "yyyyMMdd"), F.make_date(year, month, F.lit(1))
+    put = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    return (F.when(F.length(digits) == 8, F.when(day.isNotNull(), put(day, day))).when((F.length(digits) == 6) & month.between(1, 12), put(start, F.last_day(start)))
+            .when(F.length(digits) >= 4, put(F.make_date(year, F.lit(1), F.lit(1)), F.make_date(year, F.lit(12), F.lit(31)))))
+
+
 def url_date_span(url: Column) -> tuple[Column, Column]:
     """First and last day that a URL's date stands for: a day, a month or a year; an impossible day tries the next shape,
-    an impossible month without a day stands for its whole year."""
-    spans = []
-    for shape in DATE_SHAPES:
-        found = lambda g: F.nullif(F.regexp_extract(url, shape, g), F.lit(""))  # noqa: B023, E731
-        groups = len(re.findall(r"\((?!\?)", shape))
-        year, month, day = (found(g) if g <= groups else F.lit(None).cast("string") for g in (1, 2, 3))
-        exact = F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd")
-        start = F.when(month.cast("int").between(1, 12), F.make_date(year.cast("int"), month.cast("int"), F.lit(1)))
-        whole = F.struct(F.make_date(year.cast("int"), F.lit(1), F.lit(1)).alias("a"), F.make_date(year.cast("int"), F.lit(12), F.lit(31)).alias("b"))
-        span = F.when(day.isNotNull(), F.when(exact.isNotNull(), F.struct(exact.alias("a"), exact.alias("b"))))
-        spans.append(F.when(year.isNotNull(), span.when(start.isNotNull(), F.struct(start.alias("a"), F.last_day(start).alias("b"))).otherwise(whole)))
-    best = F.coalesce(*spans)
+    an impossible month without a day stands for its whole year.  A shape's parts have fixed widths, so its digits tell all."""
+    digits = [F.regexp_replace(F.regexp_extract(url, shape, 0), "[^0-9]", "") for shape in DATE_SHAPES]
+    best = F.get(F.filter(F.transform(F.array(*digits), _digits_span), lambda s: s.isNotNull()), F.lit(0))
     return best["a"], best["b"]
 
 

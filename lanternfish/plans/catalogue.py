@@ -70,14 +70,14 @@ def xml_extract(spark, d):
     return P.sitemap_entries(table(spark, d, "pages").select("page_id", xml.alias("xml")), "xml").select("page_id", "loc")
 
 
-@query("""SELECT DISTINCT CASE id % 5 WHEN 3 THEN 'https://a.example/2004/07/09/item' || id ELSE 'https://a.example/item' || id END AS loc, CASE id % 5 WHEN 3 THEN '2004-07-09' ELSE strftime(od, '%Y-%m-%d') || 'T00:00:00Z' END AS published,
-CASE WHEN id % 3 = 0 THEN 'A & "' || id || '"' END AS title, CASE WHEN id % 2 = 0 THEN 'https://i.example/' || id || '.jpg' END AS image_url FROM (SELECT o_orderkey AS id, o_orderdate AS od FROM orders)
+@query("""SELECT DISTINCT CASE id % 5 WHEN 3 THEN 'https://a.example/2004/07/09/item' || w ELSE 'https://a.example/item' || w END AS loc, CASE id % 5 WHEN 3 THEN '2004-07-09' ELSE strftime(od, '%Y-%m-%d') || 'T00:00:00Z' END AS published,
+CASE WHEN id % 3 = 0 THEN 'A & "' || w || '"' END AS title, CASE WHEN id % 2 = 0 THEN 'https://i.example/' || w || '.jpg' END AS image_url FROM (SELECT o_orderkey AS id, translate(CAST(o_orderkey AS VARCHAR), '0123456789', 'abcdefghij') AS w, o_orderdate AS od FROM orders)
 WHERE id % 5 <> 2 AND CASE id % 5 WHEN 3 THEN true WHEN 4 THEN false ELSE od >= DATE '1994-01-01' AND od < DATE '2005-01-01' END""")
 def sitemap_articles(spark, d):
     """Articles of sitemaps (one an order) within some years: dated by the news, by the last change, or by the URL; every fifth
     has no date and every fifth another path."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("day"))
-    k, n = F.col("id") % 5, F.col("id").cast("string")
+    k, n = F.col("id") % 5, F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
     some = lambda c, a, v, z: F.when(c, F.concat(F.lit(a), v, F.lit(z))).otherwise("")
     xml = F.concat(
         F.lit("<urlset xmlns:news='n' xmlns:image='i'><url>\n<loc> https://a.example/"), F.when(k == 3, "2004/07/09/").otherwise(""), F.when(k == 2, "other?x=item").otherwise("item"), n, F.lit(" </loc>"),

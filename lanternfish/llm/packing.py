@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lanternfish.plans.staging import stage
+from lanternfish.plans.staging import parts_for, stage
 
 BUCKETS, BUDGET = 16, 65_536
+PART_ROWS = 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -96,7 +97,7 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int =
                             F.lit(0).cast("long").alias("batch"), F.lit(0).alias("slot"))
     edges = F.array(*[F.lit(b).cast("long") for b in bounds])
     bucket = F.size(F.filter(edges, lambda b: b < F.col("n_tokens")))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(docs.sparkSession, sized.count(), PART_ROWS)
     ordered = sized.withColumn("bucket", bucket).repartitionByRange(parts, "bucket", "id").sortWithinPartitions("bucket", "id", "n_tokens")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

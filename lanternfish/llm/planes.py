@@ -26,11 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lanternfish.llm.frames import object_frame, text_blocks
-from lanternfish.plans.staging import fresh_path, stage
+from lanternfish.plans.staging import fresh_path, parts_for, stage
 
 MAGIC = b"LFPLANE1"
 BLOCK = 1 << 17
 _LEVEL = 1
+SHARD_BYTES = 128 << 20  # of text behind one shard, at most about
 TEXT_BYTES = 4 << 20  # of text encoded at a time
 
 
@@ -225,7 +226,8 @@ def write_token_planes(docs: DataFrame, folder: str, tokenizer_file: str, end_id
     """
     id = F.col(id_col).cast("long")
     rows = docs.select(F.coalesce(id, F.lit(-(2**63))).alias("id"), id.isNull().alias("none"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
+    parts = parts_for(docs.sparkSession, size, SHARD_BYTES)
     ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", F.xxhash64("body"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,8 +262,7 @@ def read_token_planes(shards: DataFrame) -> DataFrame:
                     start += len(ids)
                 yield object_frame(rows, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.repartition(parts).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartition(parts_for(shards.sparkSession, shards.count(), 1), "shard").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_target(spark: SparkSession, name: str) -> str:

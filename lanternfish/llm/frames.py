@@ -8,6 +8,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
+
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's own for whole texts, which both the JVM and the worker hold; a session that sets
+    their size keeps it."""
+    if spark.conf.get(BATCH_KEY) == "10000":
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
 
 
 def object_frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from lanternfish.llm.frames import object_frame
+from lanternfish.llm.frames import object_frame, text_batches
 from lanternfish.llm.trigrams import BlockIndex, trigram_query, trigrams_of
 
 
@@ -108,6 +108,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with the text inside every span replaced by the kind in brackets; overlapping spans count as one."""
 
+    text_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def redact(texts: pd.Series) -> pd.Series:
         scanner = scanner_for(rules)

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lanternfish.operators.components import connected_components
+from lanternfish.llm.frames import text_batches
 from lanternfish.plans.staging import stage
 
 TILE = 16_384
@@ -137,6 +138,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fingerprint and so a component; repeated ids give repeated rows.  Any other columns are ignored, whatever their
     names.  An empty table gives an empty result.
     """
+    text_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     prints = stage(fingerprints(keyed, "id", "body", width, seed), "simhash-prints")
     distinct = stage(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-distinct")
@@ -302,6 +304,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sets = [shingle_set(t, width, seed).tobytes() for t in texts]
         return pd.DataFrame({"key": [xxhash.xxh3_128_digest(s) for s in sets], "shingles": sets}, dtype=object)
 
+    text_batches(docs.sparkSession)
     keyed = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     prints = stage(keyed.select("id", simhash("body").alias("p")).select("id", "p.key", "p.wide"), "wide-prints")
     pop = sum(F.bit_count(F.conv(F.hex(F.substring("wide", 8 * k + 1, 8)), 16, -10).cast("long")) for k in range(WIDE_WORDS))
@@ -312,28 +315,28 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spread = F.pmod(F.xxhash64("wide"), F.lit(1 << 20)) / float(1 << 20)
     tiles = stage(
         distinct.join(F.broadcast(places), "ones").withColumn("tile", F.floor((F.col("before") + spread * F.col("n")) / tile).cast("int"))
-        .groupBy("tile").agg(F.min("ones").alias("low"), F.max("ones").alias("high"), F.collect_list(F.struct("first_id", "wide")).alias("rows")), "wide-tiles")
+        .groupBy("tile").agg(F.min("ones").alias("low"), F.max("ones").alias("high"), F.collect_list(F.struct("first_id", "wide")).alias("rows"))
+        .select("tile", "low", "high", F.col("rows.first_id").alias("ids"), F.col("rows.wide").alias("wides")), "wide-tiles")
     last = int(max(0, before[-1] - 1) // tile)
     ahead = tiles.select("tile", "high", F.explode(F.sequence("tile", F.greatest(F.col("tile"), F.lit(last)))).alias("other"))
     far = tiles.select(F.col("tile").alias("other"), F.col("low").alias("olow"))
     pairs = ahead.join(far, "other").where(F.col("olow") - F.col("high") <= radius).select("tile", "other")
-    one = tiles.select("tile", F.col("rows").alias("a"))
-    two = tiles.select(F.col("tile").alias("other"), F.col("rows").alias("b"))
-    work = pairs.join(one, "tile").join(two, "other").select("tile", "other", "a", F.when(F.col("tile") != F.col("other"), F.col("b")).alias("b"))
+    one = tiles.select("tile", F.col("ids").alias("a"), F.col("wides").alias("aw"))
+    two = tiles.select(F.col("tile").alias("other"), F.col("ids").alias("b"), F.col("wides").alias("bw"))
+    apart = F.col("tile") != F.col("other")
+    work = pairs.join(one, "tile").join(two, "other").select("tile", "other", "a", "aw", F.when(apart, F.col("b")).alias("b"), F.when(apart, F.col("bw")).alias("bw"))
     n_pairs = (last + 1) * (last + 2) // 2
     work = work.repartition(max(1, min(n_pairs, 2000)), "tile", "other")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def unpack(rows) -> tuple[np.ndarray, np.ndarray]:
-            return np.array([r["first_id"] for r in rows], np.int64), np.frombuffer(b"".join(r["wide"] for r in rows), np.uint64).reshape(-1, WIDE_WORDS)
+        def unpack(wides) -> np.ndarray:
+            return np.frombuffer(b"".join(wides), np.uint64).reshape(-1, WIDE_WORDS)
 
         for batch in batches:
-            for a, b in zip(batch["a"], batch["b"]):
-                ids, words = unpack(a)
-                others = None
+            for a, aw, b, bw in zip(batch["a"], batch["aw"], batch["b"], batch["bw"]):
+                ids, words, others = np.asarray(a, np.int64), unpack(aw), None
                 if b is not None:
-                    more, others = unpack(b)
-                    ids = np.concatenate([ids, more])
+                    ids, others = np.concatenate([ids, np.asarray(b, np.int64)]), unpack(bw)
                 src, dst = wide_forest(ids, words, others, gate, radius)
                 if len(src):
                     yield pd.DataFrame({"src": src, "dst": dst})

@@ -29,16 +29,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lanternfish.plans.staging import discard, stage
+from lanternfish.llm.frames import text_batches
+from lanternfish.plans.staging import discard, parts_for, stage
 
 WINDOW, TRIGGER = 100, 32  # shorter triggers repeat by chance in large corpora
 BLOCK = 256 << 10  # bytes parsed at a time, so that the arrays stay in a core's cache
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
 COARSE = np.uint64(31)
 MAX_BITS = 29
 HOT_LEAST = 500
-CONTENT_BYTES = 16 << 20  # of phrases that a task holds before it sends them
-COUNTED = 4 << 20  # triggers that a task counts before it sends them
+PART_ROWS = 1 << 18
+CONTENT_BYTES = 4 << 20  # of phrases that a task holds before it sends them
+COUNTED = 1 << 20  # triggers that a task counts before it sends them
 _C1, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -362,7 +364,7 @@ def _contents(texts: DataFrame, heads, table) -> DataFrame:
 
 def _cold_masks(phrases: DataFrame) -> DataFrame:
     """Masks by the dictionary's suffix order, a few megabytes of whole trigger groups at a time."""
-    parts = int(phrases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(phrases.sparkSession, phrases.count(), PART_ROWS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -546,6 +548,7 @@ def _raw(text) -> bytes:
 
 def with_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one more column, ``__runs``: the repeated windows of the row's text."""
+    text_batches(docs.sparkSession)
     texts, unique = _numbered(docs, id_col, text_col)
     if unique:
         runs = repeated_spans(texts).select(F.col("id").alias("__id"), F.col("runs").alias("__runs"))

@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lanternfish.llm.frames import object_frame
+from lanternfish.llm.frames import object_frame, text_batches
 from lanternfish.plans.staging import stage
 
 SAMPLE = 20_000  # labelled documents that are learned from, at most
@@ -305,6 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
 
     ``use`` is a condition on the column ``id``.  Of near copies in the sample one counts.
     """
+    text_batches(docs.sparkSession)
     marked = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & use)
         .groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lanternfish.functions.columns import dot, unit
+from lanternfish.plans.staging import stage
 
 REFERENCE_LIMIT = 10_000
 
@@ -52,14 +53,20 @@ def mean_vector(rows: DataFrame, vec: str) -> DataFrame:
 
 
 def trimmed_centroid(rows: DataFrame, vec: str, rounds: int = 3, share: float = 0.25) -> DataFrame:
-    """(centroid): mean of unit vectors; each round keeps those at or above the share's percentile of similarity to it."""
-    units = rows.select(unit(F.col(vec)).alias("__v"))
-    centre = mean_vector(units, "__v")
-    for _ in range(rounds):
-        scored = units.crossJoin(F.broadcast(centre.select(unit(F.col("mean")).alias("__c")))).withColumn("__s", dot(F.col("__v"), F.col("__c")))  # one row
-        cut = scored.agg(F.percentile("__s", F.lit(share)).alias("__cut"))
-        centre = mean_vector(scored.crossJoin(F.broadcast(cut)).where(F.col("__s") >= F.col("__cut") - 1e-12), "__v")
-    return centre.select(unit(F.col("mean")).alias("centroid"))
+    """(centroid): mean of unit vectors; each round keeps those at or above the share's percentile of similarity to it.
+
+    A round is two aggregations over the staged unit vectors; one vector and one number go through the driver.  No rows
+    give a null centroid.
+    """
+    spark = rows.sparkSession
+    units = stage(rows.select(unit(F.col(vec)).alias("__v")), "unit-vectors")
+    schema = "mean array<double>"
+    centre = mean_vector(units, "__v").first()["mean"]
+    for _ in range(rounds if centre else 0):
+        scored = units.crossJoin(F.broadcast(spark.createDataFrame([(centre,)], schema).select(unit(F.col("mean")).alias("__c")))).withColumn("__s", dot(F.col("__v"), F.col("__c")))  # one row
+        cut = scored.agg(F.percentile("__s", F.lit(share)).alias("__cut")).first()["__cut"]
+        centre = mean_vector(scored.where(F.col("__s") >= cut - 1e-12), "__v").first()["mean"]
+    return spark.createDataFrame([(centre or None,)], schema).select(unit(F.col("mean")).alias("centroid"))
 
 
 def zero_shot(rows: DataFrame, key: str, vec: str, prompts: DataFrame, prompt: str, group: str, prompt_vec: str, scene: int, heat: float = 100.0, top: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lanternfish.functions.columns import url_date_span
+from lanternfish.plans.staging import stage
 
 HEAD = 300_000
 
@@ -57,6 +58,7 @@ def sitemap_articles(df: DataFrame, xml: str, since: str, until: str, slug: str
     e = df.select(F.explode(F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<url>.*?</url>"), 0)).alias("e"))
     e = e.select(_leaf(F.col("e"), "loc").alias("loc"), F.coalesce(_leaf(F.col("e"), "news:publication_date"), _leaf(F.col("e"), "lastmod")).alias("when"),
                  _leaf(F.col("e"), "news:title").alias("title"), _leaf(F.col("e"), "image:loc").alias("image_url")).where("loc IS NOT NULL")
+    e = stage(e, "sitemap-entries")  # parsed once, however often the columns are used below
     if slug:
         e = e.where(F.coalesce(F.try_parse_url("loc", F.lit("PATH")), F.lit("")).rlike(f"(?i){slug}"))
     low, high = F.lit(since).cast("date"), F.lit(until).cast("date")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lanternfish.plans.staging import stage
+from lanternfish.plans.staging import discard, stage
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -29,24 +29,31 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     while not live.isEmpty():
         both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("p"))
-        parent = stage(parent, "parents")
+        first = parent = stage(parent, "parents")
         for _ in range(2):
             up = parent.select(F.col("u").alias("v"), F.col("p").alias("q"))
             parent = parent.join(up, parent["p"] == up["v"]).select("u", F.col("q").alias("p"))
         parent = stage(parent, "parents")
+        discard(first)
         left = parent.select(F.col("u").alias("a"), F.col("p").alias("pa"))
         right = parent.select(F.col("u").alias("b"), F.col("p").alias("pb"))
+        before = live
         live = stage(
             live.join(left, "a").join(right, "b").where(F.col("pa") != F.col("pb"))
             .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(),
             "edges",
         )
+        discard(before)
+        known = labels
         if labels is None:
             labels = parent.select(F.col("u").alias("node"), F.col("p").alias("component"))
         else:
             step = parent.select(F.col("u").alias("component"), F.col("p").alias("next"))
             labels = labels.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
         labels = stage(labels, "labels")
+        for table in (parent, known):
+            if table is not None:
+                discard(table)
     if labels is None:
         labels = live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels

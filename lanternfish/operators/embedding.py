@@ -17,10 +17,17 @@ def bounded(side: DataFrame, limit: int = REFERENCE_LIMIT) -> DataFrame:
     return F.broadcast(side)
 
 
-def similarities(rows: DataFrame, vec: str, refs: DataFrame, ref_key: str, ref_vec: str) -> DataFrame:
-    """``rows`` beside every reference with ``cos``, the product of the two unit vectors."""
-    small = refs.select(ref_key, unit(F.col(ref_vec)).alias("__r"))
-    return rows.withColumn("__u", unit(F.col(vec))).crossJoin(bounded(small)).withColumn("cos", dot(F.col("__u"), F.col("__r"))).drop("__u", "__r")
+def nearest_reference(rows: DataFrame, vec: str, refs: DataFrame, ref_key: str, ref_vec: str) -> DataFrame:
+    """``rows`` with the reference of largest cosine (``ref_key``, smallest key among equals) and that cosine (``cos``).
+
+    The references are one array beside each row, so no row is multiplied and nothing is shuffled.
+    """
+    entries = bounded(refs.select(F.struct(F.col(ref_key).alias("k"), unit(F.col(ref_vec)).alias("r")).alias("e")))
+    table = entries.agg(F.array_sort(F.collect_list("e")).alias("__refs"))  # within the checked limit, in order of key
+    scored = F.transform("__refs", lambda e: F.struct(dot(F.col("__u"), e["r"]).alias("cos"), e["k"].alias("k")))
+    best = F.aggregate("__all", F.get(F.col("__all"), F.lit(0)), lambda s, x: F.when(x["cos"] > s["cos"], x).otherwise(s))
+    one = rows.withColumn("__u", unit(F.col(vec))).crossJoin(F.broadcast(table)).withColumn("__all", scored)  # one row of references
+    return one.withColumn("__best", best).withColumn(ref_key, F.col("__best.k")).withColumn("cos", F.col("__best.cos")).drop("__u", "__refs", "__all", "__best")
 
 
 def top_mean_cosine(rows: DataFrame, key: str, vec: str, refs: DataFrame, ref_vec: str, k: int = 5) -> DataFrame:

@@ -32,7 +32,7 @@ def _prompts(spark, d):
 
 
 def _scored(spark, d):
-    return E.similarities(_vectors(spark, d), "e", _prompts(spark, d), "prompt", "pe")
+    return E.nearest_reference(_vectors(spark, d), "e", _prompts(spark, d), "prompt", "pe")
 
 
 @query("SELECT vec_id, round(v[1], 6) AS first, round(v[64], 6) AS last FROM u", UNITS)
@@ -86,7 +86,7 @@ def trimmed_centroid(spark, d):
 def centroid_select(spark, d):
     """The vector of every picture that is nearest the centroid, if it is near enough."""
     v = _vectors(spark, d)
-    s = E.similarities(v, "e", E.trimmed_centroid(v, "e").select(F.lit(0).alias("ref"), "centroid"), "ref", "centroid").withColumn("picture", F.floor(F.col("vec_id") / 4))
+    s = E.nearest_reference(v, "e", E.trimmed_centroid(v, "e").select(F.lit(0).alias("ref"), "centroid"), "ref", "centroid").withColumn("picture", F.floor(F.col("vec_id") / 4))
     best = E.best_match(s, "picture", "cos", "vec_id").where(F.col("cos") >= 0.05)
     return best.select("picture", "vec_id", F.round("cos", 6).alias("s"))
 

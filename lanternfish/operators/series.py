@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lanternfish.functions.frames import object_frame
+from lanternfish.operators.ranking import running_sum
+from lanternfish.plans.staging import stage
 
 
 def dense_daily(df: DataFrame, day: Column, since: str, until: str, by: Sequence[str] = ()) -> DataFrame:
@@ -72,22 +74,27 @@ def poisson_segments(y: np.ndarray, penalty: float | None = None) -> list[tuple[
     return out[::-1]
 
 
-def hawkes_likelihood(df: DataFrame, by: str, time: str, mu: float, alpha: float, beta: float) -> DataFrame:
-    """(by, n, nll): negative log likelihood of an exponential self-exciting process at fixed parameters.
+def hawkes_likelihood(df: DataFrame, by: str, time: str, mu: float, alpha: float, beta: float, decay: float = 8.0) -> DataFrame:
+    """(by, n, nll): negative log likelihood of an exponential self-exciting process at fixed parameters; times are days.
 
-    Times are days; the recursion over each series' sorted times runs inside one aggregate expression.
+    What earlier events still excite is a sum that fades, so time is cut into chunks that fade by exp(-``decay``): a chunk's
+    own sum is one aggregate, what comes over from the chunks before takes the last few of them, and inside a chunk it is a
+    running sum, which splits even a single author's rows.  Equal times excite each other in turn; rows of no author are left out.
     """
-    sorted_times = df.where(F.col(time).isNotNull()).groupBy(by).agg(F.array_sort(F.collect_list(F.col(time).cast("double"))).alias("t"))
-    start = F.struct(F.lit(0.0).alias("a"), F.lit(-1.0).alias("last"), F.lit(0.0).alias("logs"))
-
-    def step(s, x):
-        a = F.when(s["last"] < 0, F.lit(0.0)).otherwise((s["a"] + 1) * F.exp(-beta * (x - s["last"])))
-        return F.struct(a.alias("a"), x.alias("last"), (s["logs"] + F.log(mu + alpha * a)).alias("logs"))
-
-    logs = F.aggregate("t", start, step)["logs"]
-    end = F.element_at("t", -1)
-    paid = F.aggregate("t", F.lit(0.0), lambda s, x: s + (1 - F.exp(-beta * (end - x))))
-    return sorted_times.select(by, F.size("t").cast("long").alias("n"), F.round(mu * end + alpha / beta * paid - logs, 4).alias("nll"))
+    width = decay / beta
+    times = df.where(F.col(time).isNotNull()).groupBy(F.col(by).alias("series"), F.col(time).cast("double").alias("t")).agg(F.count("*").alias("m")).withColumn("c", F.floor(F.col("t") / width))
+    times = stage(times.withColumn("w", F.col("m") * F.exp(beta * (F.col("t") - F.col("c") * width))), "hawkes-times")
+    chunks = times.groupBy("series", "c").agg((F.sum("w") * math.exp(-decay)).alias("s"), F.sum("m").alias("n"), F.max("t").alias("last"))  # faded to the chunk's end
+    reach = math.ceil(45 / decay)  # further back less is left than a double can hold
+    later = chunks.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(reach)))).select("series", (F.col("c") + F.col("k")).alias("c"), (F.col("s") * F.exp(-decay * (F.col("k") - 1))).alias("s"))
+    carried = later.groupBy("series", "c").agg(F.sum("s").alias("carry"))
+    run = running_sum(times, "t", "w", "upto", ["series", "c"]).join(carried, ["series", "c"], "left")
+    first = (F.col("upto") - F.col("w") + F.coalesce("carry", F.lit(0.0))) * F.exp(-beta * (F.col("t") - F.col("c") * width))
+    logs = F.aggregate(F.sequence(F.lit(0), (F.col("m") - 1).cast("int")), F.lit(0.0), lambda s, k: s + F.log(mu + alpha * (first + k)))
+    summed = run.groupBy("series").agg(F.sum(logs).alias("logs"))
+    ends = chunks.groupBy("series").agg(F.max("last").alias("end"), F.sum("n").alias("n"))
+    left = chunks.join(ends.select("series", "end"), "series").groupBy("series").agg(F.sum(F.col("s") * F.exp(-beta * (F.col("end") - (F.col("c") + 1) * width))).alias("left"))
+    return ends.join(left, "series").join(summed, "series").select(F.col("series").alias(by), "n", F.round(mu * F.col("end") + alpha / beta * (F.col("n") - F.col("left")) - F.col("logs"), 4).alias("nll"))
 
 
 def hawkes_fit(df: DataFrame, by: str, time: str, least: int = 30) -> DataFrame:

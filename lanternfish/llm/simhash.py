@@ -209,7 +209,9 @@ def jaccard_links(members: DataFrame, across: bool, bytes_a_part: int) -> DataFr
     parts of its group, but for pairs of parts that already carry a single label.
     """
     total = members.groupBy("grp").agg(F.ceil(F.sum(F.length("shingles") + 64) / bytes_a_part).cast("int").alias("parts"))
-    parts = members.join(total, "grp").groupBy("grp", "parts", F.pmod(F.xxhash64("shingles"), F.col("parts")).cast("int").alias("part")).agg(
+    large = stage(total.where("parts > 1"), "near-sizes")  # written, so that it is broadcast where it is small and members need not meet by group
+    dealt = members.join(large, "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    parts = dealt.groupBy("grp", "parts", F.pmod(F.xxhash64("shingles"), F.col("parts")).cast("int").alias("part")).agg(
         F.collect_list(F.struct("fid", "label", "shingles")).alias("a"))
     if across:
         parts = stage(parts, "near-parts")

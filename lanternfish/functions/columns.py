@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -112,10 +112,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often and however deep in array functions it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit(v: Column) -> Column:
     """The vector divided by its length (plus a billionth, so that zero stays zero)."""
-    size = F.sqrt(dot(v, v)) + 1e-9
-    return F.transform(v, lambda x: x.cast("double") / size)
+    return once(F.sqrt(dot(v, v)) + 1e-9, lambda size: F.transform(v, lambda x: x.cast("double") / size))
 
 
 # What no word goes through, on either side.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lanternfish.functions.columns import dot, unit
+from lanternfish.functions.columns import dot, once, unit
 from lanternfish.plans.staging import stage
 
 REFERENCE_LIMIT = 10_000
@@ -24,10 +24,10 @@ def nearest_reference(rows: DataFrame, vec: str, refs: DataFrame, ref_key: str,
     """
     entries = bounded(refs.select(F.struct(F.col(ref_key).alias("k"), unit(F.col(ref_vec)).alias("r")).alias("e")))
     table = entries.agg(F.array_sort(F.collect_list("e")).alias("__refs"))  # within the checked limit, in order of key
-    scored = F.transform("__refs", lambda e: F.struct(dot(F.col("__u"), e["r"]).alias("cos"), e["k"].alias("k")))
-    best = F.aggregate("__all", F.get(F.col("__all"), F.lit(0)), lambda s, x: F.when(x["cos"] > s["cos"], x).otherwise(s))
-    one = rows.withColumn("__u", unit(F.col(vec))).crossJoin(F.broadcast(table)).withColumn("__all", scored)  # one row of references
-    return one.withColumn("__best", best).withColumn(ref_key, F.col("__best.k")).withColumn("cos", F.col("__best.cos")).drop("__u", "__refs", "__all", "__best")
+    scored = once(F.col("__u"), lambda u: F.transform("__refs", lambda e: F.struct(dot(u, e["r"]).alias("cos"), e["k"].alias("k"))))
+    best = once(scored, lambda a: F.aggregate(a, F.get(a, F.lit(0)), lambda s, x: F.when(x["cos"] > s["cos"], x).otherwise(s)))
+    one = rows.withColumn("__u", unit(F.col(vec))).crossJoin(F.broadcast(table))  # one row of references
+    return one.withColumn("__best", best).withColumn(ref_key, F.col("__best.k")).withColumn("cos", F.col("__best.cos")).drop("__u", "__refs", "__best")
 
 
 def top_mean_cosine(rows: DataFrame, key: str, vec: str, refs: DataFrame, ref_vec: str, k: int = 5) -> DataFrame:
@@ -36,7 +36,7 @@ def top_mean_cosine(rows: DataFrame, key: str, vec: str, refs: DataFrame, ref_ve
     The references are one array beside each row, so nothing is multiplied out or shuffled.
     """
     table = bounded(refs.select(unit(F.col(ref_vec)).alias("r"))).agg(F.collect_list("r").alias("__refs"))  # within the checked limit
-    cosines = F.transform("__refs", lambda r: dot(F.col("__u"), r))
+    cosines = once(F.col("__u"), lambda u: F.transform("__refs", lambda r: dot(u, r)))
     best = F.slice(F.sort_array(cosines, asc=False), 1, k)
     mean = F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(best)
     return rows.withColumn("__u", unit(F.col(vec))).crossJoin(F.broadcast(table)).select(key, F.round(mean, 6).alias("sim"))
@@ -87,10 +87,9 @@ def zero_shot(rows: DataFrame, key: str, vec: str, prompts: DataFrame, prompt: s
     put = lambda c, **more: F.struct(c["p"].alias("p"), c["g"].alias("g"), *[v.alias(k) for k, v in more.items()])
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     r = rows.select(key, unit(F.col(vec)).alias("__u")).crossJoin(F.broadcast(table))  # one row
-    r = r.select(key, F.transform("__prompts", lambda e: put(e, cos=dot(F.col("__u"), e["r"]))).alias("c"))
-    r = r.withColumn("most", F.array_max(F.col("c.cos")))
-    r = r.withColumn("c", F.transform("c", lambda e: put(e, cos=e["cos"], e=F.exp(heat * (e["cos"] - F.col("most"))))))
-    r = r.withColumn("sum", total(F.col("c.e"))).withColumn("c", F.transform("c", lambda e: put(e, cos=e["cos"], share=e["e"] / F.col("sum"))))
+    r = r.select(key, once(F.col("__u"), lambda u: F.transform("__prompts", lambda e: put(e, cos=dot(u, e["r"])))).alias("c"))
+    r = r.withColumn("c", once(F.array_max(F.col("c.cos")), lambda most: F.transform("c", lambda e: put(e, cos=e["cos"], e=F.exp(heat * (e["cos"] - most))))))
+    r = r.withColumn("c", once(total(F.col("c.e")), lambda whole: F.transform("c", lambda e: put(e, cos=e["cos"], share=e["e"] / whole))))
     within = lambda g: F.filter("c", lambda e: e["g"] == g)
     r = r.withColumn("groups", F.transform(F.array_distinct(F.col("c.g")), lambda g: F.struct(g.alias("g"), total(F.transform(within(g), lambda e: e["share"])).alias("share"))))
     things = F.filter("groups", lambda x: x["g"] != scene)

@@ -103,3 +103,23 @@ def longest_runs(df: DataFrame, keys: Sequence[str], position: str, gap: int = 1
     rows = rows.withColumn("__run", F.sum("__new").over(w))
     runs = rows.groupBy(*keys, "__run").agg((F.max(position) - F.min(position) + 1).alias("span"))
     return runs.groupBy(*keys).agg(F.max("span").alias("longest"))
+
+
+HOT_ROWS = 50_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left join of many rows with the one row of their ``key``, where a few keys may hold most rows.
+
+    A key with more rows than a shuffle partition's share (and than ``hot_rows``) is dealt over several partitions, and its
+    row on the right is repeated for each.  There are no more such keys than partitions, so their table is broadcast.  Rows
+    with a null key stay without a match.
+    """
+    share = max(hot_rows, left.count() // int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salts = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > share).select(
+        F.col(key).alias("__hot"), F.ceil(F.col("count") / share).cast("int").alias("__salts"))
+    hot = F.broadcast(salts)
+    dealt = left.join(hot, left[key] == hot["__hot"], "left").withColumn("__salt", F.floor(F.rand(7) * F.coalesce("__salts", F.lit(1))).cast("int")).drop("__hot", "__salts")
+    spread = right.join(hot, right[key] == hot["__hot"], "left").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__hot", "__salts")
+    return dealt.join(spread, [key, "__salt"], "left").drop("__salt")

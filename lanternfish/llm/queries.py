@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lanternfish.llm.minhash import op11_bayesian_minhash
 from lanternfish.llm.mixing import op10_context_mixing
 from lanternfish.llm.packing import op4_length_buckets
 from lanternfish.llm.permutation_index import op1_permutation_index
@@ -15,6 +16,7 @@ from lanternfish.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op10_context_mixing": op10_context_mixing,
+    "op11_bayesian_minhash": op11_bayesian_minhash,
     "op1_permutation_index": op1_permutation_index,
     "op2_uniform_threshold": op2_uniform_threshold,
     "op3_prefix_free": op3_prefix_free,

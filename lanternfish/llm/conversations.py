@@ -275,8 +275,8 @@ def repair(table: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     (ck, pid, seq, lines, whole), its repaired lines (role, text): one row where ``whole``, else rows in order of (pid, seq).
     ``ck`` stands for the conversation, null ones too.
 
-    Rows stand in order of turn, null turns first; rows of one turn in order of a hash of role and text, so that repeated
-    rows are neighbours.  A null role or text counts as one space.  A row's first fault counts: blank (no character but white
+    Rows stand in order of turn, null turns first; rows of one turn in order of a digest of role and text, so that
+    repeated rows are neighbours.  A null role or text counts as one space.  A row's first fault counts: blank (no character but white
     space), duplicate (role and text seen earlier), truncated (does not end in . ! or ?).  Roles go by their first character;
     any but s, u and a must be reroled or deleted.  Other columns are ignored; an empty table gives empty results.
     A conversation is spread over tasks where it is long: no task holds more than a chunk of its texts, but an audit, one character an
@@ -286,10 +286,10 @@ def repair(table: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     plain = table.select(F.col(conv_col).alias("conv"), F.to_json(F.struct(F.col(conv_col).alias("c"))).alias("ck"), F.col(turn_col).cast("long").alias("turn"),
                          text(role_col).alias("role"), text(text_col).alias("text"))
-    rows = stage(plain.withColumn("h", F.xxhash64("role", "text")).withColumn("tie", F.monotonically_increasing_id()), "repair-rows")
+    rows = stage(plain.withColumn("h", F.md5(F.concat_ws(":", F.length("role"), "role", "text"))).withColumn("tie", F.monotonically_increasing_id()), "repair-rows")
     parts = parts_for(spark, rows.count(), PART_ROWS)
     # a row that repeats an earlier one gets a mark before it, which travels with it; blank rows need none
-    who = F.unhex(F.md5(F.concat_ws(":", "ck", F.length("role"), "role", "text")))
+    who = F.unhex(F.md5(F.concat_ws(":", "ck", "h")))
     place = F.struct(F.col("turn").isNotNull().alias("known"), "turn", "h", "tie")
     narrow = rows.where(F.length(F.trim(F.col("text"), F.lit(_BLANKS))) > 0).select(who.alias("who"), "conv", "ck", place.alias("place"))
     first = narrow.groupBy("who").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -369,7 +369,7 @@ WITH RECURSIVE tab AS (
     CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
     unnest(CASE WHEN kind = 0 THEN [] WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds
 ), num AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM dam
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || ':' || text), copy) AS n FROM dam
 ), rows_ AS MATERIALIZED (
   SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b'
       WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'd'
@@ -395,14 +395,14 @@ WITH RECURSIVE tab AS (
   SELECT d.conv_id, min(best) AS best FROM dp d JOIN (SELECT conv_id, max(n) AS n FROM rows_ GROUP BY conv_id) l ON l.conv_id IS NOT DISTINCT FROM d.conv_id AND l.n = d.n
   WHERE st IN (0, 3) GROUP BY d.conv_id
 ), chars AS (
-  SELECT conv_id, unnest(range(1, length(best.a) + 1)) AS at, best.a[at] AS e FROM won
+  SELECT conv_id, unnest(range(1, length(best.a) + 1)) AS pos, best.a[pos] AS e FROM won
 ), walk AS (
-  SELECT *, sum(CASE WHEN e <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY at) AS n, sum(CASE WHEN e <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY at) AS o FROM chars
+  SELECT *, sum(CASE WHEN e <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS n, sum(CASE WHEN e <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS o FROM chars
 ), lined AS (
-  SELECT w.conv_id, w.at, w.e, w.o, r.role, r.text, max(CASE WHEN w.o = 1 AND w.e = 'K' AND r.role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY w.conv_id) AS has_s
+  SELECT w.conv_id, w.pos, w.e, w.o, r.role, r.text, max(CASE WHEN w.o = 1 AND w.e = 'K' AND r.role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY w.conv_id) AS has_s
   FROM walk w LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.n = w.n
 ), told AS (
-  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (o - has_s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY at) AS body
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (o - has_s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS body
   FROM lined WHERE e <> 'D' GROUP BY conv_id
 ), counted AS (
   SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,

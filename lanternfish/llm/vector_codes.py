@@ -147,8 +147,8 @@ def _sql() -> str:
     nearest = """SELECT p.vec_id, p.part, arg_min(c.entry, (p.xx - 2 * list_inner_product(p.x, c.c) + c.cc) * 1000 + c.entry) AS entry,
     min(p.xx - 2 * list_inner_product(p.x, c.c) + c.cc) AS d FROM p JOIN c{k} c ON p.part = c.part GROUP BY ALL"""
     moved = """SELECT o.part, o.entry, coalesce(m.c, o.c) AS c, list_inner_product(coalesce(m.c, o.c), coalesce(m.c, o.c)) AS cc FROM c{k} o LEFT JOIN (
-    SELECT part, entry, list(v ORDER BY at) AS c FROM (
-      SELECT a.part, a.entry, at, floor(sum(p.x[at]) / count(*)) AS v FROM a{k} a JOIN p ON a.vec_id = p.vec_id AND a.part = p.part, range(1, 17) r(at) GROUP BY ALL
+    SELECT part, entry, list(v ORDER BY pos) AS c FROM (
+      SELECT a.part, a.entry, pos, floor(sum(p.x[pos]) / count(*)) AS v FROM a{k} a JOIN p ON a.vec_id = p.vec_id AND a.part = p.part, range(1, 17) r(pos) GROUP BY ALL
     ) GROUP BY ALL) m ON o.part = m.part AND o.entry = m.entry"""
     steps = []
     for k in range(ROUNDS):
@@ -163,8 +163,8 @@ WITH v AS (
 ), c0 AS MATERIALIZED (
   SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c, xx AS cc FROM p QUALIFY entry < {ENTRIES}
 ), {", ".join(steps)}, s AS (
-  SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, at)) AS h
-  FROM (SELECT part, entry, unnest(c) AS x, unnest(range(1, 17)) AS at FROM c{ROUNDS})
+  SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, pos)) AS h
+  FROM (SELECT part, entry, unnest(c) AS x, unnest(range(1, 17)) AS pos FROM c{ROUNDS})
 ), f AS (
   SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY vec_id
 ), g AS (

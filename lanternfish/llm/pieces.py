@@ -3,7 +3,7 @@
 No piece of the model has a whitespace marker after another character, so merges never cross from a word into the
 next marker: the encoding of a text is the concatenation of the encodings of its chunks (a run of markers and the word
 behind it).  Each task keeps a table of the distinct chunks met so far, segments a chunk when it is first seen, and joins
-the ids back by position.  The table is bounded; when full it starts anew, which costs time and changes no result.
+the ids back by position.  The table is bounded by entries and by bytes, and long chunks are kept for their own text only; when full it starts anew, which costs time and changes no result.
 The table lives in the worker rather than in a shuffled relation, because one row for each word occurrence would move
 several times the input.
 """
@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lanternfish.llm.frames import object_frame
 
-TABLE_LIMIT = 600_000
+TABLE_LIMIT, TABLE_BYTES = 600_000, 160 << 20
+LONG = 64  # characters of a chunk that is segmented anew in each text rather than kept
 MARKER = "▁"
 _CHUNK = re.compile(r" *[^ ]+| +")
 
@@ -42,6 +43,7 @@ class ChunkTable:
         check_marker_rule(self.model)
         self.limit = limit
         self.ids: dict[str, tuple[int, ...]] = {}
+        self.size = 0  # bytes held, about
 
     def chunks(self, text: str) -> list[str]:
         """Chunks without their first marker, which the encoder adds in front of every input."""
@@ -57,15 +59,21 @@ class ChunkTable:
         """Ids of each text; only chunks that are not in the table yet are segmented, each once."""
         for text in texts:
             parts = self.chunks(text)
-            if len(self.ids) > self.limit:
+            if len(self.ids) > self.limit or self.size > TABLE_BYTES:
                 self.ids.clear()
-            table = self.ids
+                self.size = 0
+            table, own = self.ids, {}
             new = [c for c in dict.fromkeys(parts) if c not in table]
             if new:
-                table.update(zip(new, map(tuple, self.model.encode(new, num_threads=1))))
+                for chunk, ids in zip(new, self.model.encode(new, num_threads=1)):
+                    if len(chunk) > LONG:
+                        own[chunk] = ids
+                    else:
+                        table[chunk] = tuple(ids)
+                        self.size += 200 + 2 * len(chunk) + 36 * len(ids)
                 if "" in new:  # a single marker: the encoder gives nothing for an empty input
                     table[""] = (self.model.piece_to_id(MARKER),)
-            yield list(chain.from_iterable(map(table.__getitem__, parts)))
+            yield list(chain.from_iterable([own[c] if c in own else table[c] for c in parts] if own else map(table.__getitem__, parts)))
 
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)

@@ -38,3 +38,22 @@ def test_full_table_starts_anew():
     table = pieces.ChunkTable(MODEL, limit=2)
     texts = ["a b c d", "a b", "e f g a", " a  b "]
     assert list(table.encode(texts)) == table.model.encode(texts)
+
+
+def test_texts_without_spaces_in_bounded_memory(monkeypatch):
+    """Distinct long chunks are not kept, and short ones no further than the bound."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(4)
+    long = ("".join(rng.choices("abcdefghij", k=3000)) for _ in range(1500))
+    table = pieces.ChunkTable(MODEL)
+    tracemalloc.start()
+    n = sum(len(ids) for ids in table.encode(long))
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert n > 1_000_000 and held < 5 << 20 and most < 40 << 20 and not table.ids
+    monkeypatch.setattr(pieces, "TABLE_BYTES", 100_000)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(40)) for _ in range(60)]
+    assert list(table.encode(texts)) == table.model.encode(texts)
+    assert table.size < 130_000

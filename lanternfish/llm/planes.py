@@ -33,6 +33,7 @@ BLOCK = 1 << 17
 _LEVEL = 1
 SHARD_BYTES = 128 << 20  # of text behind one shard, at most about
 TEXT_BYTES = 4 << 20  # of text encoded at a time
+HELD_BYTES, LONG = 128 << 20, 64  # of known words, about; longer words are not kept
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
@@ -153,6 +154,7 @@ class WordIds:
         self.letters = byte_letters()
         self.limit = limit
         self.lower: dict[str, bytes] = {}
+        self.size = 0  # bytes held, about
         self.marks: dict[str, bytes] = {"": b""}
 
     def _whole(self, word: str) -> bytes:
@@ -165,8 +167,9 @@ class WordIds:
 
     def words(self, words: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each word."""
-        if len(self.lower) > self.limit:
+        if len(self.lower) > self.limit or self.size > HELD_BYTES:
             self.lower.clear()
+            self.size = 0
         out = []
         for w in words:
             m = self.PLAIN.fullmatch(w)
@@ -177,7 +180,10 @@ class WordIds:
             low = core.lower()
             ids = self.lower.get(low)
             if ids is None:
-                ids = self.lower[low] = self._plain(low)
+                ids = self._plain(low)
+                if len(low) <= LONG:
+                    self.lower[low] = ids
+                    self.size += 250 + len(low) + len(ids)
             if mark:
                 if mark not in self.marks:
                     if len(self.marks) > 10_000:

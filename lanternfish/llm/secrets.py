@@ -32,6 +32,7 @@ class Rule:
     pattern: str
     group: int = 0
     least: int = 0
+    runs: str = ""  # the class of characters whose dotted runs a match is made of: such matches are found run by run
 
 
 _KEYS = "|".join([either_case("password"), either_case("passwd"), either_case("secret"), either_case("token"),
@@ -47,12 +48,30 @@ MORE_RULES = (
     Rule("git_token", r"gh[oprsu]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[0-9A-Za-z_-]{35}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", runs="[A-Za-z0-9_-]"),
     Rule("payment_key", r"sk_live_[A-Za-z0-9]{16,}"),
 )
 RULES = BASE_RULES + MORE_RULES
 
 
+def dotted_tokens(text: str, runs: re.Pattern, head: str = "eyJ", least: int = 8) -> list[tuple[int, int]]:
+    """Matches of ``head`` run{8,} . ``head`` run{8,} . run{8,}, each run of characters read once.
+
+    A match may begin inside a run, at the first head that enough characters follow; its second run begins with the head.
+    """
+    found, held = [], []
+    for m in runs.finditer(text):
+        a, b = m.span()
+        held = [*held[-2:], (a, b)] if held and held[-1][1] + 1 == a and text[a - 1] == "." else [(a, b)]
+        if len(held) == 3 and b - a >= least:
+            (a1, b1), (a2, b2), _ = held
+            start = text.find(head, a1, b1)
+            if start >= 0 and b1 - start >= len(head) + least and text.startswith(head, a2) and b2 - a2 >= len(head) + least:
+                found.append((start, b))
+                held = []
+    return found
+
+
 class Scanner:
     """Compiled rules with their trigram queries."""
 
@@ -66,6 +85,8 @@ class Scanner:
     def spans(self, k: int, text: str) -> list[tuple[int, int]]:
         """(start, end) in code points of one rule's matches."""
         rule = self.rules[k]
+        if rule.runs:
+            return dotted_tokens(text, re.compile(rule.runs + "+"))
         return [m.span() for m in self.compiled[k].finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:

@@ -74,3 +74,22 @@ def test_candidates_lose_no_match():
             assert spans == sorted((a, k, b) for k in range(len(scanner.rules)) for a, b in scanner.spans(k, text))
 
     hold()
+
+
+def test_dotted_tokens_equal_their_expression_in_linear_time():
+    import re
+    import time
+
+    from hypothesis import given, strategies as st
+
+    rule = next(r for r in secrets.RULES if r.runs)
+    piece = st.sampled_from(["eyJ", "abcdefgh", "abc", ".", "..", " ", "-_", "Z9" * 5, "eyJabcdefgh.eyJabcdefgh.abcdefgh"])
+
+    @given(st.lists(piece, max_size=14).map("".join))
+    def same(text):
+        assert secrets.dotted_tokens(text, re.compile(rule.runs + "+")) == [m.span() for m in re.finditer(rule.pattern, text)]
+
+    same()
+    began = time.perf_counter()
+    assert secrets.scanner_for(secrets.RULES).spans(secrets.RULES.index(rule), "eyJ" * 350_000) == []
+    assert time.perf_counter() - began < 1

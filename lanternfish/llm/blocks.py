@@ -1,7 +1,8 @@
 """A stated query set against all vectors, in blocks: tiles of rows meet blocks of queries, never rows one by one.
 
 Equal vectors are one class, which stands for its smallest ids, so that copies neither take each other's places nor
-gather anywhere: only classes are searched, and the winners are spelled out at the end.
+gather anywhere: only classes are searched, and the winners are spelled out at the end.  Results are a row's own: query rows that
+share an id or a vector are answered each.
 """
 
 from __future__ import annotations
@@ -26,17 +27,30 @@ def finite_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", bad))
 
 
-def classes(vectors: DataFrame, is_query: Column, k: int) -> tuple[DataFrame, DataFrame]:
-    """The classes of equal vectors (id, v, members), and the class of every query row (query_id, class_id).
+def classes(vectors: DataFrame, is_query: Column, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """The classes of equal vectors (id, v, members), the class of every query row (query_id, class_id), and how many classes
+    must be found for each so that ``k`` rows of other ids are among their members.
 
-    A class has its smallest id for a name and its ``k`` + 1 smallest ids for members: the ranks are cut in the tasks
-    before anything is shuffled, so a class of a third of all rows sends a few ids a task.
+    A class is named by a number of its own, in order of its smallest id, so an id that occurs with two vectors is in two
+    classes.  Its members are its smallest ids, at most 2 ``k`` and each at most ``k`` times, which leaves ``k`` of other ids than any query's.
+    Ranks are cut in the tasks before anything is shuffled, so a class of a third of all rows sends a few ids a task.
     """
     flat = vectors.select("id", F.transform("v", lambda x: x + 0.0).alias("v"))  # no negative zeros
-    first = flat.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1)
-    reps = stage(first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("members")).select(F.col("members")[0].alias("id"), "v", "members"), "vector-classes")
-    asked = flat.where(is_query).select(F.col("id").alias("query_id"), "v")
-    return reps, stage(asked.join(reps.select(F.col("id").alias("class_id"), "v"), "v").select("query_id", "class_id"), "vector-queries")
+    repeats = flat.groupBy("id").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+    if repeats > k:
+        flat = flat.withColumn("again", F.row_number().over(Window.partitionBy("v", "id").orderBy("id"))).where(F.col("again") <= k)
+    first = flat.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + min(k, repeats))
+    known = first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low = F.col("members")[0]
+    placed = stage(known, "vector-members").repartitionByRange(parts, low, F.xxhash64("v")).sortWithinPartitions(low, F.xxhash64("v"))
+    reps = stage(placed.select(F.monotonically_increasing_id().alias("id"), "v", "members"), "vector-classes")  # written, so that numbers stay
+    asked = vectors.select("id", F.transform("v", lambda x: x + 0.0).alias("v")).where(is_query).select(F.col("id").alias("query_id"), "v")
+    queries = stage(asked.join(reps.select(F.col("id").alias("class_id"), "v"), "v").select("query_id", "class_id"), "vector-queries")
+    if repeats == 1:
+        return reps, queries, k + 1
+    own = queries.distinct().groupBy("query_id").count()  # the classes of each query's id
+    return reps, queries, k + own.agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
 
 
 def dealt(key: str, parts: int) -> Column:
@@ -105,11 +119,11 @@ def best_of_pairs(pairs: DataFrame, kernel: Kernel, k: int, score_type: str) ->
 
 
 def ranked(best: DataFrame, reps: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) of every query row, ranks from 1, from the ``k`` + 1 best classes (query_id, best) of its class."""
+    """(query_id, rank, vec_id, score) of every query row, ranks from 1, from the best classes (query_id, best) of its class."""
     each = best.select(F.col("query_id").alias("class_id"), F.explode("best").alias("b"))
     spelled = each.join(reps.select(F.col("id").alias("rep"), "members"), F.col("b.id") == F.col("rep")).select(
         "class_id", F.transform("members", lambda m: F.struct(F.col("b.s").alias("s"), m.alias("id"))).alias("found"))
-    own = merged_best(spelled, k + 1, ("class_id",)).join(queries, "class_id").select(
+    own = merged_best(spelled, 2 * k, ("class_id",)).join(queries, "class_id").select(
         "query_id", F.posexplode(F.slice(F.filter("best", lambda e: e["id"] != F.col("query_id")), 1, k)).alias("pos", "b"))
     return own.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), F.col("b.s").alias("score"))
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,12 +30,41 @@ def lift(rows: np.ndarray, largest: float) -> np.ndarray:
     return np.column_stack([scaled, np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))])
 
 
-def postings(points: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """One file for each pivot: the weight of every row of the block in it, 0 where the row is not posted."""
-    near = np.argsort(-(points @ pivots.T), axis=1, kind="stable")[:, :prefix]
-    files = np.zeros((len(pivots), len(points)), dtype=np.uint8)
-    files[near, np.arange(len(points))[:, None]] = np.arange(prefix, 0, -1, dtype=np.uint8)[None, : near.shape[1]]
-    return files
+@dataclass
+class Files:
+    """The pivots' inverted files of a tile: of pivot p the postings start[p] to start[p + 1], rows ascending, and their weights."""
+
+    start: np.ndarray
+    rows: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, points: np.ndarray, pivots: np.ndarray, prefix: int) -> Files:
+        near = np.argsort(-(points @ pivots.T), axis=1, kind="stable")[:, :prefix]
+        order = np.argsort(near.reshape(-1), kind="stable")
+        weights = np.tile(np.arange(prefix, 0, -1, dtype=np.uint8), len(points))
+        return cls(np.searchsorted(near.reshape(-1)[order], np.arange(len(pivots) + 1)), (order // prefix).astype(np.uint16), weights[order])
+
+    def dump(self) -> bytes:
+        return b"".join(a.tobytes() for a in (self.start.astype(np.int64), self.rows, self.weights))
+
+    @classmethod
+    def load(cls, data: bytes, pivots: int) -> Files:
+        head = 8 * (pivots + 1)
+        n = (len(data) - head) // 3
+        return cls(np.frombuffer(data, np.int64, pivots + 1), np.frombuffer(data, np.uint16, n, head), np.frombuffer(data, np.uint8, n, head + 2 * n))
+
+    def common(self, pivots: np.ndarray, size: int) -> np.ndarray:
+        """Of each row of the tile the sum, over the pivots it shares with ``pivots`` (nearest first), of the smaller weight."""
+        out = np.zeros(size, np.uint32)
+        for rank, p in enumerate(pivots.tolist()):
+            a, b = self.start[p], self.start[p + 1]
+            out[self.rows[a:b]] += np.minimum(self.weights[a:b], np.uint8(len(pivots) - rank))  # a row is posted once in a file
+        return out
+
+    def touched(self, pivots: np.ndarray) -> int:
+        """Postings read for these pivots."""
+        return int((self.start[pivots + 1] - self.start[pivots]).sum())
 
 
 def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> dict[int, np.ndarray]:
@@ -62,7 +92,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     """
     squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     vectors = finite_vectors(table, id_col, vec_col).where(F.exists("v", lambda x: x != 0))
-    reps, queries = classes(vectors, is_query, k)
+    reps, queries, found_classes = classes(vectors, is_query, k)
     chosen = choose_pivots(reps, pivots)
     norms = {r["dim"]: r["m"] ** 0.5 for r in reps.groupBy(F.size("v").alias("dim")).agg(F.max(squared).alias("m")).collect()}
     asked, n, n_tiles, n_blocks = sides(reps, queries)
@@ -76,7 +106,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                 if row.dim in chosen and math.isfinite(norms[row.dim]):
                     points = lift(np.asarray(row.tile_flat, np.float64).reshape(-1, row.dim), norms[row.dim])
                     axes = lift(chosen[row.dim], norms[row.dim])
-                    files = postings(points, axes, min(prefix, len(axes))).tobytes()
+                    files = Files.of(points, axes, min(prefix, len(axes))).dump()
                 out.append(files)
             yield batch.assign(files=pd.Series(out, index=batch.index, dtype=object))
 
@@ -85,24 +115,25 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
 
     def kernel(row) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         ids, rows, query_ids, vectors = arrays(row, row.dim)
-        share = max(k + 1, -(-wanted * len(ids) // max(1, n)))
+        share = max(found_classes, -(-wanted * len(ids) // max(1, n)))
         indexed = row.files is not None and share < len(rows)
         if indexed:
             axes = lift(chosen[row.dim], norms[row.dim])
             depth = min(prefix, len(axes))
-            files = np.frombuffer(row.files, np.uint8).reshape(len(axes), len(rows))
+            files = Files.load(row.files, len(axes))
             unit = np.column_stack([vectors / np.linalg.norm(vectors, axis=1)[:, None], np.zeros(len(vectors))])
             own = np.argsort(-(unit @ axes.T), axis=1, kind="stable")[:, :depth]
         for j, q in enumerate(query_ids.tolist()):
             take = slice(None)
             if indexed:
-                common = np.zeros(len(rows), dtype=np.uint16)
-                for rank, p in enumerate(own[j]):
-                    common += np.minimum(files[p], np.uint8(depth - rank))
-                take = np.argpartition(common, len(common) - share)[len(common) - share :]
-            yield (q, *top_of(ids[take], (rows[take] * vectors[j]).sum(axis=1), k + 1))
-
-    return ranked(best_of_pairs(pairs, kernel, k + 1, "double"), reps, queries, k)
+                common = files.common(own[j], len(rows))
+                posted = np.flatnonzero(common)
+                take = posted if len(posted) <= share else posted[np.argpartition(common[posted], len(posted) - share)[len(posted) - share :]]
+                if len(take) < found_classes:  # fewer rows share a pivot than are wanted: the others are as near as each other
+                    take = slice(None)
+            yield (q, *top_of(ids[take], (rows[take] * vectors[j]).sum(axis=1), found_classes))
+
+    return ranked(best_of_pairs(pairs, kernel, found_classes, "double"), reps, queries, k)
 
 
 def op1_permutation_index(spark, sf_dir: str) -> DataFrame:

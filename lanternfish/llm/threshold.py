@@ -75,13 +75,13 @@ def top_products(table: DataFrame, is_query: Column, k: int = 20, id_col: str =
     Components become floor(scale * x) (``scale`` None: they are whole already).  ``is_query`` is a condition on the
     column ``id``.  Rows whose vector is null, empty or holds a null or non-finite component take no part; vectors of
     different lengths never meet; rows with the query's own id are no candidates.  Repeated rows and equal vectors are one
-    class of candidates.  Scores must fit a long.  An empty table gives an empty result.
+    class of candidates; query rows that share an id are answered each, by their own vectors.  Scores must fit a long.  An empty table gives an empty result.
     """
     vectors = finite_vectors(table, id_col, vec_col)
     if scale is not None:
         vectors = vectors.select("id", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("double")).alias("v"))
-    reps, queries = classes(vectors, is_query, k)
-    return ranked(best_classes(reps, queries, k + 1, nodes), reps, queries, k)
+    reps, queries, wanted = classes(vectors, is_query, k)
+    return ranked(best_classes(reps, queries, wanted, nodes), reps, queries, k)
 
 
 def sent_entries(reps: DataFrame, queries: DataFrame, k: int, nodes: int) -> tuple[DataFrame, DataFrame, DataFrame]:

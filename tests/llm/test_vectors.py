@@ -67,7 +67,7 @@ def test_threshold_sends_few_entries(spark):
     """Of all pairs of a query and a row the nodes give less than a fifth even of few rows; the cutoffs are safe."""
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     vectors = threshold.finite_vectors(table, "vec_id", "embedding").select("id", F.transform("v", lambda x: F.floor(64 * x).cast("double")).alias("v"))
-    reps, queries = threshold.classes(vectors, query(), 20)
+    reps, queries, _ = threshold.classes(vectors, query(), 20)
     entries, _, cutoffs = threshold.sent_entries(reps, queries, 21, threshold.NODES)
     sent, rows, asked = entries.agg(F.sum(F.size("local"))).first()[0], reps.count(), cutoffs.count()
     print("entries sent, of all pairs", sent / (rows * asked))
@@ -156,3 +156,52 @@ def test_permutation_hot_copies(spark):
         want, mine = set(np.lexsort((ids, -scores))[:20].tolist()), {i for i, _ in found[q]}
         hits, copies, wanted = hits + len(want & mine), copies + len(want & mine & set(hot.tolist())), wanted + len(want & set(hot.tolist()))
     assert wanted > 0 and copies >= 0.99 * wanted and hits >= 0.9 * 20 * 100
+
+
+def repeated_ids():
+    """Ids that occur with two vectors (queries among them), with one vector many times, and with both."""
+    rng = np.random.default_rng(8)
+    vectors = [rng.normal(size=6).tolist() for _ in range(60)]
+    rows = list(enumerate(vectors)) + [(20, vectors[33]), (20, rng.normal(size=6).tolist()), (37, rng.normal(size=6).tolist()), (0, vectors[0])]
+    return rows + [(40, vectors[12])] * 9 + [(12, vectors[12])] * 9
+
+
+def by_row(rows, score, k):
+    """Of every query row, (rank, id, score) by comparing it with all rows of other ids."""
+    out = []
+    for q, a in rows:
+        if q % 20 == 0:
+            best = sorted((-score(a, b), i) for i, b in rows if i != q)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_repeated_ids(spark):
+    rows = repeated_ids()
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in threshold.top_products(frame(spark, rows), query(), k=5).collect())
+    assert found == by_row(rows, whole, 5)
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in permutation_index.nearest(frame(spark, rows), query(), k=5).collect())
+    want = by_row(rows, product, 5)
+    assert [f[:3] for f in found] == [w[:3] for w in want] and np.allclose([f[3] for f in found], [w[3] for w in want])
+
+
+def test_permutation_files_prune_on_clustered_vectors(spark):
+    """Where vectors have structure a short prefix does: under a tenth of the rows stand in a query's files, and recall stays."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(100, 32))[rng.integers(0, 100, 20_000)] * 3 + rng.normal(size=(20_000, 32))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    asked = list(range(0, 20_000, 200))
+    found = got(permutation_index.nearest(table, F.col("id") % 200 == 0, prefix=3))
+    hits = 0
+    for q in asked:
+        scores = v @ v[q]
+        scores[q] = -np.inf
+        hits += len(set(np.argsort(-scores)[:20].tolist()) & {i for i, _ in found[q]})
+    pivots = v[::80][:256]
+    files = permutation_index.Files.load(permutation_index.Files.of(v, pivots, 3).dump(), len(pivots))
+    own = [np.argsort(-(pivots @ v[q]), kind="stable")[:3] for q in asked]
+    share = np.mean([np.count_nonzero(files.common(o, len(v))) for o in own]) / len(v)
+    read = np.mean([files.touched(o) for o in own]) / len(v)
+    print("recall", hits / 2000, "rows in a query's files", share, "postings read for each row", read)
+    assert hits >= 0.9 * 2000 and share < 0.1 and read < 0.15

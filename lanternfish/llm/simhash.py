@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lanternfish.operators.components import connected_components
 from lanternfish.llm.frames import text_batches
-from lanternfish.plans.staging import stage
+from lanternfish.operators.relational import hot_join
+from lanternfish.plans.staging import discard, stage
 
 TILE = 16_384
 _CHUNK_ROWS = 1 << 20
@@ -147,7 +148,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "fp", "first_id", F.coalesce("component", "fp").alias("root"))
     smallest = tagged.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = tagged.join(smallest, "root").select("fp", "component_id")
-    return prints.join(known, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return hot_join(prints, known, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 WIDE_WORDS, WIDE_TILE, PART_BYTES = 4, 32_768, 1 << 20
@@ -246,7 +247,7 @@ def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
 def _unsettled(members: DataFrame) -> DataFrame:
     """Members of the groups that carry more than one label."""
     several = members.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("grp")
-    return members.join(several, "grp", "left_semi")
+    return members.join(stage(several, "near-several"), "grp", "left_semi")  # written, so that members need not meet by group where it is small
 
 
 def verified_components(members: DataFrame, bytes_a_part: int) -> DataFrame:
@@ -256,7 +257,7 @@ def verified_components(members: DataFrame, bytes_a_part: int) -> DataFrame:
     has several labels is compared in full; a group of many like members is thus settled without all pairs of its parts.
     """
     members = _relabelled(members, jaccard_links(members, False, bytes_a_part))
-    size = members.groupBy("grp").agg(F.sum(F.length("shingles") + 64).alias("size")).where(F.col("size") > bytes_a_part).select("grp")
+    size = stage(members.groupBy("grp").agg(F.sum(F.length("shingles") + 64).alias("size")).where(F.col("size") > bytes_a_part).select("grp"), "near-sizes")
     large = stage(_unsettled(members.join(size, "grp", "left_semi")), "near-large")  # groups of one part are settled
     if not large.isEmpty():
         large = _relabelled(large, jaccard_links(large.where("fid = label"), True, bytes_a_part))
@@ -328,7 +329,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     apart = F.col("tile") != F.col("other")
     work = pairs.join(one, "tile").join(two, "other").select("tile", "other", "a", "aw", F.when(apart, F.col("b")).alias("b"), F.when(apart, F.col("bw")).alias("bw"))
     n_pairs = (last + 1) * (last + 2) // 2
-    work = work.repartition(max(1, min(n_pairs, 2000)), "tile", "other")
+    work = work.repartition(max(min(n_pairs, 2000), n_pairs // 16), "tile", "other")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def unpack(wides) -> np.ndarray:
@@ -345,6 +346,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # classes of one id are one node already, and their candidates are those of all of them
     groups = connected_components(work.mapInPandas(compare, "src long, dst long"))
+    discard(tiles)
     found = stage(distinct.join(groups, distinct["first_id"] == groups["node"]).select("key", "first_id", F.col("component").alias("grp")), "near-candidates")
     texts = keyed.join(found.select(F.col("first_id").alias("id")).distinct(), "id", "left_semi").select("id", shingles("body").alias("p"))
     sets = texts.groupBy("id", F.col("p.key").alias("key")).agg(F.first("p.shingles").alias("shingles"))
@@ -352,7 +354,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "grp", F.col("first_id").alias("fid"), F.col("first_id").alias("label"), "shingles"), "near-members")
     checked = verified_components(members, bytes_a_part).distinct()
     known = distinct.join(checked, distinct["first_id"] == checked["node"], "left").select("key", F.coalesce("component", "first_id").alias("component_id"))
-    return prints.join(known, "key").groupBy("id").agg(F.min("component_id").alias("component_id")).select(F.col("id").alias(id_col), "component_id")
+    return hot_join(prints.select("id", "key"), known, "key").groupBy("id").agg(F.min("component_id").alias("component_id")).select(F.col("id").alias(id_col), "component_id")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -50,7 +50,7 @@ def bands_for(rows: int, radius: int) -> int:
         listed = bands * (around(flips - flips // 2) + around(flips // 2))
         return 2 * rows * listed + rows * rows / 2 * bands * around(flips) / 2.0**width
 
-    return min(range(2, radius + 2), key=work)
+    return min(range(2, max(3, radius + 2)), key=work)
 
 
 def hamming_pairs(df: DataFrame, h: str, radius: int, bands: int | None = None) -> DataFrame:

@@ -97,12 +97,12 @@ def hawkes_likelihood(df: DataFrame, by: str, time: str, mu: float, alpha: float
     return ends.join(left, "series").join(summed, "series").select(F.col("series").alias(by), "n", F.round(mu * F.col("end") + alpha / beta * (F.col("n") - F.col("left")) - F.col("logs"), 4).alias("nll"))
 
 
-def hawkes_fit(df: DataFrame, by: str, time: str, least: int = 30) -> DataFrame:
-    """(by, n, mu, branching, decay_hours): fitted by a simplex search from two starts; series with too few events are left out."""
+def fit_short(df: DataFrame, by: str, least: int) -> DataFrame:
+    """(by, n, mu, branching, decay_hours) of series (series, by, t) that fit in a task: a simplex search from two starts."""
+    names = [by, "n", "mu", "branching", "decay_hours"]
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(group[time].to_numpy(float))
-        names = [by, "n", "mu", "branching", "decay_hours"]
+        t = np.sort(group["t"].to_numpy(float))
         if len(t) < least:
             return object_frame([], names)
         t = t - t[0]
@@ -123,7 +123,7 @@ def hawkes_fit(df: DataFrame, by: str, time: str, least: int = 30) -> DataFrame:
         mu, ratio, beta = np.exp(best[0])
         return object_frame([(group[by].iloc[0], len(t), float(mu), float(ratio), float(24 / beta))], names)
 
-    return df.select(by, F.col(time).cast("double").alias(time)).groupBy(by).applyInPandas(fit, f"{by} string, n long, mu double, branching double, decay_hours double")
+    return df.groupBy("series").applyInPandas(fit, f"{by} string, n long, mu double, branching double, decay_hours double")
 
 
 def simplex(f, start: np.ndarray, steps: int = 400, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:

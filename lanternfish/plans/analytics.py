@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanternfish.functions import columns as C
-from lanternfish.operators import embedding as E, images as I, near as N, relational as R, series as S, statistics as T
+from lanternfish.operators import embedding as E, hawkes, images as I, near as N, relational as R, series as S, statistics as T
 from lanternfish.plans.registering import registered
 from lanternfish.plans.views import HASHES, SIGHTINGS, hashes, sightings, table
 from lanternfish.streaming import micro
@@ -492,7 +492,7 @@ def change_points(spark, d):
 def hawkes_fit(spark, d):
     """Self-excitement of every author's sightings."""
     s = sightings(spark, d).select("author", (F.unix_micros(F.col("posted_at").cast("timestamp")) / 86400e6).alias("t"))
-    return S.hawkes_fit(s, "author", "t")
+    return hawkes.hawkes_fit(s, "author", "t")
 
 
 _TIMES = "t AS (SELECT user_id AS author, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 86400e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"

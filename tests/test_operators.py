@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 from lanternfish.functions import columns as C, tails
-from lanternfish.operators import components, embedding, images, near, ranking, relational as R, series, statistics as T
+from lanternfish.operators import components, embedding, hawkes, images, near, ranking, relational as R, series, statistics as T
 from lanternfish.sources import pages, windows
 from pyspark.sql import functions as F
 
@@ -194,7 +194,7 @@ def test_hawkes(spark):
         t += rng.exponential(1.0)
         out += [t + x for x in np.cumsum(rng.exponential(0.02, rng.integers(0, 6)))] + [t]
     df = spark.createDataFrame([("a", float(x)) for x in sorted(out)] + [("b", 1.0)], "k string, t double")
-    rows = series.hawkes_fit(df, "k", "t").collect()
+    rows = hawkes.hawkes_fit(df, "k", "t").collect()
     assert len(rows) == 1 and 0.3 < rows[0]["branching"] < 0.98 and rows[0]["mu"] > 0
     nll = series.hawkes_likelihood(df.where("k = 'a'"), "k", "t", 1.0, 0.0, 1.0).first()["nll"]
     assert nll == pytest.approx(max(out), abs=1e-3)

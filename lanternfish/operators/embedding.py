@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lanternfish.functions.columns import dot, once, unit
+from lanternfish.operators.statistics import exact_quantiles
 from lanternfish.plans.staging import stage
 
 REFERENCE_LIMIT = 10_000
@@ -71,7 +72,7 @@ def trimmed_centroid(rows: DataFrame, vec: str, rounds: int = 3, share: float =
     centre = mean_vector(units, "__v").first()["mean"]
     for _ in range(rounds if centre else 0):
         scored = units.crossJoin(F.broadcast(spark.createDataFrame([(centre,)], schema).select(unit(F.col("mean")).alias("__c")))).withColumn("__s", dot(F.col("__v"), F.col("__c")))  # one row
-        cut = scored.agg(F.percentile("__s", F.lit(share)).alias("__cut")).first()["__cut"]
+        cut = exact_quantiles(scored, [], "__s", {"cut": share}).first()["cut"]
         centre = mean_vector(scored.where(F.col("__s") >= cut - 1e-12), "__v").first()["mean"]
     return spark.createDataFrame([(centre or None,)], schema).select(unit(F.col("mean")).alias("centroid"))
 

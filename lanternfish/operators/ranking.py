@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lanternfish.plans.staging import discard, parts_for, stage
 
-PART_ROWS = 4 << 20
+PART_ROWS, SMALL_ROWS = 4 << 20, 1 << 18
 
 
-def running_sum(df: DataFrame, order: str, weight: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+def running_sum(df: DataFrame, order: str, weight: str, out: str, by: Sequence[str] = (), small_rows: int = SMALL_ROWS) -> DataFrame:
     """``df`` with ``out``: sum of ``weight`` over rows up to and with this one in ``order``, within each ``by`` group.
 
     (by, order) must be distinct.  Rows are range-partitioned and each partition sums its own, so large groups are split
-    too.  Only groups that reach over several partitions need what the earlier ones hold: two a partition at most.
+    too.  Only groups that reach over several partitions need what the earlier ones hold: two a partition at most.  Up to
+    ``small_rows`` rows in all are summed by one window.
     """
     spark = df.sparkSession
-    rows = stage(df, "running-values")  # so that the sampling of ranges does not compute them twice
-    parts = parts_for(spark, rows.count(), PART_ROWS)
+    rows = stage(df, "running-values")  # so that neither the count nor the sampling of ranges computes them twice
+    size = rows.count()
+    if size <= small_rows:
+        return rows.withColumn(out, F.sum(weight).over(Window.partitionBy(*by).orderBy(order)).cast("double"))
+    parts = parts_for(spark, size, PART_ROWS)
     placed = stage(rows.repartitionByRange(parts, *by, order).withColumn("__part", F.spark_partition_id()), "running-sum")
     discard(rows)
     summed = placed.withColumn("__run", F.sum(weight).over(Window.partitionBy("__part", *by).orderBy(order)).cast("double"))

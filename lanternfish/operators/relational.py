@@ -85,10 +85,12 @@ def fold(df: DataFrame, family: str, order: Sequence[Column]) -> DataFrame:
 
 
 def siblings(df: DataFrame, family: str, key: str, order: Sequence[Column], k: int = 12) -> DataFrame:
-    """(key, sibling, place): for every row the first ``k`` of its family; families are cut to ``k`` before they are joined."""
+    """(key, sibling, place): for every row the first ``k`` of its family; families are cut to ``k`` before they are joined, and
+    one that holds many rows is dealt over several tasks.  Rows without a family have no siblings."""
     w = Window.partitionBy(family).orderBy(*order)
-    first = df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select(family, F.col(key).alias("sibling"), "place")
-    return df.select(family, key).join(first, family).select(key, "sibling", "place")
+    first = df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).groupBy(family).agg(
+        F.collect_list(F.struct(F.col(key).alias("sibling"), "place")).alias("__first"))  # ``k`` at most
+    return hot_join(df.select(family, key), first, family).select(key, F.explode("__first").alias("s")).select(key, "s.*")
 
 
 def snowball(items: DataFrame, author: str, handle: Column, invalid: str) -> DataFrame:
@@ -108,14 +110,14 @@ def longest_runs(df: DataFrame, keys: Sequence[str], position: str, gap: int = 1
 HOT_ROWS = 50_000
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame:
     """Left join of many rows with the one row of their ``key``, where a few keys may hold most rows.
 
-    A key with more rows than a shuffle partition's share (and than ``hot_rows``) is dealt over several partitions, and its
+    A key with more rows than a shuffle partition's share (and than ``hot_rows``, ``HOT_ROWS`` if none are named) is dealt over several partitions, and its
     row on the right is repeated for each.  There are no more such keys than partitions, so their table is broadcast.  Rows
     with a null key stay without a match.
     """
-    share = max(hot_rows, left.count() // int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    share = max(hot_rows or HOT_ROWS, left.count() // int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salts = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > share).select(
         F.col(key).alias("__hot"), F.ceil(F.col("count") / share).cast("int").alias("__salts"))
     hot = F.broadcast(salts)

@@ -71,19 +71,40 @@ def power_law(df: DataFrame, value: str, candidates: int = 30, least: int = 10)
     return scored.orderBy(F.round("ks", 9), "xmin").limit(1).select("xmin", F.round("alpha", 4).alias("alpha"), F.round("ks", 4).alias("ks"), "tail")
 
 
-def average_ranks(df: DataFrame, value: str) -> DataFrame:
-    """``df`` with ``rank``: the mean of the ranks that equal values take.  Ranks come from counts of distinct values."""
-    counts = df.groupBy(value).agg(F.count("*").alias("__m"))
-    ranks = running_sum(counts, value, "__m", "__upto")
-    return df.join(ranks.select(value, (F.col("__upto") - F.col("__m") + (F.col("__m") + 1) / 2).alias("rank"), F.col("__m").alias("ties")), value)
+def average_ranks(counts: DataFrame, value: str, ties: str) -> DataFrame:
+    """``counts`` (distinct values with the number of rows of each, ``ties``) with ``rank``: the mean of the ranks that equal
+    values take.  Rows are counted before they get here, so a value that most rows share is one row."""
+    return running_sum(counts, value, ties, "__upto").withColumn("rank", F.col("__upto") - F.col(ties) + (F.col(ties) + 1) / 2).drop("__upto")
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, shares' names): exact quantiles of each group, between neighbours as percentiles are, from running counts of
+    distinct values; nulls are left out, and no task holds a group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__x")).agg(F.count("*").alias("__m"))
+    run = running_sum(counts, "__x", "__m", "__upto", by)
+    if by:
+        totals = run.groupBy(*by).agg(F.max("__upto").alias("__n"))
+        keyed = lambda t: t.withColumn("__key", F.to_json(F.struct(*by)))  # noqa: E731  so that null groups meet too
+        run = keyed(run).join(keyed(totals).select("__key", "__n"), "__key")
+    else:
+        run = run.crossJoin(F.broadcast(run.agg(F.max("__upto").alias("__n"))))  # one row
+    out = []
+    for name, share in shares.items():
+        place = share * (F.col("__n") - 1)
+        low = F.min(F.when(F.col("__upto") > F.floor(place), F.col("__x")))
+        high = F.min(F.when(F.col("__upto") > F.ceil(place), F.col("__x")))
+        out.append((low + (high - low) * F.first(place - F.floor(place))).alias(name))
+    return run.groupBy(*by).agg(*out)
 
 
 def mann_whitney(df: DataFrame, side: str, value: str, a: str, b: str) -> DataFrame:
     """(n_a, n_b, u, superiority, p): U of side a with its two-sided p-value; null statistics where a side has fewer than
     five values."""
-    ranked = average_ranks(df.where(F.col(side).isin(a, b) & F.col(value).isNotNull()).select(side, value), value)
-    s = ranked.agg(F.count_if(F.col(side) == a).alias("n_a"), F.count_if(F.col(side) == b).alias("n_b"), F.sum(F.when(F.col(side) == a, F.col("rank"))).alias("r"),
-                   F.sum(F.col("ties").cast("double") * F.col("ties") - 1).alias("ties"))
+    counts = df.where(F.col(side).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(
+        F.count_if(F.col(side) == a).alias("a"), F.count_if(F.col(side) == b).alias("b"), F.count("*").alias("m"))
+    m = F.col("m").cast("double")
+    s = average_ranks(counts, value, "m").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n_a"), F.coalesce(F.sum("b"), F.lit(0)).alias("n_b"),
+                                              F.sum(F.col("a") * F.col("rank")).alias("r"), F.sum(m * (m * m - 1)).alias("ties"))
     u = F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2
     enough = (F.col("n_a") >= 5) & (F.col("n_b") >= 5)
     s = s.withColumn("u", F.when(enough, u))
@@ -94,11 +115,13 @@ def mann_whitney(df: DataFrame, side: str, value: str, a: str, b: str) -> DataFr
 def kruskal(df: DataFrame, group: str, value: str, least: int = 5) -> DataFrame:
     """(h, groups, n, p): tie-corrected statistic over groups of at least ``least`` values; null for fewer than two groups
     or if all values are equal."""
-    sized = df.where(F.col(value).isNotNull()).select(group, value)
-    kept = sized.groupBy(group).agg(F.count("*").alias("size")).where(F.col("size") >= least).select(group)
-    ranked = average_ranks(sized.join(kept, group, "left_semi"), value)
-    sums = ranked.groupBy(group).agg(F.count("*").alias("n"), F.sum("rank").alias("r"), F.sum(F.col("ties").cast("double") * F.col("ties") - 1).alias("t")).agg(
-        F.sum("n").alias("n"), F.count("*").alias("groups"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("t").alias("ties"))
+    cells = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
+    kept = cells.groupBy(group).agg(F.sum("c").alias("size")).where(F.col("size") >= least).select(group)
+    cells = stage(cells.join(kept, group, "left_semi"), "rank-cells")
+    ranks = average_ranks(cells.groupBy(value).agg(F.sum("c").alias("m")), value, "m")
+    m = F.col("m").cast("double")
+    each = cells.join(ranks, value).groupBy(group).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"), F.sum(F.col("c") * (m * m - 1)).alias("t"))
+    sums = each.agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("t").alias("ties"))
     n = F.col("n").cast("double")
     h = F.try_divide(12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.col("ties") / (n * n * n - n))
     s = sums.select(F.when(F.col("groups") >= 2, h).alias("h"), "groups", "n")

@@ -269,8 +269,10 @@ def contingency(spark, d):
 def engagement_stats(spark, d):
     """Exact median, mean and 99th percentile of engagement."""
     x = C.null_sum(F.col("likes"), F.col("reposts")).cast("double")
-    p = lambda q: F.round(F.percentile("x", F.lit(q)), 6)
-    return sightings(spark, d).select("klass", x.alias("x")).groupBy("klass").agg(F.count("*").alias("n"), p(0.5).alias("median"), F.round(F.avg("x"), 6).alias("mean"), p(0.99).alias("p99"))
+    s = sightings(spark, d).select("klass", x.alias("x"))
+    means = s.groupBy("klass").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"))
+    found = T.exact_quantiles(s, ["klass"], "x", {"median": 0.5, "p99": 0.99}).withColumnRenamed("klass", "k")
+    return means.join(found, F.col("klass").eqNullSafe(F.col("k"))).select("klass", "n", F.round("median", 6).alias("median"), "mean", F.round("p99", 6).alias("p99"))
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM events GROUP BY event_type")

@@ -111,9 +111,10 @@ def test_leaders_differ_from_families(spark):
     assert {r["id"]: r["leader"] for r in near.leader_fold(df, "id", "h", "at", 8).collect()} == {1: 1, 2: 2, 3: 1}
 
 
-def test_running_sums(spark):
+@pytest.mark.parametrize("small", [0, 1 << 18])
+def test_running_sums(spark, small):
     df = spark.createDataFrame([(g, v, v % 3 + 1) for g in "ab" for v in range(50)], "g string, v int, w int")
-    got = {(r["g"], r["v"]): r["s"] for r in ranking.running_sum(df, "v", "w", "s", ["g"]).collect()}
+    got = {(r["g"], r["v"]): r["s"] for r in ranking.running_sum(df, "v", "w", "s", ["g"], small_rows=small).collect()}
     assert all(got[g, v] == sum(x % 3 + 1 for x in range(v + 1)) for g in "ab" for v in range(50))
 
 
@@ -317,3 +318,37 @@ def test_hamming_pairs_are_all_there(spark, radius):
     found = near.hamming_pairs(spark.createDataFrame([(h,) for h in signed], "h long"), "h", radius).collect()
     want = {(a, b, n) for a in signed for b in signed if a < b and (n := ((a ^ b) & (2**64 - 1)).bit_count()) <= radius}
     assert {tuple(r) for r in found} == want and len(found) == len(want) and (want or not radius)
+
+
+def test_ranks_and_quantiles_where_most_rows_are_tied(spark):
+    """Nine tenths of the rows share a value: only counts of values are ranked, so no task meets them."""
+    rng = random.Random(12)
+    rows = [(rng.choice("ab"), 0.0 if rng.random() < 0.9 else rng.random() * 10) for _ in range(4000)] + [("a", None), ("c", 3.0)]
+    df = spark.createDataFrame(rows, "side string, v double").repartition(8)
+    a, b = ([v for s, v in rows if s == side and v is not None] for side in "ab")
+    u = sum((x > y) + 0.5 * (x == y) for x in a for y in b)
+    got = T.mann_whitney(df, "side", "v", "a", "b").first()
+    assert (got["n_a"], got["n_b"]) == (len(a), len(b)) and got["u"] == pytest.approx(u, abs=1e-3)
+    ranked = []
+    real = T.running_sum
+    T.running_sum = lambda counts, *args: ranked.append(counts.count()) or real(counts, *args)
+    try:
+        T.kruskal(df, "side", "v").collect()
+        found = {r["side"]: r for r in T.exact_quantiles(df, ["side"], "v", {"median": 0.5, "p95": 0.95}).collect()}
+        whole = T.exact_quantiles(df, [], "v", {"p97": 0.97}).first()["p97"]
+    finally:
+        T.running_sum = real
+    assert max(ranked) <= len({(s, v) for s, v in rows})
+    assert found["a"]["median"] == np.quantile(a, 0.5) and found["b"]["p95"] == pytest.approx(np.quantile(b, 0.95)) and found["c"]["p95"] == 3.0
+    assert whole == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.97))
+
+
+def test_siblings_of_a_hot_family(spark, monkeypatch):
+    monkeypatch.setattr(R, "HOT_ROWS", 5)
+    rows = [(k, "hot" if k % 10 else f"f{k % 3}") for k in range(200)] + [(500, None)]
+    df = spark.createDataFrame(rows, "id long, family string")
+    got = sorted((r["id"], r["sibling"], r["place"]) for r in R.siblings(df, "family", "id", [F.col("id")], k=4).collect())
+    by = {}
+    for k, f in rows:
+        by.setdefault(f, []).append(k)
+    assert got == sorted((k, s, n + 1) for k, f in rows if f for n, s in enumerate(sorted(by[f])[:4]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lanternfish.plans import analytics, catalogue
+from lanternfish.plans import analytics, catalogue, timelines
 
-QUERIES: dict = catalogue.QUERIES | analytics.QUERIES
-ORACLES: dict[str, str] = catalogue.ORACLES | analytics.ORACLES
+QUERIES: dict = catalogue.QUERIES | analytics.QUERIES | timelines.QUERIES
+ORACLES: dict[str, str] = catalogue.ORACLES | analytics.ORACLES | timelines.ORACLES

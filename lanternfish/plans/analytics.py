@@ -173,7 +173,7 @@ def longest_run(spark, d):
     return R.longest_runs(e, ["user_id"], "day")
 
 
-def _pictures(spark, d):
+def pictures(spark, d):
     """Every vector as a small picture: its components as pixels between a flat border."""
     v = _vectors(spark, d)
     row = F.concat(F.array_repeat(F.lit(7.0), 8), F.transform("e", lambda x: 128 + 400 * x), F.array_repeat(F.lit(7.0), 8))
@@ -183,19 +183,19 @@ def _pictures(spark, d):
 @query()
 def border_trim(spark, d):
     """Box of the varying part of every picture."""
-    return I.trim_borders(_pictures(spark, d), "vec_id", "pixels", "width")
+    return I.trim_borders(pictures(spark, d), "vec_id", "pixels", "width")
 
 
 @query()
 def seam_find(spark, d):
     """The likeliest seam of every picture, with its band."""
-    return I.find_seams(_pictures(spark, d), "vec_id", "pixels", "width")
+    return I.find_seams(pictures(spark, d), "vec_id", "pixels", "width")
 
 
 @query()
 def picture_hash(spark, d):
     """Perceptual and difference hash of every picture."""
-    return I.picture_hashes(_pictures(spark, d), "vec_id", "pixels", "width")
+    return I.picture_hashes(pictures(spark, d), "vec_id", "pixels", "width")
 
 
 # -- aggregates --------------------------------------------------------------------------------------------------------

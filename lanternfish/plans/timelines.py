@@ -1,14 +1,16 @@
-"""Queries of time joins, sessions, margins, sketches, table functions and streams in several batches, each with its SQL."""
+"""Queries of time joins, sessions, margins, sketches, table functions, feeds, files and streams in several batches, each with its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lanternfish.functions import tables
-from lanternfish.operators import sketches as K, temporal as X
+from lanternfish.functions import columns as C, tables
+from lanternfish.operators import images as I, sketches as K, temporal as X
 from lanternfish.plans.registering import registered
-from lanternfish.plans.staging import stage
+from lanternfish.plans.analytics import pictures
+from lanternfish.plans.staging import fresh_path, stage
 from lanternfish.plans.views import SIGHTINGS, sightings, table
+from lanternfish.sources import feeds, files, pages as P
 from lanternfish.streaming import micro, stateful
 
 QUERIES, ORACLES, query = registered()
@@ -145,3 +147,58 @@ def stream_user_totals(spark, d):
     out = stateful.drained_again(stateful.user_totals(rows), "totals", mode="update", stop_after=2)
     last = out.groupBy("user_id").agg(F.max_by(F.struct("n", "total", "latest"), "n").alias("s"))
     return last.select("user_id", "s.n", F.round("s.total", 6).alias("total"), F.date_format(F.timestamp_micros("s.latest"), _STAMP).alias("latest"))
+
+
+# -- feeds, files and pages --------------------------------------------------------------------------------------------
+
+@query("SELECT user_id, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY user_id")
+def author_feed(spark, d):
+    """Every author's feed from a date on, read page by page by a Python source that takes the bound into its pages."""
+    spark.dataSource.register(feeds.ParquetFeed)
+    feed = spark.read.format("parquet_feed").options(path=f"{d}/events.parquet", actor="user_id", since="ts").load()
+    with feeds.pushing(spark):
+        rows = stage(feed.where(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")).select("user_id", "event_id"), "author-feed")
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
+@query("SELECT vec_id, true AS found, true AS same_hashes FROM embeddings")
+def picture_rescan(spark, d):
+    """Pictures written as files and read back: whether each is there, with the hashes that it had before."""
+    p = pictures(spark, d).withColumn("pixels", files.rounded(F.col("pixels")))
+    folder = micro.as_uri(fresh_path(spark, "pictures"))
+    written = stage(files.write_pictures(p, "vec_id", "pixels", "width", folder), "picture-files")
+    before = I.picture_hashes(p, "vec_id", "pixels", "width").join(written, "vec_id")
+    scanned = files.read_pictures(spark, folder).withColumn("n", F.lit(0).cast("long"))
+    after = I.picture_hashes(scanned.withColumn("n", F.conv(F.substring("sha1", 1, 15), 16, 10).cast("long")), "n", "pixels", "width").select("n", F.col("phash").alias("p2"), F.col("dhash").alias("d2"))
+    both = before.withColumn("n", F.conv(F.substring("sha1", 1, 15), 16, 10).cast("long")).join(after, "n", "left")
+    return both.select("vec_id", F.col("p2").isNotNull().alias("found"), F.coalesce((F.col("phash") == F.col("p2")) & (F.col("dhash") == F.col("d2")), F.lit(False)).alias("same_hashes"))
+
+
+@query("""SELECT page_id, nullif(replace(url, '"', ''), '') AS og_image, 'Page ' || page_id || ' & more' AS og_title FROM pages""")
+def meta_tags(spark, d):
+    """og:image and og:title of every page, given tags in either order of their attributes, with entities resolved."""
+    escaped = C.html_escape(F.replace(F.coalesce("url", F.lit("")), F.lit('"'), F.lit("")))
+    title = F.concat(F.lit("Page "), F.col("page_id").cast("string"), F.lit(" &amp; more"))
+    even = F.col("page_id") % 2 == 0
+    image = F.when(even, F.concat(F.lit('<meta property="og:image" content="'), escaped, F.lit('">'))).otherwise(F.concat(F.lit('<meta content="'), escaped, F.lit('" property="og:image"/>')))
+    named = F.when(even, F.concat(F.lit('<META content="'), title, F.lit('" name="og:title" >'))).otherwise(F.concat(F.lit('<meta name="og:title" content="'), title, F.lit('">')))
+    page = F.concat(image, named, F.coalesce("html", F.lit("")))
+    p = table(spark, d, "pages").select("page_id", page.alias("page"))
+    read = lambda name: P.unescape(P.meta_content(F.col("page"), name))
+    return p.select("page_id", read("og:image").alias("og_image"), read("og:title").alias("og_title"))
+
+
+@query("SELECT page_id, coalesce(html, '') AS text FROM pages")
+def unescaped(spark, d):
+    """Every page's source, escaped and back again."""
+    return table(spark, d, "pages").select("page_id", P.unescape(C.html_escape(F.coalesce("html", F.lit("")))).alias("text"))
+
+
+@query("""SELECT node, min(depth) AS depth FROM t GROUP BY node""",
+       "RECURSIVE done AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal < 0), kids AS (SELECT DISTINCT o_custkey // 10 AS parent, o_custkey AS child FROM orders WHERE o_custkey NOT IN (SELECT node FROM done)), "
+       "t AS (SELECT r AS node, 0 AS depth FROM range(1, 10) x(r) WHERE r NOT IN (SELECT node FROM done) UNION SELECT child, depth + 1 FROM t JOIN kids ON node = parent WHERE depth < 4)")
+def tree_walk_ledger(spark, d):
+    """The same walk from nine roots where a ledger (customers in debt) holds nodes that are finished: they are not walked again."""
+    kids = table(spark, d, "orders").select(F.floor(F.col("o_custkey") / 10).cast("long").alias("parent"), F.col("o_custkey").alias("child")).distinct()
+    done = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("node"))
+    return P.walk_tree(spark.range(1, 10).select(F.col("id").alias("node")), kids, 4, done)

@@ -40,6 +40,11 @@ def drain(frame: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(frame.schema.add("batch", "long")).option("basePath", out).parquet(out)
 
 
+def as_uri(path: str) -> str:
+    """A path with its scheme; one without is local."""
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+
 def daily_counts(events: DataFrame, late: str = "2 days") -> DataFrame:
     """Counts for each day and type; a day is final when the watermark has passed it."""
     stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

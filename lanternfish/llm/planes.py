@@ -33,7 +33,7 @@ BLOCK = 1 << 17
 _LEVEL = 1
 SHARD_BYTES = 128 << 20  # of text behind one shard, at most about
 TEXT_BYTES = 4 << 20  # of text encoded at a time
-HELD_BYTES, LONG = 128 << 20, 64  # of known words, about; longer words are not kept
+HELD_BYTES, LONG = 192 << 20, 64  # of known words, about; longer words are not kept
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
@@ -146,7 +146,7 @@ class WordIds:
 
     PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*]*)")
 
-    def __init__(self, tokenizer_file: str, limit: int = 500_000):
+    def __init__(self, tokenizer_file: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(tokenizer_file)
@@ -154,6 +154,7 @@ class WordIds:
         self.letters = byte_letters()
         self.limit = limit
         self.lower: dict[str, bytes] = {}
+        self.seen: dict[str, bytes] = {}  # words as they stand, case and marks with them
         self.size = 0  # bytes held, about
         self.marks: dict[str, bytes] = {"": b""}
 
@@ -167,32 +168,41 @@ class WordIds:
 
     def words(self, words: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each word."""
-        if len(self.lower) > self.limit or self.size > HELD_BYTES:
+        if len(self.lower) + len(self.seen) > self.limit or self.size > HELD_BYTES:
             self.lower.clear()
+            self.seen.clear()
             self.size = 0
         out = []
         for w in words:
-            m = self.PLAIN.fullmatch(w)
-            if not m:
-                out.append(self._whole(w) if w else b"")
-                continue
-            core, mark = m.groups()
-            low = core.lower()
-            ids = self.lower.get(low)
+            ids = self.seen.get(w)
             if ids is None:
-                ids = self._plain(low)
-                if len(low) <= LONG:
-                    self.lower[low] = ids
-                    self.size += 250 + len(low) + len(ids)
-            if mark:
-                if mark not in self.marks:
-                    if len(self.marks) > 10_000:
-                        self.marks = {"": b""}
-                    self.marks[mark] = self._whole(mark)
-                ids += self.marks[mark]
+                ids = self._word(w)
+                if len(w) <= LONG:
+                    self.seen[w] = ids
+                    self.size += 250 + len(w) + len(ids)
             out.append(ids)
         return out
 
+    def _word(self, w: str) -> bytes:
+        m = self.PLAIN.fullmatch(w)
+        if not m:
+            return self._whole(w) if w else b""
+        core, mark = m.groups()
+        low = core.lower()
+        ids = self.lower.get(low)
+        if ids is None:
+            ids = self._plain(low)
+            if len(low) <= LONG:
+                self.lower[low] = ids
+                self.size += 250 + len(low) + len(ids)
+        if mark:
+            if mark not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks = {"": b""}
+                self.marks[mark] = self._whole(mark)
+            ids += self.marks[mark]
+        return ids
+
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts put together, and the number of ids of each, with ``end_id`` behind each if it is given."""
         lists = pc.ascii_split_whitespace(texts)

@@ -106,3 +106,53 @@ def test_odd_rows(spark, odd_docs, no_docs):
     rows = toxicity.scored(odd_docs, labels).collect()
     assert len(rows) == odd_docs.count() and all(r["score"] == 0 and r["predicted"] == 0 for r in rows)
     assert toxicity.scored(no_docs, labels).count() == 0
+
+
+def slow_score(model, text, near):
+    """The score by its definition: every word against every term by edit distance, every window read anew."""
+    import math
+
+    low = (text or "").lower()
+    words = [(m.group(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", low)]
+    counts = {}
+    for i, (w, start, end) in enumerate(words):
+        if not near(w):
+            continue
+        t, errors = min(near(w), key=lambda h: (h[1], -model.terms[h[0]].weight))
+        window = words[max(0, i - 6) : i + 7]
+        before = sum(c in '"«»“”„‟' for c in low[window[0][1] : start])
+        behind = any(c in '"«»“”„‟' for c in low[end : window[-1][2] + 3])
+        told = any(v in toxicity.REPORTING for v, *_ in words[max(0, i - 6) : i])
+        key = (t, errors, bool(before % 2 and behind or told))
+        counts[key] = counts.get(key, 0) + 1
+    x = [0.0] * 4
+    if counts:
+        worth = {k: model.fuzzy ** k[1] * (model.quoted if k[2] else 1.0) for k in counts}
+        share = {t: sum(n * worth[k] for k, n in counts.items() if k[0] == t) for t in {k[0] for k in counts}}
+        mass = sum(model.terms[t].weight * s for t, s in share.items())
+        x = [math.log(1 + mass), max(model.terms[k[0]].weight * v for k, v in worth.items()), sum(min(1.0, s) for s in share.values()), math.log(1 + 1000 * mass / len(words))]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip([*x, 1.0], model.weights))))
+
+
+def test_scores_equal_their_definition(spark, learned):
+    """Every document of the smallest table and a few made for the windows, scored by the column and by the definition."""
+    from functools import lru_cache
+
+    from pyspark.sql import functions as F
+
+    @lru_cache(None)
+    def near(word):
+        out = []
+        for t, term in enumerate(learned.terms):
+            most = toxicity.allowed_errors(len(term.text))
+            if abs(len(term.text) - len(word)) <= most and (d := distance(term.text, word)) <= most and (d == 0 or word not in learned.ordinary):
+                out.append((t, d))
+        return tuple(out)
+
+    made = ['He said "you stupid idiot" and left', "«worthless» he wrote", 'stupid "quote" opened " and idiot', "stupld wortless idiot " * 30, "", None, "said " * 8 + "idiot"]
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + made
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in docs.select("doc_id", toxicity.toxicity(learned, F.col("text")).alias("s")).collect()}
+    for k, text in enumerate(texts):
+        assert got[k] == pytest.approx(slow_score(learned, text, near), rel=1e-9)
+    assert any(near(w) and near(w)[0][1] for t in texts for w in re.findall(r"[^\W_]+", (t or "").lower()))

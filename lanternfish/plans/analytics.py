@@ -544,7 +544,7 @@ def stream_watermark(spark, d):
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def stream_available_now(spark, d):
-    """Everything that is there, in micro-batches, then a batch query over the sink."""
+    """Everything that is there, in one batch, then a batch query over the sink (``stream_rounds`` has several batches)."""
     out = micro.drain(micro.stream_of(spark, f"{d}/events.parquet").select("event_id", "event_type", "user_id"), "arrivals")
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 

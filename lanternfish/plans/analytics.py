@@ -180,6 +180,9 @@ def pictures(spark, d):
     return v.select("vec_id", F.flatten(F.transform(F.sequence(F.lit(1), F.lit(24)), lambda i: F.transform(row, lambda x: x + i % 3))).alias("pixels"), F.lit(80).alias("width"))
 
 
+_pictures = pictures  # its earlier name
+
+
 @query()
 def border_trim(spark, d):
     """Box of the varying part of every picture."""

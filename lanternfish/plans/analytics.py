@@ -174,16 +174,35 @@ def longest_run(spark, d):
 
 
 def pictures(spark, d):
-    """Every vector as a small picture: its components as pixels between a flat border."""
+    """Every vector as a small picture between flat borders whose widths its id chooses: its components as pixels, in 22 rows of
+    changing contrast."""
     v = _vectors(spark, d)
-    row = F.concat(F.array_repeat(F.lit(7.0), 8), F.transform("e", lambda x: 128 + 400 * x), F.array_repeat(F.lit(7.0), 8))
-    return v.select("vec_id", F.flatten(F.transform(F.sequence(F.lit(1), F.lit(24)), lambda i: F.transform(row, lambda x: x + i % 3))).alias("pixels"), F.lit(80).alias("width"))
+    left, top = F.pmod("vec_id", F.lit(9)).cast("int"), F.pmod("vec_id", F.lit(3)).cast("int")
+    flat = lambda n: F.array_repeat(F.lit(7.0), n)
+    inner = lambda i: F.concat(flat(left), F.transform("e", lambda x: 128 + 80 * x * (2 + 3 * i % 7)), flat(16 - left))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.when(i.between(top, top + 21), inner(i)).otherwise(flat(F.size("e") + 16)))
+    return v.select("vec_id", F.flatten(rows).alias("pixels"), (F.size("e") + 16).alias("width"))
+
+
+# The same pictures a pixel a row, and what hashes make of them: means over parts of the picture, cosine frequencies, bits.
+PIXELS = """ed AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, vec_id % 9 AS l, vec_id % 3 AS t FROM embeddings), px AS (SELECT vec_id, i, j, len(e) + 16 AS width,
+CASE WHEN i BETWEEN t AND t + 21 AND j BETWEEN l AND l + len(e) - 1 THEN 128 + 80 * e[j - l + 1] * (2 + 3 * i % 7) ELSE 7e0 END AS v FROM ed, range(0, 24) a(i), range(0, len(e) + 16) b(j))"""
+_LINES = PIXELS + """, rl AS (SELECT vec_id, i, stddev_pop(v) > 3 AS lively FROM px GROUP BY 1, 2), cl AS (SELECT vec_id, j, any_value(width) AS width, stddev_pop(v) > 3 AS lively FROM px GROUP BY 1, 2),
+rb AS (SELECT vec_id, min(i) FILTER (WHERE lively) AS a, max(i) FILTER (WHERE lively) + 1 AS b, count(*) FILTER (WHERE lively) >= 16 AS enough FROM rl GROUP BY 1),
+cb AS (SELECT vec_id, any_value(width) AS width, min(j) FILTER (WHERE lively) AS c, max(j) FILTER (WHERE lively) + 1 AS d, count(*) FILTER (WHERE lively) >= 16 AS enough FROM cl GROUP BY 1)"""
+_SHARE = "greatest(0e0, least((part + 1) * n / parts, pos + 1) - greatest(part * n / parts, pos)) * parts / n"
+_SHRUNK = PIXELS + f""", ax AS (SELECT parts, n, part, pos, {_SHARE} AS w FROM (SELECT CAST(parts AS DOUBLE) AS parts, CAST(n AS DOUBLE) AS n FROM (VALUES (8), (32), (9)) x(parts), (SELECT 24 AS n UNION SELECT DISTINCT width FROM px)) s, range(0, 32) p(part), range(0, CAST(n AS BIGINT)) a(pos) WHERE part < parts),
+sh AS (SELECT vec_id, r.parts, r.part AS c, k.part AS d, sum(v * r.w * k.w) AS v FROM px JOIN ax r ON r.n = 24 AND r.pos = i AND r.w > 0 JOIN ax k ON k.n = width AND k.pos = j AND k.w > 0 AND (r.parts, k.parts) IN ((8, 9), (32, 32)) GROUP BY 1, 2, 3, 4),
+half AS (SELECT vec_id, k, d, sum(v * cos(pi() * k * (2 * c + 1) / 64)) AS v FROM sh, range(0, 8) f(k) WHERE parts = 32 GROUP BY 1, 2, 3), low AS (SELECT vec_id, k, m, sum(v * cos(pi() * m * (2 * d + 1) / 64)) AS v FROM half, range(0, 8) f(m) GROUP BY 1, 2, 3),
+ph AS (SELECT vec_id, 8 * k + m AS pos, v > median(v) OVER (PARTITION BY vec_id) AS bit FROM low), dh AS (SELECT vec_id, 8 * c + d AS pos, lead(v) OVER (PARTITION BY vec_id, c ORDER BY d) > v AS bit FROM sh WHERE parts = 8)"""
+_WORD = "CAST(CASE WHEN {u} >= 9223372036854775808 THEN CAST({u} AS HUGEINT) - 18446744073709551616 ELSE {u} END AS BIGINT)"  # 64 bits as a signed number
+_BITS = "sum(CASE WHEN bit THEN CAST(1 AS HUGEINT) << CAST(63 - pos AS INTEGER) ELSE 0 END)"
 
 
 _pictures = pictures  # its earlier name
 
 
-@query()
+@query("SELECT vec_id, CAST(CASE WHEN ok THEN a ELSE 0 END AS INTEGER) AS top, CAST(CASE WHEN ok THEN b ELSE 24 END AS INTEGER) AS bottom, CAST(CASE WHEN ok THEN c ELSE 0 END AS INTEGER) AS \"left\", CAST(CASE WHEN ok THEN d ELSE width END AS INTEGER) AS \"right\" FROM (SELECT *, rb.enough AND cb.enough AS ok FROM rb JOIN cb USING (vec_id))", _LINES)
 def border_trim(spark, d):
     """Box of the varying part of every picture."""
     return I.trim_borders(pictures(spark, d), "vec_id", "pixels", "width")
@@ -195,7 +214,7 @@ def seam_find(spark, d):
     return I.find_seams(pictures(spark, d), "vec_id", "pixels", "width")
 
 
-@query()
+@query(f"SELECT vec_id, {_WORD.format(u='p.u')} AS phash, {_WORD.format(u='q.u')} AS dhash FROM (SELECT vec_id, {_BITS} AS u FROM ph GROUP BY 1) p JOIN (SELECT vec_id, {_BITS} AS u FROM dh WHERE bit IS NOT NULL GROUP BY 1) q USING (vec_id)", _SHRUNK)
 def picture_hash(spark, d):
     """Perceptual and difference hash of every picture."""
     return I.picture_hashes(pictures(spark, d), "vec_id", "pixels", "width")
@@ -473,13 +492,20 @@ def dup_families(spark, d):
     return f.groupBy("family").agg(F.min(_HEX("hash")).alias("least"), F.count("*").alias("hashes")).select(F.col("least").alias("family"), "hashes")
 
 
-@query()
+@query("SELECT id, leader FROM hv JOIN (SELECT f.h, max(g.key) AS leader FROM fh f JOIN ld ON bit_count(xor(f.h, ld.h)) <= 8 JOIN fh g ON g.h = ld.h GROUP BY f.h) w ON w.h = hv.h", HASHES + """, fh AS (SELECT h, max(id) AS key FROM hv GROUP BY h),
+ld AS (SELECT unnest(list_reduce(list([h] ORDER BY key DESC), lambda led, x: CASE WHEN len(list_filter(led, lambda y: bit_count(xor(y, x[1])) <= 8)) = 0 THEN list_concat(led, x) ELSE led END)) AS h FROM fh)""")
 def leader_fold(spark, d):
     """Leaders of the wall, newest first."""
     return N.leader_fold(hashes(spark, d).withColumn("at", -F.col("id")), "id", "h", "at", 8)
 
 
-@query()
+_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_VOTES = ", ".join(f"sum((g >> {63 - at}) & 1) AS b{at}" for at in range(64))
+_MOST = " + ".join(f"CASE WHEN 2 * b{at} > n THEN CAST({1 << (63 - at)} AS HUGEINT) ELSE 0 END" for at in range(64))
+
+
+@query(f"SELECT doc_id, {_WORD.format(u='coalesce(u, 0)')} AS h FROM documents LEFT JOIN (SELECT doc_id, {_MOST} AS u FROM vt) USING (doc_id)",
+       f"wd AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 16) AS UBIGINT) AS g FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^{_SPACE}]+')) AS w FROM documents)), vt AS (SELECT doc_id, count(*) AS n, {_VOTES} FROM wd GROUP BY doc_id)")
 def simhash64(spark, d):
     """Similarity hash of every text."""
     return N.text_simhash(table(spark, d, "documents"), "doc_id", "text")
@@ -487,7 +513,15 @@ def simhash64(spark, d):
 
 # -- series ------------------------------------------------------------------------------------------------------------
 
-@query()
+# The search without pruning: the least cost up to each day, from all earlier ones, then the cuts from the last day back.
+_CUTS = f"""RECURSIVE {_DENSE}, ys AS (SELECT klass, list(n ORDER BY i) AS y FROM de GROUP BY klass HAVING sum(n) >= 10),
+cy AS (SELECT klass, len(y) AS days, 2 * ln(greatest(len(y), 2)) AS penalty, list_concat([0e0], list_transform(range(1, len(y) + 1), lambda t: CAST(list_sum(y[1:t]) AS DOUBLE))) AS upto FROM ys),
+bs AS (SELECT klass, days, upto, list_reduce(list_transform(range(0, days + 1), lambda t: {{'best': [-penalty], 'back': [CAST(0 AS BIGINT)], 't': t}}), lambda a, x: list_transform([list_transform(range(0, x.t), lambda s: a.best[s + 1] + CASE WHEN upto[x.t + 1] > upto[s + 1] THEN -2 * ((upto[x.t + 1] - upto[s + 1]) * ln((upto[x.t + 1] - upto[s + 1]) / (x.t - s)) - (upto[x.t + 1] - upto[s + 1])) ELSE 0e0 END)],
+lambda v: {{'best': list_append(a.best, list_min(v) + penalty), 'back': list_append(a.back, CAST(list_position(v, list_min(v)) - 1 AS BIGINT)), 't': x.t}})[1]) AS found FROM cy),
+sg AS (SELECT klass, upto, found.back AS back, found.back[days + 1] AS start, CAST(days AS BIGINT) AS stop FROM bs UNION ALL SELECT klass, upto, back, back[start + 1], start FROM sg WHERE start > 0)"""
+
+
+@query("SELECT klass, start, stop, round((upto[stop + 1] - upto[start + 1]) / (stop - start), 6) AS rate FROM sg", _CUTS)
 def change_points(spark, d):
     """Segments of constant rate of every class."""
     return S.change_points(_dense(spark, d), "klass")

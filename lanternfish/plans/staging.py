@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_PASSING: ContextVar[list[DataFrame] | None] = ContextVar("passing", default=None)  # tables staged inside ``settled``
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,9 +40,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged.staged_path = path
+    if (passing := _PASSING.get()) is not None:
+        passing.append(staged)
     return staged
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``stage`` of what ``make`` returns.  Tables that ``make`` stages on its way are deleted once its result is written, as
+    nothing reads them again, and also where it fails."""
+    passed: list[DataFrame] = []
+    token = _PASSING.set(passed)
+    try:
+        result = stage(make(), name)
+        passed.pop()  # the result itself
+    finally:
+        _PASSING.reset(token)
+        for table in passed:
+            discard(table)
+    if (passing := _PASSING.get()) is not None:
+        passing.append(result)
+    return result
+
+
 def discard(staged: DataFrame) -> None:
     """Delete the files of a staged table that no query will read again."""
     jvm = staged.sparkSession._jvm

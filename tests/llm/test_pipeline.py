@@ -52,6 +52,14 @@ def test_run(spark, small):
     assert rows and len({r["doc_id"] for r in rows}) == len(rows) == len({(r["bucket"], r["batch"], r["slot"]) for r in rows})
 
 
+def test_run_leaves_one_table(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr("lanternfish.plans.staging.shared_dir", lambda _: f"file://{tmp_path}")
+    packed = corpus_pipeline.run(spark, small)
+    left = [p.name for p in tmp_path.iterdir() if p.is_dir() and p.name.startswith(("pipeline-", "dedup-", "wide-", "simhash-", "near-", "toxicity-"))]
+    assert len(left) == 1 and left[0].startswith("pipeline-secret_scans")
+    assert packed.count() > 0
+
+
 def test_near_copies(spark):
     import random
 

@@ -187,7 +187,7 @@ def pictures(spark, d):
 # The same pictures a pixel a row, and what hashes make of them: means over parts of the picture, cosine frequencies, bits.
 PIXELS = """ed AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, vec_id % 9 AS l, vec_id % 3 AS t FROM embeddings), px AS (SELECT vec_id, i, j, len(e) + 16 AS width,
 CASE WHEN i BETWEEN t AND t + 21 AND j BETWEEN l AND l + len(e) - 1 THEN 128 + 80 * e[j - l + 1] * (2 + 3 * i % 7) ELSE 7e0 END AS v FROM ed, range(0, 24) a(i), range(0, len(e) + 16) b(j))"""
-_LINES = PIXELS + """, rl AS (SELECT vec_id, i, stddev_pop(v) > 3 AS lively FROM px GROUP BY 1, 2), cl AS (SELECT vec_id, j, any_value(width) AS width, stddev_pop(v) > 3 AS lively FROM px GROUP BY 1, 2),
+_BOXES = PIXELS + """, rl AS (SELECT vec_id, i, stddev_pop(v) > 3 AS lively FROM px GROUP BY 1, 2), cl AS (SELECT vec_id, j, any_value(width) AS width, stddev_pop(v) > 3 AS lively FROM px GROUP BY 1, 2),
 rb AS (SELECT vec_id, min(i) FILTER (WHERE lively) AS a, max(i) FILTER (WHERE lively) + 1 AS b, count(*) FILTER (WHERE lively) >= 16 AS enough FROM rl GROUP BY 1),
 cb AS (SELECT vec_id, any_value(width) AS width, min(j) FILTER (WHERE lively) AS c, max(j) FILTER (WHERE lively) + 1 AS d, count(*) FILTER (WHERE lively) >= 16 AS enough FROM cl GROUP BY 1)"""
 _SHARE = "greatest(0e0, least((part + 1) * n / parts, pos + 1) - greatest(part * n / parts, pos)) * parts / n"
@@ -202,7 +202,7 @@ _BITS = "sum(CASE WHEN bit THEN CAST(1 AS HUGEINT) << CAST(63 - pos AS INTEGER)
 _pictures = pictures  # its earlier name
 
 
-@query("SELECT vec_id, CAST(CASE WHEN ok THEN a ELSE 0 END AS INTEGER) AS top, CAST(CASE WHEN ok THEN b ELSE 24 END AS INTEGER) AS bottom, CAST(CASE WHEN ok THEN c ELSE 0 END AS INTEGER) AS \"left\", CAST(CASE WHEN ok THEN d ELSE width END AS INTEGER) AS \"right\" FROM (SELECT *, rb.enough AND cb.enough AS ok FROM rb JOIN cb USING (vec_id))", _LINES)
+@query("SELECT vec_id, CAST(CASE WHEN ok THEN a ELSE 0 END AS INTEGER) AS top, CAST(CASE WHEN ok THEN b ELSE 24 END AS INTEGER) AS bottom, CAST(CASE WHEN ok THEN c ELSE 0 END AS INTEGER) AS \"left\", CAST(CASE WHEN ok THEN d ELSE width END AS INTEGER) AS \"right\" FROM (SELECT *, rb.enough AND cb.enough AS ok FROM rb JOIN cb USING (vec_id))", _BOXES)
 def border_trim(spark, d):
     """Box of the varying part of every picture."""
     return I.trim_borders(pictures(spark, d), "vec_id", "pixels", "width")

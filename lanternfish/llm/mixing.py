@@ -1,23 +1,30 @@
 """Language-model scores by online logistic context mixing.
 
 A text is coded as its UTF-8 bytes and one end byte, bit by bit.  Several predictors look up, in tables of hashed
-contexts, how often the next bit was 0 and 1 in the training texts: the last one to four bytes, and all bytes since the
-last white space.  Their log odds are combined by weights that a gate chooses (how often the longer contexts were seen), and
-a refinement table corrects the result; weights and table are learned online, each partition's training segments one after
-another, and averaged.  While scoring they stand still, so that a score depends neither on the order nor on the place of rows.
-
-Contexts do not reach behind white space (nor further than ``PIECE`` bytes), so a segment, the bytes up to and with the next
-white space, always costs the same bits.  Segments of all texts are counted by a Spark aggregation; every distinct one is
-coded once, by whichever task has it, and costs reach the texts by a join (the commonest by a broadcast of fixed size).
-Counts are over all training texts: every training segment fills the tables, whose size grows with their number up to
-``MOST_BITS``, and teaches the mixer.
+contexts, how often the next bit was 0 and 1 in the training texts.  Their log odds are combined by weights that a gate
+chooses (how often the longer contexts were seen), and a refinement table corrects the result; weights and table are learned
+online, each part of the training texts from a fresh start, and averaged.  While scoring they stand still, so that a score
+depends neither on the order nor on the place of rows.
+
+Of running texts (which the query scores) contexts are the last one to four and six bytes and all bytes since the last white
+space, wherever in the text they stand.  Tasks read whole texts; where all contexts and the byte are those of an event still
+remembered, its cost is taken from there.
+
+Of segments, the bytes up to and with the next white space, contexts do not reach further back (nor further than ``PIECE``
+bytes), so a segment always costs the same bits.  Segments of all texts are counted by a Spark aggregation; every distinct one is
+coded once, by whichever task has it, and costs reach the texts by a join (the commonest by a broadcast of fixed size).  Words
+of running texts are counted the same way for the base.
+
+Counts are over all training texts: all of them fill the tables, whose size grows with the segments' up to ``MOST_BITS``, and
+teach the mixer.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +33,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lanternfish.llm import text_contexts
 from lanternfish.llm.frames import text_blocks
 from lanternfish.plans.staging import discard, stage
 
 END = 0xFF  # never a byte of UTF-8
 ORDER_BITS = (16, 20, 21, 22)  # cells of the order 1 to 4 contexts, as powers of two
+TEXT_ORDER_BITS = (*ORDER_BITS, 22)  # in whole texts, of order 1, 2, 3, 4 and 6
 LEAST_BITS, MOST_BITS = 16, 23  # of the segment contexts
 KINDS = len(ORDER_BITS) + 1
 PIECE = 256  # bytes of a segment after which its contexts begin anew
@@ -42,6 +51,11 @@ COMMON = 100_000  # segments whose costs are broadcast
 HELD_SEGMENTS, HELD_BYTES = 600_000, 48 << 20  # counted in a task before they are sent on
 COMMON_BYTES = 64  # of a segment whose costs may be broadcast
 LEARN_SEGMENTS = 1 << 18  # of each part that the mixer learns from in a pass of its own
+LEARN_BYTES = 8 << 20  # of whole texts, in each part that the mixer learns from
+DISTINCT_BYTES = 1 << 20  # of whole texts, whose events are counted before they fill tables
+FILL_BYTES = 48 << 20  # of whole texts in a task that fills tables
+EVENTS = 1 << 11  # coded at a time
+KNOWN_BITS = 21  # places for events met before, as a power of two
 _K = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _DELTA = np.float32(0.4)
@@ -109,14 +123,22 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def cells(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The table cell of each kind for every bit, most significant first, and the bits; arrays of bytes x 8."""
+    """The table cell of each kind for every bit of the pieces' bytes, and the bits."""
+    return placed(contexts(data, offsets), data, sizes)
+
+
+def placed(hashes: list[np.ndarray], data: np.ndarray, sizes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The table cell of each kind, given by its hashes, for every bit, most significant first, and the bits; arrays of bytes x 8."""
     shift = np.arange(8, dtype=np.uint8)
-    node = (np.uint8(1) << shift)[None, :].astype(np.uint64) | (data[:, None].astype(np.uint16) >> (8 - shift.astype(np.uint16))[None, :]).astype(np.uint64)
+    nodes = (np.uint8(1) << shift)[None, :].astype(np.uint64) | (data[:, None].astype(np.uint16) >> (8 - shift.astype(np.uint16))[None, :]).astype(np.uint64)
+    nodes *= np.uint64(0xA24BAED4963EE407)
     bits = (data[:, None] >> (7 - shift)[None, :]) & 1
     out = []
-    for h, size in zip(contexts(data, offsets), sizes):
-        mixed = (h[:, None] + node * np.uint64(0xA24BAED4963EE407)) * _MIX
-        out.append((mixed >> np.uint64(64 - size)).astype(np.int64))
+    for h, size in zip(hashes, sizes):
+        mixed = h[:, None] + nodes
+        mixed *= _MIX
+        mixed >>= np.uint64(64 - size)
+        out.append(mixed.view(np.int64))
     return out, bits
 
 
@@ -133,16 +155,18 @@ _SEEN_ORDER3 = np.minimum(3, np.ceil(np.log2(np.arange(131072) + 1) / 3)).astype
 
 
 def inputs(tables: list[np.ndarray], where: list[np.ndarray], bits: np.ndarray, own: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of every predictor and the constant (bits x kinds + 1), and the gate; ``own`` leaves that many counts of the bit out."""
-    flat = bits.reshape(-1).astype(np.int64)
+    """Log odds of every predictor and the constant (bits x kinds + 1), and the gate; ``own`` leaves that many
+    counts of the bit out, where they have been counted."""
+    flat = bits.reshape(-1)
+    left = np.where(flat, own, own << 16).astype(np.uint32)  # no more than was counted
     x = np.ones((len(flat), len(tables) + 1), dtype=np.float32)
     gate = np.zeros(len(flat), dtype=np.int64)
     for k, (table, at) in enumerate(zip(tables, where)):
-        pair = table[at.reshape(-1)]
-        zeros, ones = (pair >> np.uint32(16)).astype(np.int64), (pair & np.uint32(0xFFFF)).astype(np.int64)
+        pair = table.take(at.reshape(-1))
         if own:
-            zeros, ones = np.maximum(0, zeros - own * (1 - flat)), np.maximum(0, ones - own * flat)
-        x[:, k] = _LOGS[ones] - _LOGS[zeros]
+            pair -= left
+        zeros, ones = (pair >> np.uint32(16)).view(np.int32), (pair & np.uint32(0xFFFF)).view(np.int32)
+        x[:, k] = _LOGS.take(ones) - _LOGS.take(zeros)
         if k == len(tables) - 1:
             gate += 4 * _SEEN_SEGMENT[zeros + ones]
         elif k == len(tables) - 2:
@@ -162,18 +186,22 @@ class Mixer:
     refined: np.ndarray
 
     @classmethod
-    def fresh(cls) -> "Mixer":
+    def fresh(cls, kinds: int = KINDS) -> "Mixer":
         points = np.linspace(-8, 8, _APM)
-        return cls(np.full((_GATES, KINDS + 1), 0.3), np.tile(_squash(points), (_GATES, 1)))
+        return cls(np.full((_GATES, kinds + 1), 0.3), np.tile(_squash(points), (_GATES, 1)))
 
     def _slots(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = np.clip((z + 8) * 2, 0, _APM - 1 - 1e-6)
         low = place.astype(np.int64)
         return low, place - low
 
+    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """The weighted sum of every bit's inputs."""
+        return np.einsum("ij,ij->i", x, self.weights.take(gate, axis=0))
+
     def ones(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Probability of a one at every bit."""
-        z = np.einsum("ij,ij->i", x, self.weights[gate])
+        z = self.mixed(x, gate)
         low, part = self._slots(z)
         fine = self.refined[gate, low] * (1 - part) + self.refined[gate, low + 1] * part
         return np.clip(0.5 * _squash(z) + 0.5 * fine, 1e-6, 1 - 1e-6)
@@ -182,7 +210,7 @@ class Mixer:
         """One online pass: gradient steps on the weights and moves of the refinement table, a small batch at a time."""
         for a in range(0, len(bits), batch):
             xs, g, y, w = x[a : a + batch], gate[a : a + batch], bits[a : a + batch], weight[a : a + batch]
-            z = np.einsum("ij,ij->i", xs, self.weights[g])
+            z = self.mixed(xs, g)
             share = np.bincount(g, weights=w, minlength=_GATES)[g]
             pull = rate * (y - _squash(z)) * w / share
             for k in range(self.weights.shape[1]):
@@ -213,7 +241,7 @@ class Packed:
     planes: list[bytes]
 
     @classmethod
-    def of(cls, tables: list[np.ndarray]) -> "Packed":
+    def of(cls, tables: Iterable[np.ndarray]) -> "Packed":
         press = zstandard.ZstdCompressor(level=3)
         return cls(uuid.uuid4().hex, [press.compress(t.tobytes()) for t in tables])
 
@@ -240,6 +268,72 @@ class Model:
             np.add.at(out, owners, np.add.reduceat(logs, offsets[:-1]))
         return out
 
+    def event_costs(self, found: text_contexts.Events) -> np.ndarray:
+        """log10 probability of every event's byte."""
+        out = np.zeros(len(found.data))
+        for a in range(0, len(out), EVENTS):
+            some = found.take(slice(a, a + EVENTS))
+            where, bits = placed(some.hashes(), some.data, sizes_of(self.tables))
+            p = self.mixer.ones(*inputs(self.tables, where, bits))
+            out[a : a + EVENTS] = np.log10(np.where(bits.reshape(-1) == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1)
+        return out
+
+    def text_costs(self, texts: list[bytes], known: "Known") -> np.ndarray:
+        """log10 probability of every whole text; events that ``known`` still has are not coded again."""
+        out, at = np.zeros(len(texts)), 0
+        for found in text_contexts.events(text_contexts.stream(texts)):
+            costs = known.costs(found, self.event_costs)
+            ends = np.flatnonzero(found.data == END)
+            text = at + np.repeat(np.arange(len(ends) + 1), np.diff([0, *(ends + 1), len(costs)]))
+            out += np.bincount(text, weights=costs, minlength=len(texts) + 1)[: len(texts)]
+            at += len(ends)
+        return out
+
+
+class Places:
+    """Something held for each event met before, at the place its key gives, which the last to come keeps."""
+
+    def __init__(self, kind: type, bits: int = KNOWN_BITS):
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.held = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, kind)
+        self.keys[0] = ~np.uint64(0)  # whose own place is the last one
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of every key, and which keys are not there."""
+        place = (keys >> self.shift).view(np.int64)
+        return place, np.flatnonzero(self.keys.take(place) != keys)
+
+    def put(self, place: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
+        last = text_contexts.distinct(place[::-1])[0]  # of several at one place, so that key and value are of the same
+        at = len(place) - 1 - last
+        self.keys[place[at]], self.held[place[at]] = keys[at], values[at]
+
+
+class Known(Places):
+    """Costs of events coded before: only time depends on which are still there."""
+
+    def costs(self, found: text_contexts.Events, code: Callable[[text_contexts.Events], np.ndarray]) -> np.ndarray:
+        place, new = self.look(found.keys)
+        out = self.held.take(place)
+        if len(new):
+            first, _, number = text_contexts.distinct(found.keys[new])
+            some = found.take(new[first])
+            coded = code(some)
+            out[new] = coded[number]
+            self.put(place[new[first]], some.keys, coded)
+        return out
+
+    @classmethod
+    def of(cls, name: str) -> "Known":
+        """This worker's, for the tables of that name."""
+        if name not in _KNOWN:
+            _KNOWN.clear()
+            _KNOWN[name] = cls(np.float64)
+        return _KNOWN[name]
+
+
+_KNOWN: dict[str, Known] = {}
+
 
 def count_segments(docs: DataFrame) -> DataFrame:
     """(seg binary, n, n_all): every segment of the texts (body, learn) with its occurrences in training texts and in all."""
@@ -274,7 +368,7 @@ def segment_bits(bytes_in_all: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, (2 * bytes_in_all).bit_length()))
 
 
-def fill_tables(segs: DataFrame) -> list[np.ndarray]:
+def fill_tables(segs: DataFrame) -> Iterator[np.ndarray]:
     """The cells' counts over all training segments (seg, n): filled in parallel and summed part by part."""
     rows, total, distinct = segs.agg(F.count("*"), F.coalesce(F.sum(F.col("n") * F.length("seg")), F.lit(0)), F.coalesce(F.sum(F.length("seg")), F.lit(0))).first()
     sizes = (*ORDER_BITS, segment_bits(distinct))
@@ -289,12 +383,82 @@ def fill_tables(segs: DataFrame) -> list[np.ndarray]:
                 n = np.repeat(weights[owners], np.diff(offsets) * 8)
                 for table, at in zip(held, where):
                     np.add.at(table, 2 * at.reshape(-1) + bits.reshape(-1), n)
-        press = zstandard.ZstdCompressor(level=1)
-        for k, table in enumerate(held):
-            for a in range(0, len(table), 2 * PART):
-                if table[a : a + 2 * PART].any():
-                    counts = press.compress(table[a : a + 2 * PART].tobytes())  # whole, so that sums do not depend on their order
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([a // (2 * PART)], pa.int32()), pa.array([counts], pa.binary())], ["kind", "part", "counts"])
+        yield from sent(held)
+
+    tasks = max(1, -(-rows // FILL_SEGMENTS))
+    return summed(segs.coalesce(tasks).mapInArrow(fill, COUNTS), sizes, whole)
+
+
+def fill_text_tables(texts: DataFrame, size: int, distinct: int) -> Iterator[np.ndarray]:
+    """The cells' counts over all whole training texts (seg binary), ``size`` bytes of them, whose distinct segments hold ``distinct``."""
+    sizes = (*TEXT_ORDER_BITS, segment_bits(distinct))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = lambda: [np.zeros(2 << bits, dtype=np.uint32) for bits in sizes]
+        held, filled = empty(), 0
+        blocks = (part.column("seg").to_pylist() for batch in batches for part in text_blocks(batch, "seg", TEXT_BYTES))
+        for some, n in counted_events(chain.from_iterable(text_contexts.events(text_contexts.stream(b)) for b in blocks), DISTINCT_BYTES):
+            for k, begins in enumerate(some.begins()):
+                add_context(k, held[k], begins, some.data, n)
+            filled += int(n.sum())
+            if filled >= 2**31:  # before a count could pass 32 bits
+                yield from sent(held)
+                held, filled = empty(), 0
+        yield from sent(held)
+
+    tasks = max(min(8, -(-size // LEARN_BYTES)), -(-size // FILL_BYTES), 1)
+    return summed(texts.coalesce(tasks).mapInArrow(fill, COUNTS), sizes, np.uint32)
+
+
+def add_context(kind: int, table: np.ndarray, begins: np.ndarray, data: np.ndarray, n: np.ndarray) -> None:
+    """Count ``n`` occurrences of each byte behind its context of one kind."""
+    first, times, _ = text_contexts.distinct(begins * np.uint64(_K) + data, n)
+    for a in range(0, len(first), EVENTS):
+        at = first[a : a + EVENTS]
+        (where,), bits = placed([text_contexts.hashed(kind, begins[at])], data[at], (len(table).bit_length() - 2,))
+        np.add.at(table, 2 * where.reshape(-1) + bits.reshape(-1), np.repeat(times[a : a + EVENTS].astype(np.uint32), 8))
+
+
+def counted_events(found: Iterator[text_contexts.Events], size: int) -> Iterator[tuple[text_contexts.Events, np.ndarray]]:
+    """Distinct events in order of first occurrence and how often they occur, of about ``size`` bytes at a time.
+
+    An event whose place another has taken may come again with the rest of its count."""
+    bits = max(1, min(KNOWN_BITS, size.bit_length() - 2))
+    met, held, total, upto = Places(np.int32, bits), [], 0, 0
+    for some in found:
+        place, new = met.look(some.keys)
+        old = np.ones(len(place), bool)
+        old[new] = False
+        first, n, _ = text_contexts.distinct(some.keys[new])
+        if not held:
+            times = np.zeros(size + text_contexts.STRETCH, np.int64)
+        np.add.at(times, met.held[place[old]], 1)
+        times[upto : upto + len(n)] = n
+        held.append(some.take(new[first]))
+        met.put(place[new[first]], held[-1].keys, np.arange(upto, upto + len(n)))
+        total, upto = total + len(some.data), upto + len(n)
+        if total >= size:
+            yield text_contexts.Events.joined(held), times[:upto]
+            met, held, total, upto = Places(np.int32, bits), [], 0, 0
+    if held:
+        yield text_contexts.Events.joined(held), times[:upto]
+
+
+COUNTS = "kind int, part int, counts binary"
+
+
+def sent(tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Filled tables (twice as many counts as cells) in parts."""
+    press = zstandard.ZstdCompressor(level=1)
+    for k, table in enumerate(tables):
+        for a in range(0, len(table), 2 * PART):
+            if table[a : a + 2 * PART].any():
+                counts = press.compress(table[a : a + 2 * PART].tobytes())  # whole, so that sums do not depend on their order
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([a // (2 * PART)], pa.int32()), pa.array([counts], pa.binary())], ["kind", "part", "counts"])
+
+
+def summed(filled: DataFrame, sizes: tuple[int, ...], whole: type) -> Iterator[np.ndarray]:
+    """The tables whose parts (``COUNTS``, of numbers of that type) tasks have filled."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -307,14 +471,14 @@ def fill_tables(segs: DataFrame) -> list[np.ndarray]:
             pairs = packed_counts(both[::2], both[1::2]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([pairs], pa.binary())], ["kind", "part", "pairs"])
 
-    tasks = max(1, -(-rows // FILL_SEGMENTS))
-    filled = segs.coalesce(tasks).mapInArrow(fill, "kind int, part int, counts binary")
-    parts = filled.repartition("kind", "part").mapInArrow(add, "kind int, part int, pairs binary").collect()  # 60 MB at most, set by the sizes
-    tables = [np.zeros(1 << size, dtype=np.uint32) for size in sizes]
-    for r in parts:
-        got = np.frombuffer(r["pairs"], np.uint32)
-        tables[r["kind"]][r["part"] * PART : r["part"] * PART + len(got)] = got
-    return tables
+    parts = stage(filled.repartition("kind", "part").mapInArrow(add, "kind int, part int, pairs binary"), "mixing-tables")
+    for kind, size in enumerate(sizes):
+        table = np.zeros(1 << size, dtype=np.uint32)
+        for r in parts.where(F.col("kind") == kind).collect():  # 32 MB at most, set by the sizes
+            got = np.frombuffer(r["pairs"], np.uint32)
+            table[r["part"] * PART : r["part"] * PART + len(got)] = got
+        yield table
+    discard(parts)
 
 
 def regrouped(batches: Iterator[pa.RecordBatch], size: int = CUT) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
@@ -368,8 +532,47 @@ def fit_mixer(segs: DataFrame, tables, rate: float = 0.05) -> Mixer:
         if size:
             yield learned()
 
-    found = sorted(dealt.mapInArrow(fit, "part int, weights binary, refined binary, size long").collect(), key=lambda r: r["part"])  # six kilobytes a part
-    mixer = Mixer.fresh()
+    return averaged(dealt.mapInArrow(fit, LEARNED), KINDS)
+
+
+def fit_text_mixer(texts: DataFrame, size: int, tables, rate: float = 0.05) -> Mixer:
+    """As ``fit_mixer``, over whole training texts (id, seg binary) of ``size`` bytes in all.
+
+    Parts of about ``LEARN_BYTES`` are dealt by the hash of id and text and read in order of another.  What occurs again in a
+    part is learned at its first place, weighing as all its occurrences.
+    """
+    parts = max(8, -(-size // LEARN_BYTES))
+    dealt = texts.select(F.pmod(F.xxhash64("id", "seg"), F.lit(parts)).cast("int").alias("part"), "seg", F.lit(1).alias("n"), F.hash("id", "seg").alias("h"))
+    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "h", "seg").select("part", "seg", "n")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_tables = tables.value.tables()
+        sizes = sizes_of(own_tables)
+        for part, runs in groupby(regrouped(batches, TEXT_BYTES), key=lambda r: r[0]):
+            mixer, size = Mixer.fresh(len(sizes)), 0
+            found = chain.from_iterable(text_contexts.events(text_contexts.stream(held)) for _, held, _ in runs)
+            for some, n in counted_events(found, LEARN_BYTES):
+                size += int(n.sum())
+                done = 0
+                for a in range(0, len(n), EVENTS):
+                    few, weight = some.take(slice(a, a + EVENTS)), np.repeat(n[a : a + EVENTS].astype(float), 8)
+                    where, bits = placed(few.hashes(), few.data, sizes)
+                    done += len(few.data)
+                    mixer.learn(*inputs(own_tables, where, bits, own=1), bits.reshape(-1).astype(float), weight, rate * min(1.0, 4 * CUT / done) + 0.002)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([part], pa.int32()), pa.array([mixer.weights.tobytes()], pa.binary()), pa.array([mixer.refined.tobytes()], pa.binary()), pa.array([size])],
+                ["part", "weights", "refined", "size"])
+
+    return averaged(dealt.mapInArrow(fit, LEARNED), len(TEXT_ORDER_BITS) + 1)
+
+
+LEARNED = "part int, weights binary, refined binary, size long"
+
+
+def averaged(learned: DataFrame, kinds: int) -> Mixer:
+    """The mean of what the parts (``LEARNED``) have learned, by bytes learned from."""
+    found = sorted(learned.collect(), key=lambda r: r["part"])  # six kilobytes a part
+    mixer = Mixer.fresh(kinds)
     if found:
         share = [r["size"] for r in found]
         mean = lambda c, like: np.average([np.frombuffer(r[c]).reshape(like.shape) for r in found], axis=0, weights=share)
@@ -411,8 +614,13 @@ def coded_segments(segs: DataFrame, words: DataFrame, tables, mixer: Mixer) -> D
             costs = model.costs(batch.column("seg").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("seg"), batch.column("n_all"), pa.array(costs)], ["seg", "n_all", "cost"])
 
+    return with_base(segs.select("seg", "n_all").mapInArrow(run, "seg binary, n_all long, cost double"), words)
+
+
+def with_base(coded: DataFrame, words: DataFrame) -> DataFrame:
+    """Segments (seg, n_all, cost) with ``base`` and ``known``."""
     end = words.where("word = ''").agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
-    coded = segs.select("seg", "n_all").mapInArrow(run, "seg binary, n_all long, cost double").withColumn("word", _word("seg"))
+    coded = coded.withColumn("word", _word("seg"))
     ended = (F.substring("seg", F.length("seg"), F.lit(1)) == F.lit(bytes([END]))).cast("int")
     found = coded.join(words.where("word != ''"), "word", "left")
     return found.select(
@@ -420,14 +628,15 @@ def coded_segments(segs: DataFrame, words: DataFrame, tables, mixer: Mixer) -> D
         (F.col("c").isNotNull().cast("int") + ended * int(end > 0)).cast("long").alias("known"))
 
 
-def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", running: bool = False) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), log10 probabilities of whole texts.
 
     ``learn`` is a condition on the id column; the other rows (and those with a null id) are held out.  The base adds one to
     the count of each ASCII-lower-cased word or end in the training rows.  Null texts count as empty: one end.  Repeated rows
     are scored each, and count twice in training.  Without training rows the base is uniform over nothing seen (log10 of 1
     for a vocabulary of none) and the model gives even bits.  Bits a byte count
-    the end as a byte.  A text is held whole in a task; besides it, memory is bounded by bytes.
+    the end as a byte.  With ``running`` contexts are those of the running text, which reach over white space (and six bytes
+    back), so that the order of words counts; without, a text's score is the sum of its segments' costs.  A text is held whole in a task; besides it, memory is bounded by bytes.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), F.coalesce(learn, F.lit(False)).alias("learn"))
@@ -435,9 +644,17 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     training = segs.where("n > 0")
     words = stage(word_counts(training), "mixing-words")
     n_train, vocabulary = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tables = spark.sparkContext.broadcast(Packed.of(fill_tables(training)))
-    coded = stage(coded_segments(segs, words, tables, fit_mixer(training, tables)), "mixing-coded")
-    tables.destroy()
+    if running:
+        texts = keyed.where("learn").select("id", F.col("body").cast("binary").alias("seg"))
+        size, distinct = training.agg(F.coalesce(F.sum(F.col("n") * F.length("seg")), F.lit(0)), F.coalesce(F.sum(F.length("seg")), F.lit(0))).first()
+        tables = spark.sparkContext.broadcast(Packed.of(fill_text_tables(texts, size, distinct)))
+        mixer = fit_text_mixer(texts, size, tables)
+        coded = stage(with_base(segs.select("seg", "n_all", F.lit(0.0).alias("cost")), words), "mixing-coded")
+    else:
+        tables = spark.sparkContext.broadcast(Packed.of(fill_tables(training)))
+        coded = stage(coded_segments(segs, words, tables, fit_mixer(training, tables)), "mixing-coded")
+        tables.destroy()
+        tables = mixer = None  # tasks that put scores together need neither
     discard(segs)
     short = F.length("seg") <= COMMON_BYTES
     least = count_threshold(coded.where(short), "n_all", COMMON)
@@ -447,6 +664,8 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, cost, base, known = shared.value
+        if running:
+            model, coded_before = Model(tables.value.tables(), mixer), Known.of(tables.value.name)
         serial = TaskContext.get().partitionId() << 40
         none = lambda kind, n: pa.nulls(n, kind)
         for batch in batches:
@@ -460,11 +679,12 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                 hit = at >= 0
                 add = lambda values: pa.array(np.bincount(text[hit], weights=values[at[hit]], minlength=n))  # noqa: B023, E731
                 long = np.diff(np.frombuffer(segs.buffers()[1], np.int32)) > 1
+                whole = model.text_costs(texts, coded_before) if running else add(cost)
                 rows = serial + np.arange(n)
                 serial += n
                 yield pa.RecordBatch.from_arrays([
                     pa.array(rows), part.column("id"), none(pa.binary(), n), pa.array(np.bincount(text, weights=long, minlength=n).astype(np.int64) + 1),
-                    pa.array(np.array([len(t) for t in texts], np.int64)), add(cost), add(base), add(known)], NAMES)
+                    pa.array(np.array([len(t) for t in texts], np.int64)), whole, add(base), add(known)], NAMES)
                 pair, times = np.unique(text[~hit].astype(np.int64) * len(place) + index[~hit], return_counts=True)
                 for a in range(0, len(pair), 200_000):
                     some, m = pair[a : a + 200_000], len(pair[a : a + 200_000])
@@ -473,6 +693,8 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                         *[none(k, m) for k in (pa.int64(), pa.float64(), pa.float64(), pa.float64())]], NAMES)
 
     mixed = stage(keyed.select("id", "body").mapInArrow(run, "row long, id long, seg binary, n long, bytes long, cost double, base double, known double"), "mixing-rows")
+    if running:
+        tables.destroy()
     rest = coded.where(~often).select("seg", "cost", "base", "known")
     times = lambda c: F.sum(F.col("times") * F.col(c)).alias(f"more_{c}")
     more = mixed.where("seg IS NOT NULL").select("row", "seg", F.col("n").alias("times")).join(rest, "seg").groupBy("row").agg(*map(times, ("cost", "base", "known")))
@@ -494,6 +716,6 @@ def in_fold(id_col: str, folds: int = 7, fold: int = 2) -> Column:
 def op10_context_mixing(spark, sf_dir: str) -> DataFrame:
     """Scores of every document; one fold of seven is held out of learning."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = score_texts(docs, ~in_fold("doc_id"))
+    found = score_texts(docs, ~in_fold("doc_id"), running=True)
     return found.withColumn("held_out", in_fold("doc_id")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

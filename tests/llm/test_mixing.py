@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from lanternfish.llm import mixing
+from lanternfish.llm import mixing, text_contexts
 from pyspark.sql import functions as F
 
 
@@ -190,3 +190,107 @@ def test_texts_without_spaces_are_sent_by_bytes():
     batch = lambda: pa.RecordBatch.from_pydict({"body": [text() for _ in range(1_000)], "learn": [True] * 1_000})
     sizes = [b.column("seg").nbytes for b in run(batch() for _ in range(60))]
     assert len(sizes) >= 3 and sum(sizes) > 170e6 and max(sizes) < 60e6
+
+
+def running_contexts(text):
+    """(contexts, byte) of every byte of one text, from the bytes themselves."""
+    raw, word = text + b"\xff", 0
+    for i, byte in enumerate(raw):
+        yield (*(raw[max(0, i - order) : i] if i >= order else (raw[:i],) for order in text_contexts.ORDERS), raw[word:i]), byte
+        word = i + 1 if byte in b" \t\n\v\f\r" else word
+
+
+@pytest.mark.parametrize("stretch", [1 << 17, 13, 7])
+def test_running_contexts(monkeypatch, stretch):
+    """Contexts of whole texts reach over white space, never into the text before, and do not depend on where stretches end."""
+    monkeypatch.setattr(text_contexts, "STRETCH", stretch)
+    texts = [b"", b"a b  cc", b"abc " * 5 + b"x" * 40, b"a b  cc", "Größe\tist \n gut".encode(), b"b a  cc"]
+    found = text_contexts.Events.joined(list(text_contexts.events(text_contexts.stream(texts))))
+    wanted = [pair for t in texts for pair in running_contexts(t)]
+    assert bytes(found.data) == b"".join(t + b"\xff" for t in texts)
+    for k, hashes in enumerate(found.hashes()):
+        pairs = {(contexts[k], h) for (contexts, _), h in zip(wanted, hashes.tolist())}
+        assert len(pairs) == len({p[0] for p in pairs}) == len({p[1] for p in pairs})
+    pairs = set(zip(wanted, found.keys.tolist()))
+    assert len(pairs) == len({p[0] for p in pairs}) == len({p[1] for p in pairs})
+
+
+def test_counted_events_and_tables_are_whole():
+    """Whatever places are lost, all occurrences are counted, and every one is in the tables."""
+    texts = [b"to be or not to be", b"to be or not", b"", b"be to or to not"] * 3
+    stream = text_contexts.stream(texts)
+    whole = Counter(pair for t in texts for pair in running_contexts(t))
+    for size in (20, 1 << 20):
+        found = list(mixing.counted_events(text_contexts.events(stream), size))
+        times = Counter()
+        for some, n in found:
+            for key, m in zip(some.keys.tolist(), n.tolist()):
+                times[key] += m
+        assert sorted(times.values()) == sorted(whole.values())
+        every = text_contexts.Events.joined(list(text_contexts.events(stream)))
+        where, bits = mixing.placed(every.hashes(), every.data, (16,) * 6)
+        for k in range(6):
+            table = np.zeros(2 << 16, np.uint32)
+            for some, n in found:
+                mixing.add_context(k, table, list(some.begins())[k], some.data, n)
+            assert (table == np.bincount(2 * where[k].reshape(-1) + bits.reshape(-1), minlength=2 << 16)).all()
+
+
+def test_order_of_words_counts(spark):
+    """A text's score is that of its running text: words in another order score otherwise."""
+    said = "the old man went to the sea and the sea was calm"
+    other = " ".join(sorted(said.split(), key=lambda w: w[::-1]))
+    rows = [(i, said) for i in range(40)] + [(100, other), (101, said)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learn = F.col("doc_id") < 100
+    found = {r["doc_id"]: r for r in mixing.score_texts(docs, learn, running=True).collect()}
+    assert len(found) == 42 and found[100]["base_score"] == pytest.approx(found[101]["base_score"], rel=1e-9)
+    assert found[101]["score"] == pytest.approx(found[0]["score"], rel=1e-9)
+    assert found[100]["score"] < 1.5 * found[101]["score"]
+
+
+def test_query_reads_running_texts(spark, small):
+    """The query's scores equal those of one model that codes every text byte by byte, none of them known before."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    kept, real = {}, mixing.fit_text_mixer
+
+    def spy(texts, size, tables):
+        kept["model"] = mixing.Model(tables.value.tables(), real(texts, size, tables))
+        return kept["model"].mixer
+
+    mixing.fit_text_mixer = spy
+    try:
+        found = {r["doc_id"]: r for r in mixing.op10_context_mixing(spark, str(small)).collect()}
+    finally:
+        mixing.fit_text_mixer = real
+    rows = docs.collect()
+    check(rows, found.values())
+    for r in rows[:60]:
+        raw = (r["text"] or "").encode()
+        every = text_contexts.Events.joined(list(text_contexts.events(text_contexts.stream([raw]))))
+        score = kept["model"].event_costs(every).sum()
+        assert found[r["doc_id"]]["score"] == pytest.approx(score, rel=1e-9)
+        assert found[r["doc_id"]]["bits_per_byte"] == pytest.approx(-score / math.log10(2) / (len(raw) + 1), rel=1e-9)
+
+
+def test_running_scores_do_not_depend_on_partitions(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before, found = {k: spark.conf.get(k) for k in keys}, []
+    try:
+        for parts, rows in ((2, 50), (64, 2000)):
+            for k, v in zip(keys, (parts, "false", rows)):
+                spark.conf.set(k, v)
+            found.append({r["doc_id"]: r["score"] for r in mixing.score_texts(docs.repartition(parts), ~mixing.in_fold("doc_id"), running=True).collect()})
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[0].keys() == found[1].keys()
+    assert all(found[1][d] == pytest.approx(x, rel=1e-9) for d, x in found[0].items())
+
+
+def test_running_odd_rows(spark, odd_docs, no_docs):
+    check(odd_docs.collect(), mixing.score_texts(odd_docs, ~mixing.in_fold("doc_id"), running=True).collect())
+    assert mixing.score_texts(no_docs, ~mixing.in_fold("doc_id"), running=True).count() == 0
+    none = mixing.score_texts(odd_docs.where("doc_id = 5"), F.lit(False), running=True).collect()
+    assert none and all(r["n_known"] == 0 and r["base_score"] == 0 for r in none)

@@ -46,6 +46,7 @@ PIECE = 256  # bytes of a segment after which its contexts begin anew
 CUT = 1 << 16  # bytes coded at a time
 PART = 1 << 17
 TEXT_BYTES = 2 << 20
+SCORED_BYTES = 1 << 20  # of texts, scored at a time
 FILL_SEGMENTS = 500_000  # in a task that fills tables
 COMMON = 100_000  # segments whose costs are broadcast
 HELD_SEGMENTS, HELD_BYTES = 600_000, 48 << 20  # counted in a task before they are sent on
@@ -54,8 +55,9 @@ LEARN_SEGMENTS = 1 << 18  # of each part that the mixer learns from in a pass of
 LEARN_BYTES = 8 << 20  # of whole texts, in each part that the mixer learns from
 DISTINCT_BYTES = 1 << 20  # of whole texts, whose events are counted before they fill tables
 FILL_BYTES = 48 << 20  # of whole texts in a task that fills tables
-EVENTS = 1 << 11  # coded at a time
+EVENTS = 1 << 13  # coded at a time
 KNOWN_BITS = 21  # places for events met before, as a power of two
+STEPS = 2048  # of log odds of 16 bits
 _K = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _DELTA = np.float32(0.4)
@@ -127,19 +129,24 @@ def cells(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...]) -> tupl
     return placed(contexts(data, offsets), data, sizes)
 
 
+def _spread() -> np.ndarray:
+    """For each byte what sets its eight cells apart: those of either half of the byte stand in 16 neighbouring cells."""
+    far = (np.random.default_rng(10).permutation(1 << LEAST_BITS - 4)[:16] << 4).astype(np.int64)
+    byte = np.arange(256)
+    half = lambda nibble: [(1 << j) | (nibble >> (4 - j)) for j in range(4)]
+    return np.stack([*half(byte >> 4), *(far[byte >> 4] ^ low for low in half(byte & 15))], axis=1)
+
+
+_SPREAD = _spread()
+_BITS = (np.arange(256, dtype=np.uint8)[:, None] >> np.arange(7, -1, -1, dtype=np.uint8)[None, :]) & 1
+
+
 def placed(hashes: list[np.ndarray], data: np.ndarray, sizes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The table cell of each kind, given by its hashes, for every bit, most significant first, and the bits; arrays of bytes x 8."""
-    shift = np.arange(8, dtype=np.uint8)
-    nodes = (np.uint8(1) << shift)[None, :].astype(np.uint64) | (data[:, None].astype(np.uint16) >> (8 - shift.astype(np.uint16))[None, :]).astype(np.uint64)
-    nodes *= np.uint64(0xA24BAED4963EE407)
-    bits = (data[:, None] >> (7 - shift)[None, :]) & 1
-    out = []
-    for h, size in zip(hashes, sizes):
-        mixed = h[:, None] + nodes
-        mixed *= _MIX
-        mixed >>= np.uint64(64 - size)
-        out.append(mixed.view(np.int64))
-    return out, bits
+    """The table cell of each kind, given by its hashes, for every bit, most significant first, and the bits; arrays of bytes x 8.
+
+    As cells are set apart by exclusive or with the hash, contexts that share 16 neighbours use all of them."""
+    spread = _SPREAD.take(data, axis=0)
+    return [((h * _MIX) >> np.uint64(64 - size)).view(np.int64)[:, None] ^ spread for h, size in zip(hashes, sizes)], _BITS.take(data, axis=0)
 
 
 def packed_counts(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -154,28 +161,56 @@ _SEEN_SEGMENT = np.minimum(4, np.ceil(np.log2(np.arange(131072) + 1) / 2)).astyp
 _SEEN_ORDER3 = np.minimum(3, np.ceil(np.log2(np.arange(131072) + 1) / 3)).astype(np.int64)
 
 
-def inputs(tables: list[np.ndarray], where: list[np.ndarray], bits: np.ndarray, own: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of every predictor and the constant (bits x kinds + 1), and the gate; ``own`` leaves that many
-    counts of the bit out, where they have been counted."""
-    flat = bits.reshape(-1)
-    left = np.where(flat, own, own << 16).astype(np.uint32)  # no more than was counted
-    x = np.ones((len(flat), len(tables) + 1), dtype=np.float32)
-    gate = np.zeros(len(flat), dtype=np.int64)
-    for k, (table, at) in enumerate(zip(tables, where)):
-        pair = table.take(at.reshape(-1))
-        if own:
-            pair -= left
-        zeros, ones = (pair >> np.uint32(16)).view(np.int32), (pair & np.uint32(0xFFFF)).view(np.int32)
-        x[:, k] = _LOGS.take(ones) - _LOGS.take(zeros)
-        if k == len(tables) - 1:
-            gate += 4 * _SEEN_SEGMENT[zeros + ones]
-        elif k == len(tables) - 2:
-            gate += _SEEN_ORDER3[zeros + ones]
-    return x, gate
+@dataclass
+class Odds:
+    """What tables of packed counts say: log odds of every cell and, of the last two kinds, how often it was seen.
+
+    With ``own`` one occurrence of the bit is left out, where it has been counted; a cell then holds two log odds of 16 bits, for
+    either bit, in steps of 1 / ``STEPS`` (only learning takes them)."""
+
+    values: list[np.ndarray]
+    seen: list[np.ndarray]
+    own: bool
+
+    @classmethod
+    def of(cls, tables: Iterable[np.ndarray], own: bool = False) -> "Odds":
+        values, seen = [], []
+        for table in tables:
+            values.append(np.empty(len(table), np.uint32 if own else np.float32))
+            seen = [*seen[-1:], np.empty(len(table), np.uint8)]
+            for a in range(0, len(table), PART):
+                pair = table[a : a + PART]
+                zeros, ones = (pair >> np.uint32(16)).view(np.int32), (pair & np.uint32(0xFFFF)).view(np.int32)
+                if own:
+                    less = [_LOGS.take(x) - _LOGS.take(np.maximum(y - 1, 0)) for x, y in ((ones, zeros), (zeros, ones))]
+                    low, high = (np.rint(x * STEPS).astype(np.int16).view(np.uint16).astype(np.uint32) for x in (less[0], -less[1]))
+                    values[-1][a : a + PART] = low | (high << np.uint32(16))
+                else:
+                    values[-1][a : a + PART] = _LOGS.take(ones) - _LOGS.take(zeros)
+                seen[-1][a : a + PART] = np.minimum(255, np.maximum(zeros + ones - own, 0))  # classes end far below
+        return cls(values, [_SEEN_ORDER3[:256].astype(np.uint8).take(seen[0]), (4 * _SEEN_SEGMENT[:256]).astype(np.uint8).take(seen[1])], own)
+
+    @property
+    def sizes(self) -> tuple[int, ...]:
+        return tuple(len(t).bit_length() - 1 for t in self.values)
+
+    def inputs(self, where: list[np.ndarray], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of every predictor and the constant (kinds + 1 x bits), and the gate."""
+        flat = [at.reshape(-1) for at in where]
+        x = np.ones((len(flat) + 1, bits.size), dtype=np.float32)
+        if self.own:
+            shift = bits.reshape(-1).astype(np.uint32) << np.uint32(4)
+            for row, table, at in zip(x, self.values, flat):
+                row[:] = (table.take(at) >> shift).astype(np.uint16).view(np.int16)
+            x[:-1] *= np.float32(1 / STEPS)
+        else:
+            for row, table, at in zip(x, self.values, flat):
+                table.take(at, out=row, mode="clip")  # no place is out of range, and "raise" would copy
+        return x, (self.seen[0].take(flat[-2]) + self.seen[1].take(flat[-1])).astype(np.int64)
 
 
 def _squash(z: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(z, -20.0, 20.0)))
+    return 1.0 / (1.0 + np.exp(-np.minimum(np.maximum(z, -20.0), 20.0)))
 
 
 @dataclass
@@ -190,47 +225,52 @@ class Mixer:
         points = np.linspace(-8, 8, _APM)
         return cls(np.full((_GATES, kinds + 1), 0.3), np.tile(_squash(points), (_GATES, 1)))
 
-    def _slots(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = np.clip((z + 8) * 2, 0, _APM - 1 - 1e-6)
+    def _slots(self, z: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each bit in the refinement table, and how far it is to the next."""
+        place = np.minimum(np.maximum((z + 8) * 2, 0), _APM - 1 - 1e-6)
         low = place.astype(np.int64)
-        return low, place - low
+        return gate * _APM + low, place - low
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """The weighted sum of every bit's inputs."""
-        return np.einsum("ij,ij->i", x, self.weights.take(gate, axis=0))
-
-    def ones(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """Probability of a one at every bit."""
+        total = np.zeros(len(gate), np.float32)
+        for row, weights in zip(x, np.ascontiguousarray(self.weights.T, dtype=np.float32)):
+            part = weights.take(gate)
+            part *= row
+            total += part
+        return total.astype(np.float64)
+
+    def chances(self, x: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Probability of every bit."""
         z = self.mixed(x, gate)
-        low, part = self._slots(z)
-        fine = self.refined[gate, low] * (1 - part) + self.refined[gate, low + 1] * part
-        return np.clip(0.5 * _squash(z) + 0.5 * fine, 1e-6, 1 - 1e-6)
+        cell, part = self._slots(z, gate)
+        flat = self.refined.reshape(-1)
+        low = flat.take(cell)
+        fine = low + (flat.take(cell + 1) - low) * part
+        p = np.minimum(np.maximum(0.5 * _squash(z) + 0.5 * fine, 1e-6), 1 - 1e-6)
+        return np.abs(p - 1 + bits)
 
     def learn(self, x: np.ndarray, gate: np.ndarray, bits: np.ndarray, weight: np.ndarray, rate: float, batch: int = 8192) -> None:
         """One online pass: gradient steps on the weights and moves of the refinement table, a small batch at a time."""
+        flat = self.refined.reshape(-1)
         for a in range(0, len(bits), batch):
-            xs, g, y, w = x[a : a + batch], gate[a : a + batch], bits[a : a + batch], weight[a : a + batch]
+            xs, g, y, w = x[:, a : a + batch], gate[a : a + batch], bits[a : a + batch], weight[a : a + batch]
             z = self.mixed(xs, g)
-            share = np.bincount(g, weights=w, minlength=_GATES)[g]
-            pull = rate * (y - _squash(z)) * w / share
-            for k in range(self.weights.shape[1]):
-                self.weights[:, k] += np.bincount(g, weights=pull * xs[:, k], minlength=_GATES)
-            low, part = self._slots(z)
-            for place, near in ((low, 1 - part), (low + 1, part)):
-                cell = g * _APM + place
-                total = np.bincount(cell, weights=w * near, minlength=self.refined.size)
-                right = np.bincount(cell, weights=w * near * y, minlength=self.refined.size)
+            share = rate / np.maximum(np.bincount(g, weights=w, minlength=_GATES), 1e-300)
+            pull = (y - _squash(z)) * w
+            for k, row in enumerate(xs):
+                self.weights[:, k] += share * np.bincount(g, weights=pull * row, minlength=_GATES)
+            cell, part = self._slots(z, g)
+            far = w * part
+            for place, near in ((cell, w - far), (cell + 1, far)):
+                total = np.bincount(place, weights=near, minlength=flat.size)
+                right = np.bincount(place, weights=near * y, minlength=flat.size)
                 moved = total > 0
                 step = np.minimum(0.5, 0.02 * total[moved] / np.mean(w))
-                flat = self.refined.reshape(-1)
                 flat[moved] += step * (right[moved] / total[moved] - flat[moved])
 
 
-def sizes_of(tables: list[np.ndarray]) -> tuple[int, ...]:
-    return tuple(len(t).bit_length() - 1 for t in tables)
-
-
-_UNPACKED: dict[str, list[np.ndarray]] = {}
+_UNPACKED: dict[tuple[str, bool], Odds] = {}
 
 
 @dataclass
@@ -245,27 +285,49 @@ class Packed:
         press = zstandard.ZstdCompressor(level=3)
         return cls(uuid.uuid4().hex, [press.compress(t.tobytes()) for t in tables])
 
-    def tables(self) -> list[np.ndarray]:
-        if self.name not in _UNPACKED:
-            _UNPACKED.clear()
-            unpress = zstandard.ZstdDecompressor()
-            _UNPACKED[self.name] = [np.frombuffer(unpress.decompress(p), np.uint32) for p in self.planes]
-        return _UNPACKED[self.name]
+    def tables(self) -> Iterator[np.ndarray]:
+        unpress = zstandard.ZstdDecompressor()
+        return (np.frombuffer(unpress.decompress(p), np.uint32) for p in self.planes)
+
+    def odds(self, own: bool = False) -> Odds:
+        if (self.name, own) not in _UNPACKED:
+            forget()
+            _UNPACKED[self.name, own] = Odds.of(self.tables(), own)
+        return _UNPACKED[self.name, own]
+
+
+def forget() -> None:
+    """Let go of what this worker holds of tables that earlier tasks have read, and give back what is free."""
+    _UNPACKED.clear()
+    _KNOWN.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give memory back that earlier tasks in this worker have freed: Arrow's, and (through the system's pool) numpy's."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
 
 
 @dataclass
 class Model:
-    tables: list[np.ndarray]
+    tables: Odds | Iterable[np.ndarray]  # or packed counts
     mixer: Mixer
 
+    def __post_init__(self):
+        if not isinstance(self.tables, Odds):
+            self.tables = Odds.of(self.tables)
+
+    def _coded(self, where: list[np.ndarray], bits: np.ndarray) -> np.ndarray:
+        """log10 probability of every byte."""
+        p = self.mixer.chances(*self.tables.inputs(where, bits), bits.reshape(-1)).reshape(-1, 8)
+        return np.log10(p.prod(axis=1))  # 1e-48 at least
+
     def costs(self, segs: list[bytes]) -> np.ndarray:
         """log10 probability of every segment."""
         out = np.zeros(len(segs))
         for data, offsets, owners in pieces(segs):
-            where, bits = cells(data, offsets, sizes_of(self.tables))
-            p = self.mixer.ones(*inputs(self.tables, where, bits))
-            logs = np.log10(np.where(bits.reshape(-1) == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1)
-            np.add.at(out, owners, np.add.reduceat(logs, offsets[:-1]))
+            np.add.at(out, owners, np.add.reduceat(self._coded(*cells(data, offsets, self.tables.sizes)), offsets[:-1]))
         return out
 
     def event_costs(self, found: text_contexts.Events) -> np.ndarray:
@@ -273,9 +335,7 @@ class Model:
         out = np.zeros(len(found.data))
         for a in range(0, len(out), EVENTS):
             some = found.take(slice(a, a + EVENTS))
-            where, bits = placed(some.hashes(), some.data, sizes_of(self.tables))
-            p = self.mixer.ones(*inputs(self.tables, where, bits))
-            out[a : a + EVENTS] = np.log10(np.where(bits.reshape(-1) == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1)
+            out[a : a + EVENTS] = self._coded(*placed(some.hashes(), some.data, self.tables.sizes))
         return out
 
     def text_costs(self, texts: list[bytes], known: "Known") -> np.ndarray:
@@ -339,6 +399,7 @@ def count_segments(docs: DataFrame) -> DataFrame:
     """(seg binary, n, n_all): every segment of the texts (body, learn) with its occurrences in training texts and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, size, in_bytes = [], 0, 0
         for batch in batches:
             for part in text_blocks(batch, "body", TEXT_BYTES):
@@ -375,6 +436,7 @@ def fill_tables(segs: DataFrame) -> Iterator[np.ndarray]:
     whole = np.uint32 if total < 2**32 else np.uint64
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held = [np.zeros(2 << size, dtype=whole) for size in sizes]
         for batch in batches:
             weights = batch.column("n").to_numpy().astype(whole)
@@ -394,6 +456,7 @@ def fill_text_tables(texts: DataFrame, size: int, distinct: int) -> Iterator[np.
     sizes = (*TEXT_ORDER_BITS, segment_bits(distinct))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         empty = lambda: [np.zeros(2 << bits, dtype=np.uint32) for bits in sizes]
         held, filled = empty(), 0
         blocks = (part.column("seg").to_pylist() for batch in batches for part in text_blocks(batch, "seg", TEXT_BYTES))
@@ -401,6 +464,7 @@ def fill_text_tables(texts: DataFrame, size: int, distinct: int) -> Iterator[np.
             for k, begins in enumerate(some.begins()):
                 add_context(k, held[k], begins, some.data, n)
             filled += int(n.sum())
+            some = begins = None  # not held while the next are found
             if filled >= 2**31:  # before a count could pass 32 bits
                 yield from sent(held)
                 held, filled = empty(), 0
@@ -412,11 +476,13 @@ def fill_text_tables(texts: DataFrame, size: int, distinct: int) -> Iterator[np.
 
 def add_context(kind: int, table: np.ndarray, begins: np.ndarray, data: np.ndarray, n: np.ndarray) -> None:
     """Count ``n`` occurrences of each byte behind its context of one kind."""
-    first, times, _ = text_contexts.distinct(begins * np.uint64(_K) + data, n)
-    for a in range(0, len(first), EVENTS):
-        at = first[a : a + EVENTS]
+    if kind != len(text_contexts.ORDERS) - 1:  # of the longest few occur again
+        first, n, _ = text_contexts.distinct(begins * np.uint64(_K) + data, n)
+        begins, data = begins[first], data[first]
+    for a in range(0, len(data), EVENTS):
+        at = slice(a, a + EVENTS)
         (where,), bits = placed([text_contexts.hashed(kind, begins[at])], data[at], (len(table).bit_length() - 2,))
-        np.add.at(table, 2 * where.reshape(-1) + bits.reshape(-1), np.repeat(times[a : a + EVENTS].astype(np.uint32), 8))
+        np.add.at(table, 2 * where.reshape(-1) + bits.reshape(-1), np.repeat(n[at].astype(np.uint32), 8))
 
 
 def counted_events(found: Iterator[text_contexts.Events], size: int) -> Iterator[tuple[text_contexts.Events, np.ndarray]]:
@@ -438,8 +504,11 @@ def counted_events(found: Iterator[text_contexts.Events], size: int) -> Iterator
         met.put(place[new[first]], held[-1].keys, np.arange(upto, upto + len(n)))
         total, upto = total + len(some.data), upto + len(n)
         if total >= size:
-            yield text_contexts.Events.joined(held), times[:upto]
-            met, held, total, upto = Places(np.int32, bits), [], 0, 0
+            block = text_contexts.Events.joined(held), times[:upto]
+            met = times = None  # not held while the block is used
+            held, total, upto = [], 0, 0
+            yield block
+            block, met = None, Places(np.int32, bits)
     if held:
         yield text_contexts.Events.joined(held), times[:upto]
 
@@ -511,7 +580,7 @@ def fit_mixer(segs: DataFrame, tables, rate: float = 0.05) -> Mixer:
     dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "h", "seg").select("part", "seg", "n")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_tables = tables.value.tables()
+        odds = tables.value.odds(own=True)
         current, mixer, size = None, None, 0
 
         def learned() -> pa.RecordBatch:
@@ -525,10 +594,10 @@ def fit_mixer(segs: DataFrame, tables, rate: float = 0.05) -> Mixer:
                 current, mixer, size = part, Mixer.fresh(), 0
             n = np.sqrt(times)
             for data, offsets, owners in pieces(held):
-                where, bits = cells(data, offsets, sizes_of(own_tables))
+                where, bits = cells(data, offsets, odds.sizes)
                 weight = np.repeat(n[owners], np.diff(offsets) * 8)
                 size += len(data)
-                mixer.learn(*inputs(own_tables, where, bits, own=1), bits.reshape(-1).astype(float), weight, rate * min(1.0, 4 * CUT / size) + 0.002)
+                mixer.learn(*odds.inputs(where, bits), bits.reshape(-1).astype(float), weight, rate * min(1.0, 4 * CUT / size) + 0.002)
         if size:
             yield learned()
 
@@ -546,19 +615,18 @@ def fit_text_mixer(texts: DataFrame, size: int, tables, rate: float = 0.05) -> M
     dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "h", "seg").select("part", "seg", "n")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_tables = tables.value.tables()
-        sizes = sizes_of(own_tables)
+        odds = tables.value.odds(own=True)
         for part, runs in groupby(regrouped(batches, TEXT_BYTES), key=lambda r: r[0]):
-            mixer, size = Mixer.fresh(len(sizes)), 0
+            mixer, size = Mixer.fresh(len(odds.sizes)), 0
             found = chain.from_iterable(text_contexts.events(text_contexts.stream(held)) for _, held, _ in runs)
             for some, n in counted_events(found, LEARN_BYTES):
                 size += int(n.sum())
                 done = 0
                 for a in range(0, len(n), EVENTS):
                     few, weight = some.take(slice(a, a + EVENTS)), np.repeat(n[a : a + EVENTS].astype(float), 8)
-                    where, bits = placed(few.hashes(), few.data, sizes)
+                    where, bits = placed(few.hashes(), few.data, odds.sizes)
                     done += len(few.data)
-                    mixer.learn(*inputs(own_tables, where, bits, own=1), bits.reshape(-1).astype(float), weight, rate * min(1.0, 4 * CUT / done) + 0.002)
+                    mixer.learn(*odds.inputs(where, bits), bits.reshape(-1).astype(float), weight, rate * min(1.0, 4 * CUT / done) + 0.002)
             yield pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([mixer.weights.tobytes()], pa.binary()), pa.array([mixer.refined.tobytes()], pa.binary()), pa.array([size])],
                 ["part", "weights", "refined", "size"])
@@ -609,7 +677,7 @@ def coded_segments(segs: DataFrame, words: DataFrame, tables, mixer: Mixer) -> D
     word, and the end of the text behind it) and how many of them are known.  ``tables`` is a broadcast of packed ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(tables.value.tables(), mixer)
+        model = Model(tables.value.odds(), mixer)
         for batch in batches:
             costs = model.costs(batch.column("seg").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("seg"), batch.column("n_all"), pa.array(costs)], ["seg", "n_all", "cost"])
@@ -663,13 +731,14 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     shared = spark.sparkContext.broadcast((common["seg"].combine_chunks(), *(common[c].to_numpy() for c in ("cost", "base", "known"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         listed, cost, base, known = shared.value
         if running:
-            model, coded_before = Model(tables.value.tables(), mixer), Known.of(tables.value.name)
+            model, coded_before = Model(tables.value.odds(), mixer), Known.of(tables.value.name)
         serial = TaskContext.get().partitionId() << 40
         none = lambda kind, n: pa.nulls(n, kind)
         for batch in batches:
-            for part in text_blocks(batch, "body", TEXT_BYTES):
+            for part in text_blocks(batch, "body", SCORED_BYTES):
                 texts = part.column("body").cast(pa.large_binary()).to_pylist()
                 data, segs, text = joined(texts)
                 coded = segs.dictionary_encode()

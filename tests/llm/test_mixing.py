@@ -294,3 +294,51 @@ def test_running_odd_rows(spark, odd_docs, no_docs):
     assert mixing.score_texts(no_docs, ~mixing.in_fold("doc_id"), running=True).count() == 0
     none = mixing.score_texts(odd_docs.where("doc_id = 5"), F.lit(False), running=True).collect()
     assert none and all(r["n_known"] == 0 and r["base_score"] == 0 for r in none)
+
+
+def test_tasks_let_go_of_tables_read_before(spark):
+    """A worker that counts or fills again holds no tables and costs of the tables that it read for scores before."""
+    import pyarrow as pa
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            self.__dict__.setdefault("run", run)
+            return self
+
+        def coalesce(self, _):
+            return self
+
+        repartition = groupBy = agg = lambda self, *_: self
+
+    count, fill = Frame(), Frame()
+    mixing.count_segments(count)
+    with pytest.raises(AttributeError):  # the stub cannot be staged, but has the tasks' function by then
+        next(mixing.fill_text_tables(fill, 100, 100))
+    text = pa.RecordBatch.from_pydict({"body": ["to be or not to be"], "learn": [True], "seg": [b"to be or not to be"]})
+    for frame in (count, fill):
+        mixing._UNPACKED["before"] = mixing._KNOWN["before"] = None
+        next(frame.run(iter([text])))
+        assert not mixing._UNPACKED and not mixing._KNOWN
+
+
+def test_odds_leave_one_occurrence_out():
+    """Log odds and gates of cells, whole and with one occurrence of the bit left out, against the counts themselves."""
+    rng = np.random.default_rng(3)
+    zeros, ones = rng.integers(1, 300, (6, 1 << 16)), rng.integers(1, 70000, (6, 1 << 16))
+    ones[:, ::3] = 1
+    tables = [mixing.packed_counts(z, o) for z, o in zip(zeros, ones)]
+    where = [rng.integers(0, 1 << 16, (50, 8)) for _ in tables]
+    bits = rng.integers(0, 2, (50, 8)).astype(np.uint8)
+    flat = bits.reshape(-1)
+    for own in (0, 1):
+        x, gate = mixing.Odds.of(tables, own=bool(own)).inputs(where, bits)
+        for k, (table, at) in enumerate(zip(tables, where)):
+            pair = table[at.reshape(-1)]
+            z, o = (pair >> 16) - own * (1 - flat.astype(int)), (pair & 0xFFFF) - own * flat.astype(int)
+            assert np.allclose(x[k], np.log(o + 0.4) - np.log(z + 0.4), atol=3e-4 if own else 1e-5)
+            seen = np.log2(z + o + 1.0)
+            if k == 4:
+                want = np.minimum(3, np.ceil(seen / 3))
+            if k == 5:
+                want = want + 4 * np.minimum(4, np.ceil(seen / 2))
+        assert (x[-1] == 1).all() and (gate == want).all()

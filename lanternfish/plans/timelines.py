@@ -109,12 +109,17 @@ def day_sketches(spark, d):
     e = table(spark, d, "events").select(F.col("event_type").alias("klass"), "ts", "event_id", "value")
     days = stage(K.sketched(e, ["klass", F.col("ts").cast("date").alias("day")], "event_id", "value"), "day-sketches")
     half = lambda day: F.when(F.dayofmonth(day) <= 15, 1).otherwise(2).alias("half")
-    found = K.estimates(K.merged(days, ["klass", half("day")]), {"median": 0.5}).drop("rows")
+    found = K.estimates(K.merged(days, [F.col("klass").alias("k"), half("day").alias("h")]), {"median": 0.5}).drop("rows")
     exact = e.groupBy("klass", half("ts")).agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("exact"))
-    below = e.withColumn("half", half("ts")).join(found.select("klass", "half", "median"), ["klass", "half"]).groupBy("klass", "half").agg(F.avg((F.col("value") <= F.col("median")).cast("int")).alias("rank"))
-    near = lambda c: F.abs(F.col(c) / F.col("exact") - 1) <= 0.02
-    return exact.join(found, ["klass", "half"]).join(below, ["klass", "half"]).select(
-        "klass", "half", "n", "exact", near("distinct").alias("close"), near("distinct_theta").alias("close_theta"), (F.abs(F.col("rank") - 0.5) <= 0.02).alias("close_median"))
+    same = F.col("klass").eqNullSafe(F.col("k")) & (F.col("half") == F.col("h"))  # a null class is a class
+    number = F.when(~F.isnan("value"), F.col("value"))  # others are in no sketch
+    share = lambda holds: F.avg(holds.cast("int"))
+    ranked = e.withColumn("half", half("ts")).join(found, same).groupBy(*found.columns).agg(
+        share(number < F.col("median")).alias("under"), share(number <= F.col("median")).alias("upto"))
+    near = lambda c: F.abs(F.col(c) - F.col("exact")) <= 0.02 * F.col("exact")
+    middle = (F.col("under") <= 0.52) & (F.col("upto") >= 0.48)  # equal values share their ranks
+    return exact.join(ranked, same).select(
+        "klass", "half", "n", "exact", near("distinct").alias("close"), near("distinct_theta").alias("close_theta"), F.coalesce(middle, F.col("median").isNull()).alias("close_median"))
 
 
 @query("""SELECT author, CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VARCHAR) AS last, CAST(count(*) AS INTEGER) AS days FROM (SELECT author, day, day - CAST(row_number() OVER (PARTITION BY author ORDER BY day) AS INTEGER) AS run FROM (SELECT DISTINCT author, CAST(posted_at AS DATE) AS day FROM s)) GROUP BY author, run""", SIGHTINGS)

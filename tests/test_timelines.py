@@ -63,6 +63,24 @@ def test_sketches_stay_close_when_merged(spark):
     assert got["median"] == pytest.approx(500, abs=20) and got["p90"] == pytest.approx(900, abs=20)
 
 
+def test_merged_sets_keep_the_size_of_their_sketches(spark):
+    """Counts of 50,000 distinct items in each of 16 groups, merged from ten sketches: within 1.2 %, which 4,096 entries miss."""
+    df = spark.range(800_000).selectExpr("id % 16 AS grp", "id div 16 % 10 AS day", "id AS item", "1D AS value")
+    got = sketches.estimates(sketches.merged(sketches.sketched(df, ["grp", "day"], "item", "value"), ["grp"]), {"median": 0.5})
+    assert [r["distinct_theta"] for r in got.collect()] == [pytest.approx(50_000, rel=0.012)] * 16
+
+
+def test_sketches_of_odd_events(spark, tmp_path):
+    """Null classes, days and ids, values that are null, not a number or mostly equal: every group is there and close."""
+    at = [datetime(2024, 1, 1, 1), datetime(2024, 1, 2, 1), datetime(2024, 1, 20, 1), None]
+    kinds = {"equal": lambda n: 1.0 if n % 10 else 2.0, None: float, "none": lambda n: None, "nan": lambda n: float("nan"), "some": lambda n: [float("nan"), None, float(n)][n % 3]}
+    rows = [(None if n % 5 == 0 or k == "equal" else n, day, k, f(n)) for day in at for k, f in kinds.items() for n in range(200)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in registry.QUERIES["day_sketches"](spark, str(tmp_path)).collect()}
+    ids = {"equal": 0}
+    assert got == {(k, half, 400, ids.get(k, 160), True, True, True) for k in kinds for half in (1, 2)}
+
+
 def test_table_function_bridges_repeats_and_breaks_at_gaps(spark):
     tables.register(spark)
     day = date(2024, 2, 27)

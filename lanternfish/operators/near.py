@@ -75,6 +75,7 @@ def hamming_pairs(df: DataFrame, h: str, radius: int, bands: int | None = None)
         for other in apart[1:k]:
             earlier = earlier | other
         first = first & ((F.col("band") != k) | ~earlier)
+    right = right.hint("merge")  # planned by the size of the hashes, of which each is listed many times, a side would be broadcast
     near = left.join(right, ["band", "slice"]).where((a < b) & (hamming(a, b) <= radius) & once & first)
     return near.select("a", "b", hamming(a, b).alias("distance"))
 

@@ -39,6 +39,15 @@ def test_pairs_equal_all_pairs(spark, radius, bands):
     assert got == want
 
 
+def test_listed_neighbours_are_never_broadcast(spark):
+    """Each hash is listed many times, which the planner does not count: with a small table that it would broadcast, no side of the join is."""
+    df = spark.createDataFrame([(signed(x),) for x in some_hashes(random.Random(5))], "h long")
+    for bands in (2, 3, 9):
+        pairs = near.hamming_pairs(df, "h", 8, bands)
+        assert pairs.collect()
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_work_grows_more_slowly_than_the_square():
     """Rows listed and pairs met by chance, for ten times the hashes."""
     def met(n):

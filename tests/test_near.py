@@ -1,5 +1,6 @@
 """Hamming pairs against all pairs, and the leader fold against a sequential one."""
 
+import itertools
 import random
 
 import pytest
@@ -48,6 +49,22 @@ def test_listed_neighbours_are_never_broadcast(spark):
         assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture
+def small_broadcasts(spark):
+    """A session that fails where more than 4 MB is broadcast."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "4m")
+    yield spark
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_families_need_no_large_broadcast(small_broadcasts):
+    hashes = [signed(x) for x in some_hashes(random.Random(6), 300)]
+    found = near.families(small_broadcasts.createDataFrame([(x,) for x in hashes], "h long"), "h", 8).collect()
+    family = {r["hash"]: r["family"] for r in found}
+    assert len(found) == len(family) and family.keys() == set(hashes)
+    assert all((family[a] == family[b]) for a, b in itertools.combinations(hashes, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 8)
+
+
 def test_work_grows_more_slowly_than_the_square():
     """Rows listed and pairs met by chance, for ten times the hashes."""
     def met(n):

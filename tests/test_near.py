@@ -65,6 +65,21 @@ def test_families_need_no_large_broadcast(small_broadcasts):
     assert all((family[a] == family[b]) for a, b in itertools.combinations(hashes, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 8)
 
 
+def test_leader_fold_broadcasts_no_listed_neighbours(spark, monkeypatch):
+    plans = []
+
+    def seen(df, name, stage=near.stage):
+        if name == "fold-near":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, name)
+
+    monkeypatch.setattr(near, "stage", seen)
+    hashes = [signed(x) for x in some_hashes(random.Random(7))]
+    near.leader_fold(spark.createDataFrame([(k, h, k) for k, h in enumerate(hashes)], "id long, h long, at long"), "id", "h", "at", 8)
+    assert "Join [band" in plans[0] and "BroadcastHashJoin [band" not in plans[0]
+
+
 def test_work_grows_more_slowly_than_the_square():
     """Rows listed and pairs met by chance, for ten times the hashes."""
     def met(n):

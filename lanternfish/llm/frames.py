@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,21 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_KEY, BATCH_ROWS)
 
 
+@contextmanager
+def few_rows(spark: SparkSession, rows: int = 2) -> Iterator[None]:
+    """Arrow batches and batches of Parquet's reader of so few rows, for tables whose rows are megabytes of arrays, of which both
+    otherwise hold thousands.  It holds for what is run inside; then the session's own sizes are back."""
+    keys = (BATCH_KEY, "spark.sql.parquet.columnarReaderBatchSize")
+    own = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, rows)
+    try:
+        yield
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+
+
 def object_frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     """Columns of plain Python objects: strings never become chunked Arrow arrays, and an empty list keeps its columns."""
     values = list(zip(*rows)) if rows else [()] * len(columns)

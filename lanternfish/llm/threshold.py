@@ -16,10 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lanternfish.llm.blocks import arrays, best_of_pairs, classes, crossed, dealt, finite_vectors, found_frame, merged_best, packed, ranked, sides, top_of
+from lanternfish.llm.blocks import arrays, classes, crossed, dealt, finite_vectors, found_frame, merged_best, packed, ranked, sides, top_of
+from lanternfish.llm.frames import few_rows
 from lanternfish.plans.staging import stage
 
 NODES = 2
+QUERY_ROWS = 4096  # tiles are copied once for each block of so many queries
+AT_ONCE = 512  # queries whose scores with a tile are held
 NO_CUTOFF = -(2**62)
 _PAIR = ["dim", "tile", "block"]
 
@@ -44,17 +47,17 @@ def _whole(rows: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return rows.astype(kind), other.astype(kind)
 
 
-def _totals(row, nodes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _totals(row, entries: list, nodes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query ids, ids and totals of a pair's entries: what is known of a row's local scores, and the rest resolved."""
     ids, rows, query_ids, queries = arrays(row, row.dim)
     parts = slices(row.dim, nodes)
-    got_ids = [np.asarray(e["ids"], np.int64) for e in row.entries]
-    got_queries = [np.asarray(e["queries"], np.int64) for e in row.entries]
+    got_ids = [np.asarray(e["ids"], np.int64) for e in entries]
+    got_queries = [np.asarray(e["queries"], np.int64) for e in entries]
     key = np.concatenate([np.searchsorted(query_ids, q) * len(ids) + np.searchsorted(ids, i) for q, i in zip(got_queries, got_ids)])
     pair, which = np.unique(key, return_inverse=True)
     known, have = np.zeros(len(pair), np.int64), np.zeros((len(parts), len(pair)), bool)
     at = 0
-    for e, i in zip(row.entries, got_ids):
+    for e, i in zip(entries, got_ids):
         if e["node"] >= 0:  # else a row to look up, of which nothing is known
             known[which[at : at + len(i)]] += np.asarray(e["local"], np.int64)
             have[e["node"], which[at : at + len(i)]] = True
@@ -85,9 +88,9 @@ def top_products(table: DataFrame, is_query: Column, k: int = 20, id_col: str =
 
 
 def sent_entries(reps: DataFrame, queries: DataFrame, k: int, nodes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Phases one and two: the entries (dim, tile, block, node, ids, queries, local) that the nodes give, the pairs of whole
+    """Phases one and two: the entries (dim, tile, block, node, part, ids, queries, local) that the nodes give, the pairs of whole
     tiles and blocks to resolve them with, and the cutoffs (query_id, cutoff)."""
-    asked, _, n_tiles, n_blocks = sides(reps, queries)
+    asked, _, n_tiles, n_blocks = sides(reps, queries, query_rows=QUERY_ROWS)
     whole = stage(crossed(packed(reps, n_tiles, "tile"), packed(asked, n_blocks, "block"), n_tiles, n_blocks), "threshold-pairs")
     share = lambda rows, n, name: packed(_node_rows(rows, nodes), n, name, ("width", "node"))
     held = stage(crossed(share(reps, n_tiles, "tile"), share(asked, n_blocks, "block"), n_tiles, n_blocks, ("dim", "width", "node")), "threshold-nodes")
@@ -97,8 +100,8 @@ def sent_entries(reps: DataFrame, queries: DataFrame, k: int, nodes: int) -> tup
             for row in batch.itertuples(index=False):
                 ids, rows, query_ids, columns = arrays(row, row.dim)
                 rows, columns = _whole(rows, columns)
-                local = rows @ columns.T
-                found = [(q, *top_of(ids, local[:, j].astype(np.int64), k)) for j, q in enumerate(query_ids.tolist())]
+                found = [(q, *top_of(ids, scores.astype(np.int64), k)) for a in range(0, len(columns), AT_ONCE)
+                         for q, scores in zip(query_ids[a : a + AT_ONCE].tolist(), columns[a : a + AT_ONCE] @ rows.T)]
                 yield found_frame(found).assign(dim=row.width, node=row.node)[["dim", "node", "query_id", "found"]]
 
     listed = merged_best(held.mapInPandas(lists, "dim int, node int, query_id long, found array<struct<s long, id long>>"), k, ("dim", "node", "query_id"))
@@ -109,15 +112,17 @@ def sent_entries(reps: DataFrame, queries: DataFrame, k: int, nodes: int) -> tup
     def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                query_ids, _, sums = _totals(row, nodes)
+                query_ids, _, sums = _totals(row, row.entries, nodes)
                 yield pd.DataFrame({"query_id": query_ids, "total": sums})
 
     sums = whole.join(looked, _PAIR).mapInPandas(totals, "query_id long, total long")
     best = F.sort_array(F.collect_list("total"), asc=False)  # nodes times k of each query
-    cutoffs = stage(sums.groupBy("query_id").agg(best.alias("t")).select(
-        "query_id", F.when(F.size("t") >= k, F.col("t")[k - 1]).otherwise(NO_CUTOFF).alias("cutoff")), "threshold-cutoffs")
+    with few_rows(reps.sparkSession):
+        cutoffs = stage(sums.groupBy("query_id").agg(best.alias("t")).select(
+            "query_id", F.when(F.size("t") >= k, F.col("t")[k - 1]).otherwise(NO_CUTOFF).alias("cutoff")), "threshold-cutoffs")
     told = asked.join(cutoffs, asked["id"] == cutoffs["query_id"]).groupBy(F.size("v").alias("width"), dealt("id", n_blocks).alias("block")).agg(
         F.array_sort(F.collect_list(F.struct("id", "cutoff")))["cutoff"].alias("cutoffs"))
+    told = told.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1)))).hint("merge")  # by tile too, else a block's pairs all meet in one task
 
     def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -125,28 +130,49 @@ def sent_entries(reps: DataFrame, queries: DataFrame, k: int, nodes: int) -> tup
                 ids, rows, query_ids, columns = arrays(row, row.dim)
                 rows, columns = _whole(rows, columns)
                 least = -(-np.asarray(row.cutoffs, np.int64) // len(slices(row.width, nodes)))  # a local score is whole, so the share is rounded up
-                local = rows @ columns.T
-                i, j = np.nonzero(local >= least.astype(local.dtype)[None, :])
-                if len(i):
-                    yield pd.DataFrame({"dim": [row.width], "tile": [row.tile], "block": [row.block], "node": [row.node], "ids": [ids[i]],
-                                        "queries": [query_ids[j]], "local": [local[i, j].astype(np.int64)]})
+                for a in range(0, len(columns), AT_ONCE):
+                    local = columns[a : a + AT_ONCE] @ rows.T
+                    j, i = np.nonzero(local >= least[a : a + AT_ONCE, None].astype(local.dtype))
+                    if len(i):
+                        yield pd.DataFrame({"dim": [row.width], "tile": [row.tile], "block": [row.block], "node": [row.node], "part": [a // AT_ONCE], "ids": [ids[i]],
+                                            "queries": [query_ids[a + j]], "local": [local[j, i].astype(np.int64)]})
 
-    schema = "dim int, tile int, block int, node int, ids array<long>, queries array<long>, local array<long>"
-    return stage(held.join(told, ["width", "block"]).mapInPandas(give, schema), "threshold-entries"), whole, cutoffs
+    schema = "dim int, tile int, block int, node int, part int, ids array<long>, queries array<long>, local array<long>"
+    with few_rows(reps.sparkSession):
+        return stage(held.join(told, ["width", "tile", "block"]).mapInPandas(give, schema), "threshold-entries"), whole, cutoffs
 
 
 def best_classes(reps: DataFrame, queries: DataFrame, k: int, nodes: int) -> DataFrame:
-    """(query_id, best): the ``k`` best classes of every class that is asked for."""
+    """(query_id, best): the ``k`` best classes of every class that is asked for.
+
+    A pair's tile and block come first, then its entries, one part of the block's queries after the other, so a task holds the
+    entries of one part.
+    """
     entries, whole, _ = sent_entries(reps, queries, k, nodes)
-    given = entries.groupBy(*_PAIR).agg(F.collect_list(F.struct("node", "ids", "queries", "local")).alias("entries"))  # one a node
+    rows = whole.withColumn("part", F.lit(-1)).unionByName(entries, allowMissingColumns=True)
+    rows = rows.repartition(max(1, whole.count()), *_PAIR).sortWithinPartitions(*_PAIR, "part")
 
-    def resolve(row) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        query_ids, ids, sums = _totals(row, nodes)  # in order of query
+    def resolved(pair, held: list) -> pd.DataFrame:
+        query_ids, ids, sums = _totals(pair, [{"node": int(e.node), "ids": e.ids, "queries": e.queries, "local": e.local} for e in held], nodes)  # in order of query
         cuts = np.flatnonzero(np.concatenate(([True], query_ids[1:] != query_ids[:-1], [True])))
-        for a, b in zip(cuts, cuts[1:]):
-            yield (int(query_ids[a]), *top_of(ids[a:b], sums[a:b], k))
+        return found_frame([(int(query_ids[a]), *top_of(ids[a:b], sums[a:b], k)) for a, b in zip(cuts, cuts[1:])])
 
-    return best_of_pairs(whole.join(given, _PAIR), resolve, k, "long")
+    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pair, held = None, []
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if held and row.part != held[0].part:
+                    yield resolved(pair, held)
+                    held = []
+                if row.part < 0:
+                    pair = row
+                else:
+                    held.append(row)
+        if held:
+            yield resolved(pair, held)
+
+    with few_rows(reps.sparkSession):
+        return stage(merged_best(rows.mapInPandas(resolve, "query_id long, found array<struct<s long, id long>>"), k), "best-of-pairs")
 
 
 def op2_uniform_threshold(spark, sf_dir: str) -> DataFrame:

@@ -77,6 +77,25 @@ def test_threshold_sends_few_entries(spark):
     assert all(known[q] <= found[-1][1] for q, found in want.items() if q in known)
 
 
+def test_threshold_entries_are_held_in_parts(spark):
+    """Over 600 queries of one tile: no row of entries has more than 512 queries, the results are exact, and the session's sizes of batches stay."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    own = [spark.conf.get(k) for k in keys]
+    v = np.floor(np.random.default_rng(11).normal(size=(12_400, 6)) * 40)
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    reps, queries, wanted = threshold.classes(threshold.finite_vectors(table, "vec_id", "embedding"), query(), 5)
+    entries, _, _ = threshold.sent_entries(reps, queries, wanted, threshold.NODES)
+    assert entries.agg(F.max(F.size(F.array_distinct("queries")))).first()[0] <= 512
+    found = got(threshold.top_products(table, query(), k=5, scale=None))
+    assert found.keys() == set(range(0, 12_400, 20))
+    for q, best in found.items():
+        scores = v @ v[q]
+        scores[q] = -np.inf
+        order = np.lexsort((np.arange(len(v)), -scores))[:5]
+        assert best == [(i, scores[i]) for i in order.tolist()]
+    assert [spark.conf.get(k) for k in keys] == own
+
+
 def test_threshold_hot_copies(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(3000, 8))

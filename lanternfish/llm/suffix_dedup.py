@@ -8,8 +8,9 @@ passages become equal phrases away from their edges.
 The dictionary holds each distinct phrase once, with its first occurrence; the parse is the list of the phrases'
 occurrences.  All later occurrences of a phrase are repeats.  This is done twice: coarse phrases of about a thousand bytes
 take out the long repeats with few rows, and only first occurrences of those are parsed into fine phrases.  Where distinct phrases share a trigger, the suffixes of
-the dictionary that are long enough to hold a window are ordered (a suffix array by prefix doubling, cut at the window's
-length), and each group of equal windows keeps its first occurrence in corpus order, which the parse gives.  As phrases
+the dictionary that are long enough to hold a window are grouped by their windows (hashes compared byte for byte; where two
+collide, a suffix array by prefix doubling, cut at the window's length), and each group keeps its first occurrence in corpus
+order, which the parse gives.  As phrases
 carry the overlap, no suffix of the parse beyond the first phrase is needed to compare windows of fixed length.
 
 Nothing is gathered by one key without a bound: triggers are counted, and a bit table of those that occur more than once
@@ -271,6 +272,31 @@ def window_ranks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.unique(pair, return_inverse=True)[1]
 
 
+def window_groups(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers from 0 of the windows at the given positions, equal for equal windows only.
+
+    Hashes of windows are put together by doubling, without a sort at each step, and neighbours of equal hashes are compared
+    byte for byte.  If any two of them differ, ranks in the order of suffixes tell all windows apart.
+    """
+    w = _words(data, "<u8")
+    join = lambda h, by: h[:-by] * _C3 + (h[by:] ^ (h[by:] >> np.uint64(31)))
+    h, size = w * _C1, 8
+    h ^= h >> np.uint64(29)
+    while size * 2 <= WINDOW:
+        h = join(h, size)
+        h ^= h >> np.uint64(29)
+        size *= 2
+    h = (join(h, WINDOW - size) if WINDOW > size else h)[at]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    one, other = at[order[:-1][same]], at[order[1:][same]]
+    if not all(np.array_equal(w[one + o], w[other + o]) for o in (*range(0, WINDOW - 7, 8), WINDOW - 8)):
+        return window_ranks(data, at)
+    group = np.empty(len(at), np.int64)
+    group[order] = np.cumsum(np.concatenate(([0], ~same)))[: len(at)]
+    return group
+
+
 def _first_owned(contents: list[bytes], ids: np.ndarray, copies: np.ndarray, los: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     """For each phrase, which of its windows occur nowhere earlier among these phrases' first occurrences."""
     lengths = np.array([len(c) for c in contents])
@@ -278,10 +304,12 @@ def _first_owned(contents: list[bytes], ids: np.ndarray, copies: np.ndarray, los
     step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     which = np.repeat(np.arange(len(counts)), counts)
     data = np.frombuffer(b"".join(contents), np.uint8)
-    rank = window_ranks(data, base[which] + step)
-    order = np.lexsort((los[which] + step, copies[which], ids[which], rank))
-    own = np.zeros(len(which), dtype=bool)
-    own[order] = np.concatenate(([True], rank[order][1:] != rank[order][:-1]))
+    group = window_groups(data, base[which] + step)
+    own = np.bincount(group)[group] == 1  # of the others, the first of each group
+    rest = np.flatnonzero(~own)
+    x = which[rest]
+    order = rest[np.lexsort((los[x] + step[rest], copies[x], ids[x], group[rest]))]
+    own[order] = np.concatenate(([True], group[order][1:] != group[order][:-1]))[: len(order)]
     return np.split(own, np.cumsum(counts)[:-1])
 
 

@@ -99,3 +99,22 @@ def test_ranks_are_lexicographic():
     raw = data.tobytes()
     order = sorted(at.tolist(), key=lambda i: raw[i : i + sd.WINDOW])
     assert (np.diff(rank[order]) >= 0).all()
+
+
+def test_windows_are_told_apart_without_their_order(monkeypatch):
+    """Groups of windows are those of the suffix order, which is made only where hashes collide."""
+    rng = np.random.default_rng(5)
+    some = rng.integers(97, 99, 4000).astype(np.uint8)
+    data = np.concatenate([some, some[500:900], np.full(300, 97, np.uint8), some[:2500]])
+    at = np.sort(rng.choice(len(data) - sd.WINDOW + 1, 5000, replace=False))
+    ranks = sd.window_ranks(data, at)
+    kinds = len(set(ranks.tolist()))
+    alike = lambda groups: len(set(groups.tolist())) == kinds == len(set(zip(groups.tolist(), ranks.tolist())))
+    with monkeypatch.context() as m:
+        m.setattr(sd, "_C1", np.uint64(0))  # all hashes are equal
+        assert alike(sd.window_groups(data, at))
+    monkeypatch.setattr(sd, "window_ranks", None)
+    assert alike(sd.window_groups(data, at))
+    one, other = bytes(data[:400]), bytes(data[100:350])
+    own = sd._first_owned([other, one], np.array([2, 1]), np.zeros(2, int), np.zeros(2, int), np.array([151, 301]))
+    assert not own[0].any() and own[1].all()
